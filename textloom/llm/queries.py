@@ -18,8 +18,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.score(docs, langid.fit(docs))
+
+
 def queries() -> dict[str, Query]:
-    return {"op8_toxicity": op8_toxicity}
+    found = (op7_language_id, op8_toxicity)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
