@@ -25,8 +25,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.score(docs, langid.fit(docs))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op7_language_id, op8_toxicity)
+    found = (op7_language_id, op8_toxicity, op10_packing)
     return {f.__name__: f for f in found}
 
 
