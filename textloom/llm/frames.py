@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.shared import store  # noqa: F401
+
 from . import kernels as K
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -31,21 +31,6 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.environ.setdefault("TEXTLOOM_LOCAL_CHECKPOINTS", tempfile.mkdtemp(prefix="textloom"))
-    return found.rstrip("/")
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes a table in the shared folder and reads it, so no lost executor can take it away."""
-    path = f"{shared_dir(df.sparkSession)}/textloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_passes(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", limit: int = K.PASS_BYTES) -> DataFrame:
     """mapInArrow in passes of bounded bytes of text."""
 
@@ -109,3 +94,14 @@ def batches_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def row_key(id_column: str = "doc_id", text: str = "text"):
     """A key of a row: equal only for rows that repeat both id and text."""
     return F.xxhash64(F.col(id_column), F.col(text))
+
+
+def keep_rows(docs: DataFrame, decide: Callable[[pa.RecordBatch], np.ndarray], limit: int = K.PASS_BYTES) -> DataFrame:
+    """The rows, all columns, for which decide says so; no shuffle and no join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.passes(batch, limit=limit):
+                yield part.filter(pa.array(decide(part)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -34,7 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .frames import map_keyed, map_passes, store
+from textloom.operators.graph import connected_components
+
+from .frames import fresh, map_keyed, map_passes, row_key, store
 
 WIDTH = 96  # coordinates of a sketch
 _rng = np.random.Generator(np.random.PCG64(0xC5))
@@ -75,7 +77,8 @@ def _sketches(n: int, runs: int):
             whole = K.mix(np.add.reduceat(K.mix(g), first) + size[has].astype(np.uint64))
         ids = batch.column("doc_id").take(pa.array(has))
         sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(has), [None, pa.py_buffer(small.tobytes())]).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([ids, pa.array(whole.view(np.int64)), pa.array(size[has]), K.lists(tokens.ravel().view(np.int64), np.arange(len(has) + 1) * runs), sketch], ["doc_id", "whole", "size", "tokens", "sketch"])
+        rk = batch.column("rk").take(pa.array(has))
+        return pa.RecordBatch.from_arrays([ids, rk, pa.array(whole.view(np.int64)), pa.array(size[has]), K.lists(tokens.ravel().view(np.int64), np.arange(len(has) + 1) * runs), sketch], ["doc_id", "rk", "whole", "size", "tokens", "sketch"])
 
     return work
 
@@ -227,11 +230,11 @@ def _verify(threshold: float):
 
 
 def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.999, brute: int = 1500, heavy: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """(members: rep, doc_id; pairs: a, b, jaccard of reps, a < b). A rep is the hash of a distinct set."""
+    """(members: rep, doc_id, rk; pairs: a, b, jaccard of reps, a < b). A rep is the hash of a distinct set."""
     runs = min(runs_for(threshold, recall), WIDTH)
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    sketched = store(map_passes(kept, _sketches(n, runs), "doc_id long, whole long, size long, tokens array<long>, sketch binary"), "sketches")
-    members = sketched.select(F.col("whole").alias("rep"), "doc_id").distinct()
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").withColumn("rk", row_key())
+    sketched = store(map_passes(kept, _sketches(n, runs), "doc_id long, rk long, whole long, size long, tokens array<long>, sketch binary"), "sketches")
+    members = sketched.select(F.col("whole").alias("rep"), "doc_id", "rk")
     reps = sketched.groupBy(F.col("whole").alias("rep")).agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     rows = reps.select("rep", "size", "sketch", F.explode("tokens").alias("key"))
     # Buckets too large for one task are split on, a coordinate at a time, until none is.
@@ -261,8 +264,22 @@ def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float
 def join(docs: DataFrame, **how) -> DataFrame:
     """All pairs of documents at or over the threshold: doc_a < doc_b, jaccard."""
     members, pairs = set_pairs(docs, **how)
-    members = store(members, "members")
+    members = store(members.select("rep", "doc_id").distinct(), "members")
     left, right = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
     across = pairs.join(left, "a").join(right, "b").select("x", "y", "jaccard")
     same = left.join(right, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(1.0).alias("jaccard"))
     return across.unionByName(same).where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 9).alias("jaccard"))
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The documents, all columns, but of each group of joined ones only that of the least id.
+
+    A group is a connected component of the join. Rows that repeat id and text go or stay together.
+    """
+    members, pairs = set_pairs(docs, **how)
+    groups = connected_components(pairs)
+    grouped = members.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "rk", F.coalesce("root", "rep").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("doc_id").alias("least"))
+    (rk,) = fresh(docs.columns, "_tl_rk")
+    gone = grouped.join(least, "group").where("doc_id > least").select(F.col("rk").alias(rk)).distinct()
+    return docs.withColumn(rk, F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).join(gone, rk, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

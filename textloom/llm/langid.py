@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .frames import map_passes
+from .frames import keep_rows, map_passes
 
 BUCKETS = 1 << 17
 PASS = 8 << 20
@@ -274,3 +274,21 @@ def score(docs: DataFrame, model: Model | None, least_share: float = 0.3) -> Dat
         return pa.RecordBatch.from_arrays([ids, language, pa.array(share), pa.array((size > 0) & (top < len(m.labels) - 1) & (share >= least_share)), pa.array(size, pa.int32()), segments], names)
 
     return map_passes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, OUT, limit=PASS)
+
+
+def keep(docs: DataFrame, model: Model | None, least_share: float = 0.3) -> DataFrame:
+    """The accepted documents, all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide(batch: pa.RecordBatch) -> np.ndarray:
+        m = shared.value
+        if m is None:
+            return np.zeros(batch.num_rows, bool)
+        g, counts = label(m, batch.column("text"))
+        sums = np.concatenate([np.zeros((1, len(m.labels))), np.cumsum(g, 0, dtype=np.float64)])
+        size = np.diff(counts)
+        mean = (sums[counts[1:]] - sums[counts[:-1]]) / np.maximum(size, 1)[:, None]
+        top = mean.argmax(1)
+        return (size > 0) & (top < len(m.labels) - 1) & (mean[np.arange(len(top)), top] >= least_share)
+
+    return keep_rows(docs, decide, PASS)

@@ -24,6 +24,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    return suffix.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -38,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op3_ngram_jaccard_join, op7_language_id, op8_toxicity, op10_packing)
+    found = (op3_ngram_jaccard_join, op4_suffix_array_dedup, op7_language_id, op8_toxicity, op10_packing)
     return {f.__name__: f for f in found}
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .frames import batches_of, map_passes
+from .frames import batches_of, keep_rows, map_passes, store
 
 SEGMENT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("evalue", pa.float64())])
 OUT = "doc_id long, toxic boolean, evalue double, score double, tokens int, segments array<struct<start:int,end:int,score:double,evalue:double>>"
@@ -140,8 +140,6 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 40_000, prior: flo
     bags = bags.groupBy("copy").agg(F.min_by(F.struct("toxic", "words", "tokens", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("held")), F.col("doc_id")).alias("b")).select("b.*")
     # The whole corpus' counts, for the prior.
     corpus = map_passes(docs.select("text"), _bags, "word long, n long").groupBy("word").agg(F.sum("n").alias("n_all"))
-    from .frames import store
-
     bags = store(bags, "toxic-bags")
     size = {(r.toxic, r.held): (r.n, r.docs) for r in bags.groupBy("toxic", "held").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).collect()}
     toxic, clean = float(size.get((1, False), (0, 0))[0] or 0), float(size.get((0, False), (0, 0))[0] or 0)
@@ -204,30 +202,40 @@ def calibrate(clean: DataFrame, model: Model, spark) -> Model:
     return model
 
 
+def judge(m: Model, texts: pa.Array, most_evalue: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
+    """For each text: toxic, E-value, best score, tokens, segments."""
+    h, counts = tokens(texts)
+    size, n = np.diff(counts), len(texts)
+    toxic, evalue, best = np.zeros(n, bool), np.ones(n), np.zeros(n)
+    segments: list[list[dict]] = [[] for _ in range(n)]
+    if len(m.words) and len(h):
+        i = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
+        hit = np.flatnonzero(m.words[i] == h)
+        cuts = np.searchsorted(hit, counts)
+        for d in np.flatnonzero(np.diff(cuts)).tolist():
+            at = hit[cuts[d] : cuts[d + 1]]
+            found = text_segments(at - counts[d], m.scores[i[at]], m.gap)
+            log_kn = math.log(m.k * max(int(size[d]), 1))
+            normal = [m.rate * s - log_kn for _, _, s in found]
+            evalue[d] = min(1.0, sum_evalue(normal))
+            best[d] = max(s for *_, s in found)
+            toxic[d] = evalue[d] <= most_evalue
+            segments[d] = [{"start": a, "end": b, "score": s, "evalue": min(1.0, math.exp(min(-x, 700)))} for (a, b, s), x in zip(found, normal, strict=True) if toxic[d] or math.exp(min(-x, 700)) <= most_evalue]
+    return toxic, evalue, best, size, segments
+
+
 def score(docs: DataFrame, model: Model, most_evalue: float = 0.01) -> DataFrame:
     """One row a document: OUT. Toxic if the E-value is at most `most_evalue`; only segments that are as significant by themselves, or in a toxic text score over zero, are listed."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = shared.value
-        h, counts = tokens(batch.column("text"))
-        size = np.diff(counts)
-        n = batch.num_rows
-        toxic, evalue, best = np.zeros(n, bool), np.ones(n), np.zeros(n)
-        segments: list[list[dict]] = [[] for _ in range(n)]
-        if len(m.words) and len(h):
-            i = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
-            hit = np.flatnonzero(m.words[i] == h)
-            cuts = np.searchsorted(hit, counts)
-            for d in np.flatnonzero(np.diff(cuts)).tolist():
-                at = hit[cuts[d] : cuts[d + 1]]
-                found = text_segments(at - counts[d], m.scores[i[at]], m.gap)
-                log_kn = math.log(m.k * max(int(size[d]), 1))
-                normal = [m.rate * s - log_kn for _, _, s in found]
-                evalue[d] = min(1.0, sum_evalue(normal))
-                best[d] = max(s for *_, s in found)
-                toxic[d] = evalue[d] <= most_evalue
-                segments[d] = [{"start": a, "end": b, "score": s, "evalue": min(1.0, math.exp(min(-x, 700)))} for (a, b, s), x in zip(found, normal, strict=True) if toxic[d] or math.exp(min(-x, 700)) <= most_evalue]
+        toxic, evalue, best, size, segments = judge(shared.value, batch.column("text"), most_evalue)
         return batches_of(ARROW, doc_id=batch.column("doc_id").cast(pa.int64()), toxic=toxic, evalue=evalue, score=best, tokens=size.astype(np.int32), segments=segments)
 
     return map_passes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, OUT)
+
+
+def keep(docs: DataFrame, model: Model, most_evalue: float = 0.01) -> DataFrame:
+    """The documents that aren't toxic, all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, lambda batch: ~judge(shared.value, batch.column("text"), most_evalue)[0])
