@@ -30,6 +30,19 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: each embedding is sounded as a WAV first."""
+    from . import media
+
+    return media.fingerprints(media.sonify(table(spark, sf_dir, "embeddings")), "id", "wav")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -44,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op3_ngram_jaccard_join, op4_suffix_array_dedup, op7_language_id, op8_toxicity, op10_packing)
+    found = (op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_html_extraction, op6_media_fingerprints, op7_language_id, op8_toxicity, op10_packing)
     return {f.__name__: f for f in found}
 
 
