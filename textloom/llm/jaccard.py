@@ -39,6 +39,8 @@ from textloom.operators.graph import connected_components
 from .frames import fresh, map_keyed, map_passes, row_key, store
 
 WIDTH = 96  # coordinates of a sketch
+#: Names of sets with candidates are sent to all tasks up to this size, to drop other sets before the join.
+FILTER_BYTES = 64 << 20
 _rng = np.random.Generator(np.random.PCG64(0xC5))
 _ODD = _rng.integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -170,7 +172,15 @@ def _candidates(threshold: float, brute: int):
     return work
 
 
-def _own_sets(n: int):
+def _fitting(names: DataFrame):
+    """The names, sorted, as a broadcast if they fit FILTER_BYTES; else None, and the join alone sorts out the sets."""
+    if names.count() * 8 > FILTER_BYTES:
+        return None
+    found = names.toPandas()["rep"].to_numpy(np.int64)
+    return names.sparkSession.sparkContext.broadcast(np.sort(found))
+
+
+def _own_sets(n: int, names):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         g, at, _ = sets(batch.column("text"), n)
         size = np.diff(at)
@@ -181,6 +191,13 @@ def _own_sets(n: int):
             whole = K.mix(np.add.reduceat(K.mix(g), at[has]) + size[has].astype(np.uint64))
         raw, offsets = g.tobytes(), np.r_[at[has], at[-1]] * 8
         packed = pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+        if names is not None:  # most sets have no candidate: they are dropped before they travel
+            sorted_names, own = names.value, whole.view(np.int64)
+            if not len(sorted_names):
+                return None
+            i = np.minimum(np.searchsorted(sorted_names, own), len(sorted_names) - 1)
+            hit = np.flatnonzero(sorted_names[i] == own)
+            whole, packed = whole[hit], packed.take(pa.array(hit))
         return pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), packed], ["rep", "grams"])
 
     return work
@@ -254,8 +271,9 @@ def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float
     found = map_keyed(rows, "key", _candidates(threshold, brute), "key long, a long, b long", least=20_000)
     found = store(found.groupBy("a", "b").agg(F.min("key").alias("key")), "candidates")
     needed = found.select("key", F.explode(F.array("a", "b")).alias("rep")).distinct()
-    whole = map_passes(kept.select("text"), _own_sets(n), "rep long, grams binary")
-    wanted = whole.join(needed.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.first("grams").alias("grams"))
+    names = store(needed.select("rep").distinct(), "needed")
+    whole = map_passes(kept.select("text"), _own_sets(n, _fitting(names)), "rep long, grams binary")
+    wanted = whole.join(names, "rep", "left_semi").groupBy("rep").agg(F.first("grams").alias("grams"))
     rows = needed.join(wanted, "rep").select("key", F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
     rows = rows.unionByName(found.select("key", "a", "b", F.lit(None).cast("binary").alias("grams")))
     return members, map_keyed(rows, "key", _verify(threshold), "a long, b long, jaccard double", least=2_000)
