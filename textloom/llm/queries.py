@@ -50,6 +50,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.score(docs, langid.fit(docs))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ego
+
+    return ego.join(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -57,9 +63,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_html_extraction, op6_media_fingerprints, op7_language_id, op8_toxicity, op10_packing)
+    found = (op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_html_extraction, op6_media_fingerprints, op7_language_id, op8_toxicity, op9_embedding_near_dedup, op10_packing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import ego
+
+    return {"op9_embedding_near_dedup": ego.oracle()}
