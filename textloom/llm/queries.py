@@ -18,6 +18,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hpylm
+
+    return hpylm.perplexity(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pieces
 
@@ -69,7 +75,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_sentencepiece_sampling, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_html_extraction, op6_media_fingerprints, op7_language_id, op8_toxicity, op9_embedding_near_dedup, op10_packing)
+    found = (op1_lm_scoring, op2_sentencepiece_sampling, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_html_extraction, op6_media_fingerprints, op7_language_id, op8_toxicity, op9_embedding_near_dedup, op10_packing)
     return {f.__name__: f for f in found}
 
 
