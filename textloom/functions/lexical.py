@@ -25,31 +25,22 @@ def _indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+def _best_window(short: str, long_: str) -> float:
+    n = len(short)
+    return max(_indel_ratio(short, long_[max(0, i) : i + n]) for i in range(1 - n, len(long_)))
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with any window of the longer, windows that overhang its ends included."""
+    """The best ratio of the shorter text with any window of the longer, windows that overhang its ends included; of texts of one length, either way."""
     short, long_ = sorted((a, b), key=len)
     if not short:
         return 0.0
-    n, m, best = len(short), len(long_), 0.0
     if short in long_:
         return 100.0
-    letters = set(short)
-    for i in range(1 - n, m):
-        window = long_[max(0, i) : i + n]
-        # A best window ends and begins with a letter of the shorter text.
-        if (window[-1] if i <= 0 else window[0]) in letters:
-            best = max(best, _indel_ratio(short, window))
-    if n == m:
-        best = max(best, partial_ratio_windows(long_, short))
-    return best
-
-
-def partial_ratio_windows(short: str, long_: str) -> float:
-    n = len(short)
-    return max(_indel_ratio(short, long_[max(0, i) : i + n]) for i in range(1 - n, len(long_)))
+    best = _best_window(short, long_)
+    return max(best, _best_window(long_, short)) if len(short) == len(long_) else best
 
 
-@F.pandas_udf("double")
 def _partial(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x, y) / 100 if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -61,4 +52,4 @@ def syntactic_similarity(a: Column, b: Column, method: str = "partial_ratio") ->
         return jaccard(x, y)
     if method != "partial_ratio":
         raise ValueError(f"unknown method {method}")
-    return _partial(F.array_join(x, " "), F.array_join(y, " "))
+    return F.pandas_udf(_partial, "double")(F.array_join(x, " "), F.array_join(y, " "))
