@@ -9,6 +9,7 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions.text import normalize_tokens
 from textloom.functions.vector import l2_normalize
@@ -70,7 +71,7 @@ class CallableEmbedding:
                         raise ValueError("an embedding for each text is needed")
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32()))], [*part.schema.names, "embedding"])
 
-        schema = rows.schema.add("embedding", "array<float>")
+        schema = T.StructType([*rows.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))])
         return rows.repartition(self.concurrency).mapInArrow(run, schema)
 
 
