@@ -246,8 +246,19 @@ def label(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return marginals(potentials(model, buf, starts[where], ends[where], uniq), word, counts, model.transitions, model.first), counts
 
 
-def score(docs: DataFrame, model: Model | None, least_share: float = 0.3) -> DataFrame:
-    """One row a document: OUT. Accepted if its language is a trained one and its words' mean marginal of it is at least `least_share`."""
+def decide(model: Model, texts: pa.Array, least_known: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals, words before each text, and each text's label, share of it, and whether it is accepted."""
+    g, counts = label(model, texts)
+    size, und = np.diff(counts), len(model.labels) - 1
+    sums = np.concatenate([np.zeros((1, und + 1)), np.cumsum(g, 0, dtype=np.float64)])
+    mean = (sums[counts[1:]] - sums[counts[:-1]]) / np.maximum(size, 1)[:, None]
+    accepted = (size > 0) & (mean[:, :und].sum(1) >= least_known)
+    top = np.where(accepted, mean[:, :und].argmax(1), und)
+    return g, counts, top, np.where(size > 0, mean[np.arange(len(top)), top], 0.0), accepted
+
+
+def score(docs: DataFrame, model: Model | None, least_known: float = 0.2) -> DataFrame:
+    """One row a document: OUT. Accepted if its words' mean marginal of the known languages together is at least `least_known`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "language", "share", "accepted", "words", "segments"]
 
@@ -257,12 +268,8 @@ def score(docs: DataFrame, model: Model | None, least_share: float = 0.3) -> Dat
         if m is None:
             segments = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1), pa.int32()), pa.StructArray.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.string())], ["start", "end", "language"]))
             return pa.RecordBatch.from_arrays([ids, pa.nulls(n, pa.string()), pa.array(np.zeros(n)), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n), pa.int32()), segments], names)
-        g, counts = label(m, batch.column("text"))
+        g, counts, top, share, accepted = decide(m, batch.column("text"), least_known)
         size = np.diff(counts)
-        sums = np.concatenate([np.zeros((1, len(m.labels))), np.cumsum(g, 0, dtype=np.float64)])
-        mean = (sums[counts[1:]] - sums[counts[:-1]]) / np.maximum(size, 1)[:, None]
-        top = mean.argmax(1)
-        share = np.where(size > 0, mean[np.arange(n), top], 0.0)
         best = g.argmax(1)
         text = K.owners(counts)
         new = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (text[1:] != text[:-1])]) if len(best) else np.zeros(0, np.int64)
@@ -271,24 +278,17 @@ def score(docs: DataFrame, model: Model | None, least_share: float = 0.3) -> Dat
         tags = pa.array(m.labels)
         segments = pa.ListArray.from_arrays(pa.array(np.searchsorted(new, counts), pa.int32()), pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32()), tags.take(pa.array(best[new]))], ["start", "end", "language"]))
         language = tags.take(pa.array(top, mask=size == 0))
-        return pa.RecordBatch.from_arrays([ids, language, pa.array(share), pa.array((size > 0) & (top < len(m.labels) - 1) & (share >= least_share)), pa.array(size, pa.int32()), segments], names)
+        return pa.RecordBatch.from_arrays([ids, language, pa.array(share), pa.array(accepted), pa.array(size, pa.int32()), segments], names)
 
     return map_passes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, OUT, limit=PASS)
 
 
-def keep(docs: DataFrame, model: Model | None, least_share: float = 0.3) -> DataFrame:
+def keep(docs: DataFrame, model: Model | None, least_known: float = 0.2) -> DataFrame:
     """The accepted documents, all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def decide(batch: pa.RecordBatch) -> np.ndarray:
+    def choose(batch: pa.RecordBatch) -> np.ndarray:
         m = shared.value
-        if m is None:
-            return np.zeros(batch.num_rows, bool)
-        g, counts = label(m, batch.column("text"))
-        sums = np.concatenate([np.zeros((1, len(m.labels))), np.cumsum(g, 0, dtype=np.float64)])
-        size = np.diff(counts)
-        mean = (sums[counts[1:]] - sums[counts[:-1]]) / np.maximum(size, 1)[:, None]
-        top = mean.argmax(1)
-        return (size > 0) & (top < len(m.labels) - 1) & (mean[np.arange(len(top)), top] >= least_share)
+        return np.zeros(batch.num_rows, bool) if m is None else decide(m, batch.column("text"), least_known)[4]
 
-    return keep_rows(docs, decide, PASS)
+    return keep_rows(docs, choose, PASS)
