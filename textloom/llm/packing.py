@@ -67,9 +67,13 @@ def patterns(histogram: dict[int, int], max_len: int) -> list[tuple[int, tuple[i
         while left:
             while roomiest and not by_room[roomiest]:
                 roomiest -= 1
-            if roomiest < length:  # not even the shortest pack takes it
-                by_room[max_len - length].append((left, (length,)))
-                roomiest = max(roomiest, max_len - length)
+            if roomiest < length:  # not even the shortest pack takes it: new ones, each the shortest until it is full
+                fits = max_len // length
+                full, rest = divmod(left, fits)
+                for n, k in ((full, fits), (1, rest)):
+                    if n and k:
+                        by_room[max_len - k * length].append((n, (length,) * k))
+                        roomiest = max(roomiest, max_len - k * length)
                 break
             n, pattern = by_room[roomiest].pop()
             take = min(n, left)
