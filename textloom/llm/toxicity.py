@@ -130,7 +130,7 @@ def _labelled_bags(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(key.view(np.int64)), K.lists(hs[first].view(np.int64), at), pa.array(np.diff(at))], ["doc_id", "toxic", "copy", "words", "tokens"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 40_000, prior: float = 0.1, z_min: float = 3.5, odds_min: float = 2.0, passage_rate: float = 0.25) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 40_000, prior: float = 0.1, z_min: float = 3.0, odds_min: float = 2.0, passage_rate: float = 0.25) -> Model:
     """`train_docs`: bound of the labelled sample. `prior`: pseudo-counts as a share of the training tokens. `passage_rate`: share of lexicon tokens expected in a toxic passage."""
     spark = docs.sparkSession
     chosen = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
