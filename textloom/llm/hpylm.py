@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-PASS = 8 << 20
+PASS = 6 << 20
 BUCKET_BYTES = 9 << 20  # of text, about 1.5 million tokens
 START = np.uint64(0)
 WORD_BYTES = 5
@@ -65,6 +65,24 @@ def unpack_words(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
+
+
+def expand(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of the same weight, so that leading zeros lie together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unplanes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context and word of every token, and tokens before each text."""
     buf, offsets = K.buffer(pc.utf8_lower(texts))
@@ -100,7 +118,7 @@ def _deal(buckets: int):
                     new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                     runs = np.diff(np.r_[new, hi - lo])
                     head = np.array([hi - lo, len(new)], np.int32)
-                    rows.append((k, 0, b"".join((head.tobytes(), own[new].tobytes(), runs.astype(np.int32).tobytes(), uw[lo * WORD_BYTES : hi * WORD_BYTES].tobytes(), ww[lo * WORD_BYTES : hi * WORD_BYTES].tobytes()))))
+                    rows.append((k, 0, squeeze(b"".join((head.tobytes(), own[new].tobytes(), runs.astype(np.int32).tobytes(), uw[lo * WORD_BYTES : hi * WORD_BYTES].tobytes(), ww[lo * WORD_BYTES : hi * WORD_BYTES].tobytes())))))
                 k, kind, data = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([name] * len(k), pa.int64()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["bucket", "pass", "kind", "data"])
 
@@ -119,6 +137,7 @@ class Bucket:
             if kinds[i]:
                 self.ids.append((int(names[i]), raw))
                 continue
+            raw = expand(raw)
             n, m = np.frombuffer(raw, np.int32, 2).tolist()
             at = 8
             self.texts.append(np.frombuffer(raw, np.uint32, m, at))
@@ -231,16 +250,19 @@ def _counts(parts: int):
     return work
 
 
+def _bounds(parts: int) -> np.ndarray:
+    return np.array([(k << (8 * WORD_BYTES)) // parts for k in range(parts + 1)], np.uint64)
+
+
 def _stats(b: Bucket, bucket: int, parts: int) -> pa.Table:
     """One row for every part of the parent: the words of this bucket that belong there."""
     served, customers, tables = b.counts()
-    part = (K.mix(b.words) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    # Words are sorted and parts are ranges of them, so a message is a run, sent as differences.
+    cuts = np.searchsorted(b.words, _bounds(parts))
     data = []
     for k in range(parts):
-        own = order[cuts[k] : cuts[k + 1]]
-        data.append(pack_words(b.words[own]) + np.stack([served[own], customers[own], tables[own]]).astype(np.uint32).tobytes())
+        own = slice(cuts[k], cuts[k + 1])
+        data.append(squeeze(planes(np.diff(b.words[own], prepend=np.uint64(0))) + planes(np.concatenate([served[own], customers[own], tables[own]]).astype(np.uint32))))
     return pa.table({"part": pa.array(np.arange(parts), pa.int32()), "bucket": pa.array([bucket] * parts, pa.int32()), "n": pa.array(np.diff(cuts), pa.int32()), "data": pa.array(data, pa.binary())})
 
 
@@ -253,8 +275,9 @@ def _parent(parts: int, base_size: float, strength: float, sweeps: int, seed: in
         order = np.argsort(buckets, kind="stable")
         buckets, ns = buckets[order], ns[order]
         raw = [rows.column("data")[i].as_py() for i in order.tolist()]
-        words = np.concatenate([unpack_words(x[: n * WORD_BYTES]) for x, n in zip(raw, ns.tolist(), strict=True)])
-        numbers = np.concatenate([np.frombuffer(x, np.uint32, offset=n * WORD_BYTES).reshape(3, n) for x, n in zip(raw, ns.tolist(), strict=True)], 1).astype(np.float64)
+        raw = [expand(x) for x in raw]
+        words = np.concatenate([np.cumsum(unplanes(x[: 8 * n], "<u8"), dtype=np.uint64) for x, n in zip(raw, ns.tolist(), strict=True)])
+        numbers = np.concatenate([unplanes(x[8 * n :], "<u4").reshape(3, n) for x, n in zip(raw, ns.tolist(), strict=True)], 1).astype(np.float64)
         uniq, at = np.unique(words, return_inverse=True)
         served, customers, tables = (np.bincount(at, x, len(uniq)) for x in numbers)
         b = Bucket.__new__(Bucket)
@@ -267,12 +290,13 @@ def _parent(parts: int, base_size: float, strength: float, sweeps: int, seed: in
         b.words, b.context, b.dish = np.arange(1), np.zeros(len(has), np.int64), np.zeros(len(has), np.int64)
         all_tables, all_customers = np.array([len(has) * parts]), np.array([b.c.sum() * parts])
         b.gibbs(np.array([1.0 / base_size]), all_customers, all_tables, strength, sweeps, sweeps, np.random.Generator(np.random.PCG64(seed + 7919 * part)))
-        discounted = np.zeros(len(uniq))
-        discounted[has] = b.c - b.discount * b.t
+        seated = np.zeros((2, len(uniq)))
+        seated[:, has] = b.c, b.t
         data, cuts = [], np.cumsum(np.r_[0, ns])
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = at[lo:hi]
-            data.append(np.array([b.discount], np.float32).tobytes() + pack_words(words[lo:hi]) + np.stack([discounted[own], customers[own], tables[own]]).astype(np.float32).tobytes())
+            # In the order that the bucket sent: seating of the words it serves, restaurants of its contexts.
+            dish, context = at[lo:hi][numbers[0, lo:hi] > 0], at[lo:hi][numbers[1, lo:hi] > 0]
+            data.append(np.array([b.discount], np.float32).tobytes() + squeeze(planes(np.concatenate([seated[0, dish], seated[1, dish], customers[context], tables[context]]).astype(np.uint64))))
         n = len(buckets)
         return pa.table({"bucket": pa.array(buckets, pa.int32()), "part": pa.array([part] * n, pa.int32()), "customers": pa.array([int(b.c.sum())] * n, pa.int64()), "tables": pa.array([int(b.t.sum())] * n, pa.int64()), "data": pa.array(data, pa.binary())})
 
@@ -282,19 +306,20 @@ def _parent(parts: int, base_size: float, strength: float, sweeps: int, seed: in
 def _from_parent(b: Bucket, back: pa.Table, base_size: float, strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Parent's probability, customers and tables for each word of the bucket."""
     customers, tables = float(np.sum(back.column("customers").to_numpy())), float(np.sum(back.column("tables").to_numpy()))
-    words, numbers, discounts = [], [], []
-    for x in back.column("data"):
+    served, sat, _ = b.counts()
+    cuts = np.searchsorted(b.words, _bounds(back.num_rows))
+    out, discounts = np.zeros((4, len(b.words))), []
+    for part, x in zip(back.column("part").to_pylist(), back.column("data"), strict=True):
         raw = x.as_py()
-        n = (len(raw) - 4) // (WORD_BYTES + 12)
         discounts.append(np.frombuffer(raw, np.float32, 1)[0])
-        words.append(unpack_words(raw[4 : 4 + n * WORD_BYTES]))
-        numbers.append(np.frombuffer(raw[4 + n * WORD_BYTES :], np.float32).reshape(3, n))
-    words, numbers = np.concatenate(words), np.concatenate(numbers, 1).astype(np.float64)
-    order = np.argsort(words)
-    at = order[np.searchsorted(words[order], b.words)]
+        found = unplanes(expand(raw[4:]), "<u8").astype(np.float64)
+        own = np.arange(cuts[part], cuts[part + 1])
+        dish, context = own[served[own] > 0], own[sat[own] > 0]
+        n, m = len(dish), len(context)
+        out[0, dish], out[1, dish], out[2, context], out[3, context] = found[:n], found[n : 2 * n], found[2 * n : 2 * n + m], found[2 * n + m :]
     d = float(np.mean(discounts))
-    p = (numbers[0, at] + (strength + d * tables) / base_size) / (strength + customers)
-    return p, numbers[1, at], numbers[2, at]
+    p = (np.maximum(out[0] - d * out[1], 0) + (strength + d * tables) / base_size) / (strength + customers)
+    return p, out[2], out[3]
 
 
 def _again(parts: int, base_size: float, strength: float, sweeps: int, seed: int):
