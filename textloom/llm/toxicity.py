@@ -25,6 +25,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -116,31 +117,54 @@ def _bags(batch: pa.RecordBatch) -> pa.RecordBatch | None:
 
 
 def _labelled_bags(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """One row a document: its class, a near-copy key, and its distinct words."""
+    """One row a document: its class, keys that near copies share, and its distinct words."""
     h, counts = tokens(batch.column("text"))
     g, of = K.grams(h, counts, 3)
     n = batch.num_rows
-    key = np.full(n, 2**64 - 1, np.uint64)
-    np.minimum.at(key, of, g)
+    keys = np.full((4, n), 2**64 - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for j, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)):
+            np.minimum.at(keys[j], of, g * np.uint64(odd))
+        pairs = np.stack([K.mix(K.mix(keys[a]) ^ (keys[b] + np.uint64(4 * a + b))) for a in range(4) for b in range(a + 1, 4)], 1)
     text = K.owners(counts)
     order = np.lexsort((h, text))
     hs, ts = h[order], text[order]
     first = np.flatnonzero(np.r_[True, (hs[1:] != hs[:-1]) | (ts[1:] != ts[:-1])]) if len(hs) else np.zeros(0, np.int64)
     at = np.searchsorted(ts[first], np.arange(n + 1))
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(key.view(np.int64)), K.lists(hs[first].view(np.int64), at), pa.array(np.diff(at))], ["doc_id", "toxic", "copy", "words", "tokens"])
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), K.lists(pairs.ravel().view(np.int64), np.arange(n + 1) * 6), K.lists(hs[first].view(np.int64), at), pa.array(np.diff(at))], ["doc_id", "toxic", "copies", "words", "tokens"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 40_000, prior: float = 0.1, z_min: float = 3.0, odds_min: float = 2.0, passage_rate: float = 0.25) -> Model:
+def originals(rows: pd.DataFrame) -> np.ndarray:
+    """The least id of each group of near copies: documents that share two of four minima of their 3-grams."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    seen: dict[int, int] = {}
+    for doc, keys in zip(rows["doc_id"].tolist(), rows["copies"].tolist(), strict=True):
+        for key in keys:
+            a, b = find(doc), find(seen.setdefault(int(key), doc))
+            parent[max(a, b)] = min(a, b)
+    return np.array(sorted({find(x) for x in rows["doc_id"].tolist()}), np.int64)
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 40_000, prior: float = 0.1, z_min: float = 3.3, odds_min: float = 2.0, passage_rate: float = 0.25) -> Model:
     """`train_docs`: bound of the labelled sample. `prior`: pseudo-counts as a share of the training tokens. `passage_rate`: share of lexicon tokens expected in a toxic passage."""
     spark = docs.sparkSession
     chosen = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(train_docs)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    bags = map_passes(rows, _labelled_bags, "doc_id long, toxic int, copy long, words array<long>, tokens long")
-    bags = bags.groupBy("copy").agg(F.min_by(F.struct("toxic", "words", "tokens", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("held")), F.col("doc_id")).alias("b")).select("b.*")
+    bags = map_passes(rows, _labelled_bags, "doc_id long, toxic int, copies array<long>, words array<long>, tokens long")
+    bags = store(bags, "toxic-bags")
+    alone = originals(bags.select("doc_id", "copies").toPandas())  # at most train_docs rows
+    kept = spark.createDataFrame(pd.DataFrame({"doc_id": alone}), "doc_id long")
+    bags = bags.join(F.broadcast(kept), "doc_id").select("toxic", "words", "tokens", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("held"))
     # The whole corpus' counts, for the prior.
     corpus = map_passes(docs.select("text"), _bags, "word long, n long").groupBy("word").agg(F.sum("n").alias("n_all"))
-    bags = store(bags, "toxic-bags")
     size = {(r.toxic, r.held): (r.n, r.docs) for r in bags.groupBy("toxic", "held").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).collect()}
     toxic, clean = float(size.get((1, False), (0, 0))[0] or 0), float(size.get((0, False), (0, 0))[0] or 0)
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1.0, 1.0)
