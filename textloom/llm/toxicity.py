@@ -165,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 40_000, prior: flo
     bags = bags.join(F.broadcast(kept), "doc_id").select("toxic", "words", "tokens", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("held"))
     # The whole corpus' counts, for the prior.
     corpus = map_passes(docs.select("text"), _bags, "word long, n long").groupBy("word").agg(F.sum("n").alias("n_all"))
+    corpus = store(corpus, "word-counts")
     size = {(r.toxic, r.held): (r.n, r.docs) for r in bags.groupBy("toxic", "held").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).collect()}
     toxic, clean = float(size.get((1, False), (0, 0))[0] or 0), float(size.get((0, False), (0, 0))[0] or 0)
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1.0, 1.0)
