@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-PASS = 6 << 20
+PASS = 4 << 20
 SPACE = "▁"
 OUT = "doc_id long, pieces array<int>, n int, lossless boolean"
 
