@@ -31,7 +31,7 @@ from . import kernels as K
 from .frames import keep_rows, map_passes
 
 BUCKETS = 1 << 17
-PASS = 8 << 20
+PASS = 4 << 20
 OUT = "doc_id long, language string, share double, accepted boolean, words int, segments array<struct<start:int,end:int,language:string>>"
 
 
