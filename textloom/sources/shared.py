@@ -24,3 +24,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/textloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that `store` left in the shared folder; only when no result that reads them is in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/textloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
