@@ -17,7 +17,7 @@ from textloom.operators.graph import connected_components
 from textloom.operators.judge import RuleJudge, SanityChecker, accepted, assign_batches, validate_entities
 from textloom.operators.similarity import BlendConfig, blend, extract_topics, score_pairs
 from textloom.providers import HashingEmbedding
-from textloom.sources.io import corpus_units, taxonomy_document
+from textloom.sources.io import corpus_units, spread, taxonomy_document
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -43,7 +43,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), "text", "doc_id")
+    docs = spread(_t(spark, sf_dir, "documents")).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("source"), "text", "doc_id")
     return corpus_units(docs, order="doc_id")
 
 

@@ -90,3 +90,9 @@ def format_taxonomy(topics: DataFrame, max_terms: int = 5) -> str:
         lines.append(f"{'  ' * depth}- {r.canonical_name}: {shown}")
         todo += [(x, depth + 1) for x in reversed(below.get(r.id, []))]
     return "\n".join(lines)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many partitions as there are cores, if a small table has come in fewer; a large one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
