@@ -10,7 +10,7 @@ intervals whose boxes are provably distant are skipped, and small pairs are comp
 product in double precision.
 
 The order comes from a range partitioning, the blocks' boxes are matched by an equi-join on the cells of
-the first axis that they touch, and a block travels once for each block that it may have a partner in.
+the first axis that they touch, and two blocks that may have partners in each other meet in a task.
 
 Defined results: null, empty, zero and non-finite vectors, and vectors of another dimension than most,
 have no partner; a null id is left out; ids that repeat with several vectors may be in pairs with other
@@ -111,7 +111,7 @@ def interval_join(a: np.ndarray, b: np.ndarray, eps: float, same: bool, small: i
     return np.concatenate([p for p, _ in out]), np.concatenate([q for _, q in out])
 
 
-def join(vectors: DataFrame, cosine: float = 0.95, id_column: str = "vec_id", vector_column: str = "embedding", leading: int = 8, block: int = 2048) -> DataFrame:
+def join(vectors: DataFrame, cosine: float = 0.95, id_column: str = "vec_id", vector_column: str = "embedding", leading: int = 8, block: int = 8192) -> DataFrame:
     """vec_a < vec_b, cosine: all pairs at or over the threshold."""
     spark, eps = vectors.sparkSession, math.sqrt(2 - 2 * cosine)
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
@@ -132,7 +132,7 @@ def join(vectors: DataFrame, cosine: float = 0.95, id_column: str = "vec_id", ve
 
     names = [f"c{i}" for i in range(leading)]
     placed = rows.mapInArrow(place, "id long, x binary, " + ", ".join(f"{c} int" for c in names)).distinct()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, math.ceil(dims["count"] / block))
     ordered = placed.repartitionByRange(n, *names, "id").sortWithinPartitions(*names, "id")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,29 +163,29 @@ def join(vectors: DataFrame, cosine: float = 0.95, id_column: str = "vec_id", ve
     near = stored.select(F.col("block").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(cell(F.col("lo")[0]), cell(F.col("hi")[0]))).alias("cell"))
     gap = F.aggregate(F.arrays_zip(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("lo2").alias("c"), F.col("hi2").alias("d")), F.lit(0.0), lambda s, z: s + F.pow(F.greatest(F.lit(0.0), z["c"] - z["b"], z["a"] - z["d"]), 2))
     pairs = box.join(near, "cell").where(F.col("block") <= F.col("b2")).where(gap <= eps * eps * (1 + 1e-9)).select("block", "b2").distinct()
-    # A block's task gets the block once, and every partner.
-    first = stored.select(F.col("block").alias("key"), F.lit(0).alias("kind"), "ids", "x")
-    others = pairs.join(stored.select(F.col("block").alias("b2"), "ids", "x"), "b2").select(F.col("block").alias("key"), F.when(F.col("b2") == F.col("block"), 1).otherwise(2).alias("kind"), "ids", "x")
+    # A pair of blocks is a task's unit of work: two blocks in memory, however many partners a block has.
+    pairs = pairs.select("block", "b2", F.concat_ws("-", "block", "b2").alias("key"))
+    left = pairs.join(stored.select("block", "ids", "x"), "block").select("key", F.when(F.col("b2") == F.col("block"), 0).otherwise(1).alias("kind"), "ids", "x")
+    right = pairs.where("b2 <> block").join(stored.select(F.col("block").alias("b2"), "ids", "x"), "b2").select("key", F.lit(2).alias("kind"), "ids", "x")
 
     def match(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, kinds = rows.column("key").to_numpy(), rows.column("kind").to_numpy()
-        cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+        keys, kinds = rows.column("key").to_pylist(), rows.column("kind").to_pylist()
         ids = lambda i: np.frombuffer(rows.column("ids")[i].as_py(), np.int64)
         xs = lambda i: np.frombuffer(rows.column("x")[i].as_py(), np.float64).reshape(-1, dim)
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = lo + int(np.flatnonzero(kinds[lo:hi] == 0)[0])
-            a, ia = xs(own), ids(own)
-            for i in range(lo, hi):
-                if kinds[i] == 0:
-                    continue
-                b, ib = (a, ia) if kinds[i] == 1 else (xs(i), ids(i))
-                p, q = interval_join(a, b, eps, kinds[i] == 1)
-                keep = ia[p] != ib[q]
-                p, q = p[keep], q[keep]
-                if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[p], ib[q])), pa.array(np.maximum(ia[p], ib[q])), pa.array((a[p] * b[q]).sum(1))], ["vec_a", "vec_b", "cosine"])
-
-    found = map_keyed(first.unionByName(others), "key", match, "vec_a long, vec_b long, cosine double")
+        for i, kind in enumerate(kinds):  # sorted: a pair's right block follows its left one
+            if kind == 2:
+                continue
+            if kind == 1 and (i + 1 >= len(keys) or keys[i + 1] != keys[i]):
+                raise ValueError(f"blocks {keys[i]} came apart")
+            a, ia = xs(i), ids(i)
+            b, ib = (a, ia) if kind == 0 else (xs(i + 1), ids(i + 1))
+            p, q = interval_join(a, b, eps, kind == 0)
+            keep = ia[p] != ib[q]
+            p, q = p[keep], q[keep]
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[p], ib[q])), pa.array(np.maximum(ia[p], ib[q])), pa.array((a[p] * b[q]).sum(1))], ["vec_a", "vec_b", "cosine"])
+
+    found = map_keyed(left.unionByName(right), "key", match, "vec_a long, vec_b long, cosine double", order=("kind",))
     return found.where(F.col("cosine") >= cosine - 1e-12).select("vec_a", "vec_b", F.round("cosine", 5).alias("cosine"))
 
 
