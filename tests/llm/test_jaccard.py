@@ -73,3 +73,34 @@ def test_a_chain_is_one_group(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     assert {(r.doc_a, r.doc_b) for r in X.join(docs).collect()} == {(1, 3), (1, 2)}
     assert [r.doc_id for r in X.keep_one(docs).collect()] == [1]
+
+
+def test_missed_pairs_by_depth():
+    # Of 0.5 a coordinate in two branches, s' = s - s^2 / 4; the spread of sketches adds to what is missed.
+    assert X.missed(0.5, [(10, 0)]) == pytest.approx(0.5**10)
+    for depth, bare in ((1, 0.991), (2, 0.974), (6, 0.862)):
+        assert 1 - 1.5 * (1 - bare) < 1 - X.missed(0.5, [(10, depth)]) < bare + 0.001
+        done = [(10, depth)]
+        while X.missed(0.5, done) > 0.001:
+            done.append((X.further_runs(0.5, 0.999, done, depth, 10), depth))
+        assert len(done) > 1
+
+
+@pytest.mark.parametrize("how", [{"brute": 8}, {"brute": 200, "compare": 0}])
+def test_recall_of_deep_splits(spark, how):
+    """A hot source: boilerplate that keeps buckets large, and pairs of Jaccard 0.5 to 0.6 in them."""
+    rng = random.Random(9)
+    boiler = [f"b{j}" for j in range(45)]
+    rows = []
+    for p in range(300):
+        own = [f"p{p}w{j}" for j in range(48)]
+        for _ in range(2):
+            words = [w if rng.random() > 0.03 else f"e{rng.randrange(10**7)}" for w in own]
+            for j in rng.sample(range(48), 4):
+                words[j] = f"e{rng.randrange(10**7)}"
+            rows.append((len(rows), " ".join(boiler + words)))
+    want = {k: j for k, j in brute(rows, 0.5).items() if j < 0.6}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in X.join(docs, **how).collect()}
+    assert len(want) > 60 and all(got[k] == want[k] for k in got.keys() & want.keys())
+    assert len(got.keys() & want.keys()) >= 0.99 * len(want)

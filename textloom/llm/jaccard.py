@@ -6,7 +6,10 @@ the token it is split on, so two sets of Jaccard similarity J meet with probabil
 compared by brute force. A large one is split again on further sampled coordinates, 1 / threshold of
 them a level, so that a similar pair is expected to survive in one branch or more; sets whose mean
 similarity to their bucket is over the threshold can't be split off and are compared with the whole
-bucket first. Runs repeat until a pair at the threshold is missed with probability at most 1 - recall.
+bucket first. Runs repeat until a pair at the threshold is missed with probability at most 1 - recall:
+the first runs are as many as that takes where no bucket is split; sets that were in split buckets run
+again among themselves, with fresh hashes, as often as the deepest split seen asks for, or are all compared
+on their sketches where that is less work. A pair with a set that was in none has lost nothing to splits.
 
 Buckets are compared on sketches of one byte a coordinate; every pair that could reach the threshold
 (three standard errors below it) is then verified on the whole sets, so all reported similarities are
@@ -41,6 +44,8 @@ from .frames import fresh, map_keyed, map_passes, row_key, store
 WIDTH = 96  # coordinates of a sketch
 #: Names of sets with candidates are sent to all tasks up to this size, to drop other sets before the join.
 FILTER_BYTES = 64 << 20
+BLOCK = 4096  # sets that are compared with as many at once
+_MET = ["key", "a", "b", "depth"]
 _rng = np.random.Generator(np.random.PCG64(0xC5))
 _ODD = _rng.integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -49,6 +54,35 @@ def runs_for(threshold: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
 
 
+def least_share(threshold: float) -> float:
+    """Share of the sketch on which candidates agree: three standard errors below the threshold."""
+    return max(0.0, threshold - 3 * math.sqrt(threshold * (1 - threshold) / WIDTH))
+
+
+def missed(threshold: float, done: list[tuple[int, int]]) -> float:
+    """Probability that (runs, depth of splits) all miss a candidate pair at the threshold.
+
+    Splits of all runs are made on one sketch, so it is averaged over the share on which the pair agrees.
+    """
+    agree = np.arange(math.ceil(least_share(threshold) * WIDTH), WIDTH + 1)
+    weight = np.array([math.comb(WIDTH, k) * threshold**k * (1 - threshold) ** (WIDTH - k) for k in agree.tolist()])
+    left = np.ones(len(agree))
+    for runs, depth in done:
+        survives = np.ones(len(agree))
+        for _ in range(depth):
+            survives = 1 - (1 - agree / WIDTH * survives) ** math.ceil(1 / threshold)
+        left *= (1 - threshold * survives) ** runs
+    return float((weight * left).sum() / weight.sum())
+
+
+def further_runs(threshold: float, recall: float, done: list[tuple[int, int]], depth: int, most: int) -> int:
+    """Runs of splits to `depth` that bring what is missed down to 1 - recall, but `most` at once."""
+    more = 1
+    while more < most and missed(threshold, [*done, (more, depth)]) > 1 - recall:
+        more += 1
+    return more
+
+
 def sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams of each text, sorted within it, flat; each text's first (one more at the end)."""
     buf, offsets = K.buffer(pc.utf8_lower(texts))
@@ -85,8 +119,8 @@ def _sketches(n: int, runs: int):
     return work
 
 
-def bucket_pairs(sketch: np.ndarray, size: np.ndarray, threshold: float, least: float, brute: int, seed: int, depth: int = 0, used: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (indices) of one bucket, by recursion on sampled coordinates."""
+def bucket_pairs(sketch: np.ndarray, size: np.ndarray, threshold: float, least: float, brute: int, seed: int, depth: int = 0, used: tuple[int, ...] = (), reached: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (indices) of one bucket, by recursion on sampled coordinates. reached: takes the depths of its splits."""
     m = len(sketch)
     none = np.zeros(0, np.int64)
     if m < 2:
@@ -107,6 +141,8 @@ def bucket_pairs(sketch: np.ndarray, size: np.ndarray, threshold: float, least:
     else:
         rest = np.arange(m)
     if len(rest) > 1:
+        if reached is not None:
+            reached.append(depth + 1)
         key = K.mix(np.array([seed + 0x9E37 * depth + sum(used) * 131], np.uint64))
         free = np.array([j for j in range(WIDTH) if j not in used])
         for b in range(math.ceil(1 / threshold)):
@@ -115,7 +151,7 @@ def bucket_pairs(sketch: np.ndarray, size: np.ndarray, threshold: float, least:
             order = np.argsort(values, kind="stable")
             for part in np.split(rest[order], np.flatnonzero(np.diff(values[order])) + 1):
                 if len(part) > 1:
-                    a, b2 = bucket_pairs(sketch[part], size[part], threshold, least, brute, seed + b + 1, depth + 1, (*used, j))
+                    a, b2 = bucket_pairs(sketch[part], size[part], threshold, least, brute, seed + b + 1, depth + 1, (*used, j), reached)
                     out.append((part[a], part[b2]))
     a, b = np.concatenate([x for x, _ in out] or [none]), np.concatenate([x for _, x in out] or [none])
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
@@ -145,7 +181,8 @@ def _brute(sketch, size, left, right, threshold, least, same) -> tuple[np.ndarra
 
 
 def _candidates(threshold: float, brute: int):
-    least = max(0.0, threshold - 3 * math.sqrt(threshold * (1 - threshold) / WIDTH))
+    """Rows of buckets to candidate pairs, and for each set of a split bucket a row with b null and the depth of its splits."""
+    least = least_share(threshold)
 
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         keys = rows.column("key").to_numpy()
@@ -153,6 +190,7 @@ def _candidates(threshold: float, brute: int):
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, WIDTH)
         cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
         sizes = np.diff(cuts)
+        depth = rows.column("level").to_numpy()[cuts[:-1]].astype(np.int32)
         outs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         two = cuts[:-1][sizes == 2]  # most buckets by far: compared all at once
         if len(two):
@@ -161,17 +199,59 @@ def _candidates(threshold: float, brute: int):
             outs.append((keys[a[ok]], ids[a[ok]], ids[b[ok]]))
         for i in np.flatnonzero(sizes > 2).tolist():
             own = slice(cuts[i], cuts[i + 1])
-            a, b = bucket_pairs(sketch[own], size[own], threshold, least, brute, int(keys[cuts[i]]) & 0xFFFFFFFF)
+            reached = [0]
+            a, b = bucket_pairs(sketch[own], size[own], threshold, least, brute, int(keys[cuts[i]]) & 0xFFFFFFFF, reached=reached)
+            depth[i] += max(reached)
             if len(a):
                 outs.append((np.full(len(a), keys[cuts[i]]), ids[own][a], ids[own][b]))
         if outs:
             key, a, b = (np.concatenate(x) for x in zip(*outs, strict=True))
             keep = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["key", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(np.zeros(int(keep.sum()), np.int32))], _MET)
+        depth = np.repeat(depth, sizes)
+        split = np.flatnonzero(depth)
+        if len(split):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[split]), pa.array(ids[split]), pa.nulls(len(split), pa.int64()), pa.array(depth[split])], _MET)
 
     return work
 
 
+def _blocks(sets_: DataFrame, x: str) -> DataFrame:
+    """Sets (rep, size, sketch) in blocks of bytes, named by their first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(at, BLOCK)
+                ids = b.column("rep").to_numpy()
+                data = [ids[:1], [ids.tobytes()], [b.column("size").to_numpy().tobytes()], [b"".join(b.column("sketch").to_pylist())]]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in data], [f"{c}{x}" for c in ("name", "ids", "size", "sketch")])
+
+    return sets_.select("rep", "size", "sketch").mapInArrow(run, f"name{x} long, ids{x} binary, size{x} binary, sketch{x} binary")
+
+
+def _compare_all(sets_: DataFrame, threshold: float) -> DataFrame:
+    """Candidates (key, a, b) among all pairs of sets: blocks meet in a Cartesian product, none is collected or broadcast."""
+    least = least_share(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                same = r["name_x"] == r["name_y"]
+                both = "x" if same else "xy"
+                ids, size = (np.concatenate([np.frombuffer(r[f"{c}_{x}"], np.int64) for x in both]) for c in ("ids", "size"))
+                sketch = np.concatenate([np.frombuffer(r[f"sketch_{x}"], np.uint8) for x in both]).reshape(-1, WIDTH)
+                at = np.arange(len(ids))
+                n = len(r["ids_x"]) // 8
+                a, b = _brute(sketch, size, at[:n], at if same else at[n:], threshold, least, same)
+                if len(a):
+                    key = K.mix(np.array([r["name_x"]], np.int64).view(np.uint64)) ^ np.array([r["name_y"]], np.int64).view(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key.view(np.int64), len(a))), pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["key", "a", "b"])
+
+    pairs = _blocks(sets_, "_x").crossJoin(_blocks(sets_, "_y")).where("name_x <= name_y")
+    return pairs.mapInArrow(run, "key long, a long, b long")
+
+
 def _fitting(names: DataFrame):
     """The names, sorted, as a broadcast if they fit FILTER_BYTES; else None, and the join alone sorts out the sets."""
     if names.count() * 8 > FILTER_BYTES:
@@ -180,6 +260,33 @@ def _fitting(names: DataFrame):
     return names.sparkSession.sparkContext.broadcast(np.sort(found))
 
 
+def _more_tokens(n: int, first: int, runs: int, names):
+    """Tokens of `runs` runs, numbered from `first`, for the sets named."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        g, at, _ = sets(batch.column("text"), n)
+        size = np.diff(at)
+        has = np.flatnonzero(size)
+        if not len(has):
+            return None
+        with np.errstate(over="ignore"):
+            whole = K.mix(np.add.reduceat(K.mix(g), at[has]) + size[has].astype(np.uint64)).view(np.int64)
+            if names is not None:
+                hit = np.isin(whole, names.value)
+                if not hit.any():
+                    return None
+                g, has, whole = g[np.repeat(hit, size[has])], has[hit], whole[hit]
+            begin = np.cumsum(np.r_[0, size[has]])[:-1]
+            tokens = np.empty((len(has), runs), np.uint64)
+            for j in range(runs):
+                # Beyond the sketch's coordinates, which the splits use.
+                odd = K.mix(np.array([WIDTH + first + j], np.uint64)) | np.uint64(1)
+                tokens[:, j] = K.mix(np.minimum.reduceat(g * odd, begin) + np.uint64(first + j))
+        return pa.RecordBatch.from_arrays([pa.array(whole), K.lists(tokens.ravel().view(np.int64), np.arange(len(has) + 1) * runs)], ["rep", "tokens"])
+
+    return work
+
+
 def _own_sets(n: int, names):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         g, at, _ = sets(batch.column("text"), n)
@@ -246,14 +353,9 @@ def _verify(threshold: float):
     return work
 
 
-def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.999, brute: int = 1500, heavy: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """(members: rep, doc_id, rk; pairs: a, b, jaccard of reps, a < b). A rep is the hash of a distinct set."""
-    runs = min(runs_for(threshold, recall), WIDTH)
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").withColumn("rk", row_key())
-    sketched = store(map_passes(kept, _sketches(n, runs), "doc_id long, rk long, whole long, size long, tokens array<long>, sketch binary"), "sketches")
-    members = sketched.select(F.col("whole").alias("rep"), "doc_id", "rk")
-    reps = sketched.groupBy(F.col("whole").alias("rep")).agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
-    rows = reps.select("rep", "size", "sketch", F.explode("tokens").alias("key"))
+def _meet(rows: DataFrame, threshold: float, brute: int, heavy: int) -> DataFrame:
+    """Candidates (key, a, b, depth) of runs' rows (rep, size, sketch, key); b is null for sets of split buckets."""
+    rows = rows.withColumn("level", F.lit(0))
     # Buckets too large for one task are split on, a coordinate at a time, until none is.
     light, level = None, 0
     while level < WIDTH // 4:
@@ -265,11 +367,45 @@ def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float
         light = part if light is None else light.unionByName(part)
         places = F.array(*[F.pmod(F.xxhash64("key", F.lit(level), F.lit(b)), F.lit(WIDTH)) for b in range(math.ceil(1 / threshold))])
         rows = rows.join(big, "key", "left_semi").select("rep", "size", "sketch", "key", F.explode(F.array_distinct(places)).alias("_at"))
-        rows = store(rows.select("rep", "size", "sketch", F.xxhash64("key", "_at", F.substring("sketch", F.col("_at").cast("int") + 1, F.lit(1))).alias("key")), "split-buckets")
         level += 1
+        rows = store(rows.select("rep", "size", "sketch", F.xxhash64("key", "_at", F.substring("sketch", F.col("_at").cast("int") + 1, F.lit(1))).alias("key"), F.lit(level).alias("level")), "split-buckets")
     rows = rows if light is None else light.unionByName(rows)
-    found = map_keyed(rows, "key", _candidates(threshold, brute), "key long, a long, b long", least=20_000)
-    found = store(found.groupBy("a", "b").agg(F.min("key").alias("key")), "candidates")
+    found = map_keyed(rows, "key", _candidates(threshold, brute), "key long, a long, b long, depth int", least=20_000)
+    return store(found.groupBy("a", "b").agg(F.min("key").alias("key"), F.max("depth").alias("depth")), "candidates")
+
+
+def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.999, brute: int = 1500, heavy: int = 50_000, compare: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members: rep, doc_id, rk; pairs: a, b, jaccard of reps, a < b). A rep is the hash of a distinct set.
+
+    compare: up to so many sets of split buckets are all compared; by default, as many as further runs would compare each with.
+    """
+    runs = min(runs_for(threshold, recall), WIDTH)
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").withColumn("rk", row_key())
+    sketched = store(map_passes(kept, _sketches(n, runs), "doc_id long, rk long, whole long, size long, tokens array<long>, sketch binary"), "sketches")
+    members = sketched.select(F.col("whole").alias("rep"), "doc_id", "rk")
+    reps = sketched.groupBy(F.col("whole").alias("rep")).agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    met = _meet(reps.select("rep", "size", "sketch", F.explode("tokens").alias("key")), threshold, brute, heavy)
+    depth = met.where("b is null").agg(F.max("depth")).first()[0] or 0
+    done = [(runs, depth)]
+    found = met.where("b is not null")
+    if depth and missed(threshold, done) > 1 - recall:
+        split = met.where("b is null").select(F.col("a").alias("rep")).distinct()
+        again = store(reps.join(split, "rep", "left_semi").select("rep", "size", "sketch"), "split-sets")
+        count, names = again.count(), None
+        while missed(threshold, done) > 1 - recall:
+            more = further_runs(threshold, recall, done, depth, 10 * runs)
+            if count <= (more * math.ceil(1 / threshold) ** depth * brute if compare is None else compare):
+                # Every pair of them: nothing is missed.
+                found = found.unionByName(_compare_all(again.repartition(max(1, math.ceil(count / BLOCK)), "rep"), threshold).withColumn("depth", F.lit(0)))
+                break
+            first, more = sum(x for x, _ in done), min(more, runs)
+            names = names or _fitting(again.select("rep"))
+            tokens = map_passes(kept.select("text"), _more_tokens(n, first, more, names), "rep long, tokens array<long>").groupBy("rep").agg(F.first("tokens").alias("tokens"))
+            met = _meet(again.join(tokens, "rep").select("rep", "size", "sketch", F.explode("tokens").alias("key")), threshold, brute, heavy)
+            depth = met.where("b is null").agg(F.max("depth")).first()[0] or 0
+            done.append((more, depth))
+            found = found.unionByName(met.where("b is not null"))
+        found = store(found.groupBy("a", "b").agg(F.min("key").alias("key")), "all-candidates")
     needed = found.select("key", F.explode(F.array("a", "b")).alias("rep")).distinct()
     names = store(needed.select("rep").distinct(), "needed")
     whole = map_passes(kept.select("text"), _own_sets(n, _fitting(names)), "rep long, grams binary")
