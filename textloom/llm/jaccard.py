@@ -377,7 +377,7 @@ def _meet(rows: DataFrame, threshold: float, brute: int, heavy: int) -> DataFram
 def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.999, brute: int = 1500, heavy: int = 50_000, compare: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(members: rep, doc_id, rk; pairs: a, b, jaccard of reps, a < b). A rep is the hash of a distinct set.
 
-    compare: up to so many sets of split buckets are all compared; by default, as many as further runs would compare each with.
+    compare: up to so many sets of split buckets are all compared; by default, `brute` for each further run.
     """
     runs = min(runs_for(threshold, recall), WIDTH)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").withColumn("rk", row_key())
@@ -394,7 +394,7 @@ def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float
         count, names = again.count(), None
         while missed(threshold, done) > 1 - recall:
             more = further_runs(threshold, recall, done, depth, 10 * runs)
-            if count <= (more * math.ceil(1 / threshold) ** depth * brute if compare is None else compare):
+            if count <= (more * brute if compare is None else compare):
                 # Every pair of them: nothing is missed.
                 found = found.unionByName(_compare_all(again.repartition(max(1, math.ceil(count / BLOCK)), "rep"), threshold).withColumn("depth", F.lit(0)))
                 break
