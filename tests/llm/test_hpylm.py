@@ -103,3 +103,19 @@ def test_hostile_rows(spark):
         assert r.tokens == 0 or (math.isfinite(r.perplexity) and r.perplexity > 0)
     assert sum(r.doc_id is None for r in got) == 1 and sum(r.doc_id == 2 for r in got) == 2
     assert X.perplexity(empty(spark)).count() == 0
+
+
+def test_a_word_seen_once_is_predicted_by_the_base_alone():
+    parts, base_size = 1, 1000.0
+    b = X.Bucket.__new__(X.Bucket)
+    b.seat(np.array([11, 11, 11, 12, 12], np.uint64), np.array([21, 21, 22, 21, 23], np.uint64))
+    back = X._parent(parts, base_size, 1.0, 4, 0)(X._stats(b, 0, parts))
+    p, customers, tables, lone = X._from_parent(b, back, base_size, 1.0)
+    once = int(np.searchsorted(b.words, 23))
+    # 4 tables in the parent before, 3 after; those of 22 and 23 are the parent's only ones.
+    d, t = float(np.frombuffer(back.column("data")[0].as_py(), np.float32, 1)[0]), int(back.column("tables")[0].as_py())
+    assert math.isclose(lone[once], (1 + d * (t - 1)) / base_size / (1 + 4 - 1), rel_tol=1e-6)
+    got = b.gibbs(p, customers, tables, 1.0, 4, 2, np.random.Generator(np.random.PCG64(0)), lone)
+    i = int(np.flatnonzero(b.dish == once)[0])
+    rest = np.bincount(b.context, b.t)[b.context[i]] - 1
+    assert math.isclose(got[i], (1 + b.discount * rest) * lone[once] / (1 + 2 - 1), rel_tol=1e-6)

@@ -6,7 +6,8 @@ word; each table of a context is a customer of the parent. Seating is sampled by
 taken out and seated again, at a table of its word in proportion to its size less the discount, or at a
 new one in proportion to (strength + discount * tables of the context) * parent's probability.
 
-A token's probability is the mass of these choices while it is out, so no token predicts itself; it is
+A token's probability is the mass of these choices while it is out, so no token predicts itself: where it
+sits alone, its table is out of the parent too, and the parent's table that only this one sits at. It is
 averaged over the sweeps after burn-in. A document's perplexity is exp(- mean log averaged probability).
 
 Distribution. Tokens are dealt by a hash of (context, word), so every (context, word) pair is whole in one
@@ -164,9 +165,10 @@ class Bucket:
         f = lambda at, x: np.bincount(at, x, n).astype(np.int64)
         return f(self.dish, self.t), f(self.context, self.c), f(self.context, self.t)
 
-    def gibbs(self, parent: np.ndarray, customers: np.ndarray, tables: np.ndarray, strength: float, sweeps: int, burn: int, rng: np.random.Generator) -> np.ndarray:
-        """Averaged probability of each pair, a token of it taken out. parent: probability of each word; customers, tables: of each word's restaurant, in all buckets."""
+    def gibbs(self, parent: np.ndarray, customers: np.ndarray, tables: np.ndarray, strength: float, sweeps: int, burn: int, rng: np.random.Generator, lone: np.ndarray | None = None) -> np.ndarray:
+        """Averaged probability of each pair, a token of it taken out. parent: probability of each word; customers, tables: of each word's restaurant, in all buckets. lone: parent with one table of the word out of it."""
         d, p_dish = self.discount, parent[self.dish]
+        p_lone = p_dish if lone is None else lone[self.dish]
         elsewhere = tables - self.counts()[2]
         own = np.bincount(self.context, self.t, len(self.words))
         rest = strength + customers[self.context] - 1.0
@@ -180,7 +182,7 @@ class Bucket:
         sitting = np.zeros(n, np.int64)
         sitting[first[:-1]] = size
         t = np.ones(len(many), np.int64)
-        ctx, word_p = self.context[many], p_dish[many]
+        ctx, word_p, lone_p = self.context[many], p_dish[many], p_lone[many]
         place = np.arange(n) - first[pair]
         mass, seen = np.zeros(len(many)), 0
         # Places whose number within the pair is congruent are taken out together.
@@ -191,7 +193,7 @@ class Bucket:
                 seen += 1
                 base = strength + d * (elsewhere + own)[self.context]
                 single = self.c == 1
-                total[single] += ((base[single] - d) * p_dish[single]) / np.maximum(rest[single], 1e-12)
+                total[single] += ((base[single] - d) * p_lone[single]) / np.maximum(rest[single], 1e-12)
             for g in groups:
                 if not len(g):
                     continue
@@ -205,7 +207,8 @@ class Bucket:
                 out = np.bincount(k, minlength=len(many))
                 table[g] = -1
                 old_mass = (size - out - d * t)[k]
-                new_mass = ((strength + d * (elsewhere + own)[ctx]) * word_p)[k]
+                # Whose table is gone takes it out of the parent.
+                new_mass = (strength + d * (elsewhere + own)[ctx])[k] * np.where(sitting[old] == 0, lone_p[k], word_p[k])
                 if kept:
                     # The other customers taken out with it still count for its probability.
                     mass += np.bincount(k, (size[k] - 1 - d * t[k]).clip(0) + new_mass, len(many)) if out.max() > 1 else np.bincount(k, np.maximum(old_mass, 0) + new_mass, len(many))
@@ -237,6 +240,8 @@ class Bucket:
                 np.add.at(sitting, chosen, 1)
                 table[g] = chosen
         self.t[many] = t
+        self.alone = np.ones(len(self.c), np.int64)  # tables of one customer
+        self.alone[many] = np.bincount(pair, sitting == 1, len(many)).astype(np.int64)
         if seen:
             total[many] = mass / size / np.maximum(rest[many], 1e-12)
             total /= seen
@@ -290,25 +295,25 @@ def _parent(parts: int, base_size: float, strength: float, sweeps: int, seed: in
         b.words, b.context, b.dish = np.arange(1), np.zeros(len(has), np.int64), np.zeros(len(has), np.int64)
         all_tables, all_customers = np.array([len(has) * parts]), np.array([b.c.sum() * parts])
         b.gibbs(np.array([1.0 / base_size]), all_customers, all_tables, strength, sweeps, sweeps, np.random.Generator(np.random.PCG64(seed + 7919 * part)))
-        seated = np.zeros((2, len(uniq)))
-        seated[:, has] = b.c, b.t
+        seated = np.zeros((3, len(uniq)))
+        seated[:, has] = b.c, b.t, b.alone
         data, cuts = [], np.cumsum(np.r_[0, ns])
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             # In the order that the bucket sent: seating of the words it serves, restaurants of its contexts.
             dish, context = at[lo:hi][numbers[0, lo:hi] > 0], at[lo:hi][numbers[1, lo:hi] > 0]
-            data.append(np.array([b.discount], np.float32).tobytes() + squeeze(planes(np.concatenate([seated[0, dish], seated[1, dish], customers[context], tables[context]]).astype(np.uint64))))
+            data.append(np.array([b.discount], np.float32).tobytes() + squeeze(planes(np.concatenate([seated[0, dish], seated[1, dish], seated[2, dish], customers[context], tables[context]]).astype(np.uint64))))
         n = len(buckets)
         return pa.table({"bucket": pa.array(buckets, pa.int32()), "part": pa.array([part] * n, pa.int32()), "customers": pa.array([int(b.c.sum())] * n, pa.int64()), "tables": pa.array([int(b.t.sum())] * n, pa.int64()), "data": pa.array(data, pa.binary())})
 
     return work
 
 
-def _from_parent(b: Bucket, back: pa.Table, base_size: float, strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parent's probability, customers and tables for each word of the bucket."""
+def _from_parent(b: Bucket, back: pa.Table, base_size: float, strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parent's probability, customers and tables for each word of the bucket, and the probability with one table of the word out."""
     customers, tables = float(np.sum(back.column("customers").to_numpy())), float(np.sum(back.column("tables").to_numpy()))
     served, sat, _ = b.counts()
     cuts = np.searchsorted(b.words, _bounds(back.num_rows))
-    out, discounts = np.zeros((4, len(b.words))), []
+    out, discounts = np.zeros((5, len(b.words))), []
     for part, x in zip(back.column("part").to_pylist(), back.column("data"), strict=True):
         raw = x.as_py()
         discounts.append(np.frombuffer(raw, np.float32, 1)[0])
@@ -316,17 +321,21 @@ def _from_parent(b: Bucket, back: pa.Table, base_size: float, strength: float) -
         own = np.arange(cuts[part], cuts[part + 1])
         dish, context = own[served[own] > 0], own[sat[own] > 0]
         n, m = len(dish), len(context)
-        out[0, dish], out[1, dish], out[2, context], out[3, context] = found[:n], found[n : 2 * n], found[2 * n : 2 * n + m], found[2 * n + m :]
+        out[0, dish], out[1, dish], out[4, dish] = found[: 3 * n].reshape(3, n)
+        out[2, context], out[3, context] = found[3 * n :].reshape(2, m)
     d = float(np.mean(discounts))
     p = (np.maximum(out[0] - d * out[1], 0) + (strength + d * tables) / base_size) / (strength + customers)
-    return p, out[2], out[3]
+    gone = out[4] / np.maximum(out[0], 1)  # the expected share of a parent's table that goes with a customer of it
+    lone = (np.maximum(out[0] - 1 - d * (out[1] - gone), 0) + (strength + d * (tables - gone)) / base_size) / (strength + customers - 1)
+    return p, out[2], out[3], lone
 
 
 def _again(parts: int, base_size: float, strength: float, sweeps: int, seed: int):
     def work(key, rows: pa.Table, back: pa.Table) -> pa.Table:
         b = Bucket(rows)
         bucket = int(rows.column("bucket")[0].as_py())
-        b.gibbs(*_from_parent(b, back, base_size, strength), strength, sweeps, sweeps, np.random.Generator(np.random.PCG64(seed + bucket)))
+        *given, lone = _from_parent(b, back, base_size, strength)
+        b.gibbs(*given, strength, sweeps, sweeps, np.random.Generator(np.random.PCG64(seed + bucket)), lone)
         return _stats(b, bucket, parts)
 
     return work
@@ -338,7 +347,8 @@ def _score(base_size: float, strength: float, sweeps: int, burn: int, seed: int)
         bucket = int(rows.column("bucket")[0].as_py())
         names, kinds, data = [], [], []
         if len(b.c):
-            p = b.gibbs(*_from_parent(b, back, base_size, strength), strength, sweeps, burn, np.random.Generator(np.random.PCG64(seed + bucket)))
+            *given, lone = _from_parent(b, back, base_size, strength)
+            p = b.gibbs(*given, strength, sweeps, burn, np.random.Generator(np.random.PCG64(seed + bucket)), lone)
             log_p = np.log(np.maximum(p, 1e-300))[b.pair]
             at = 0
             for name, texts, runs in zip(b.passes, b.texts, b.runs, strict=True):
