@@ -66,3 +66,13 @@ def test_without_languages_nothing_is_accepted(spark):
     assert X.fit(empty(spark)) is None
     assert X.score(documents(spark), None).where("accepted").count() == 0
     assert X.keep(documents(spark), None).count() == 0
+
+
+def test_more_languages_than_bits(spark, monkeypatch):
+    rows = [(i, f"l{i % 70:02}", f"word{i % 70}a word{i % 70}b other") for i in range(210)]
+    model = X.train([(lang, t) for _, lang, t in rows], rounds=2, sequences=50)
+    assert model.labels == [*sorted({lang for _, lang, _ in rows}), "und"]
+    assert model.members.sum(0).tolist() == [3] * 70
+    monkeypatch.setattr(X, "train", lambda found: found)
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert {lang for lang, _ in X.fit(docs)} == {lang for _, lang, _ in rows}

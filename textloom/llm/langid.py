@@ -42,7 +42,7 @@ class Model:
     transitions: np.ndarray  # exponentiated
     first: np.ndarray  # exponentiated
     lexicon: np.ndarray  # sorted hashes
-    members: np.ndarray  # bits: the languages whose lexicon has the word
+    members: np.ndarray  # words x languages: whether its lexicon has the word
     lex: np.ndarray  # languages x labels
 
 
@@ -82,11 +82,12 @@ def features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarra
 
 def memberships(model: Model, h: np.ndarray) -> np.ndarray:
     """For each word and language whether its lexicon has it."""
-    bits = np.zeros(len(h), np.int64)
+    out = np.zeros((len(h), len(model.lex)), np.float32)
     if len(model.lexicon) and len(h):
         i = np.minimum(np.searchsorted(model.lexicon, h), len(model.lexicon) - 1)
-        bits = np.where(model.lexicon[i] == h, model.members[i], 0)
-    return (bits[:, None] >> np.arange(len(model.lex)) & 1).astype(np.float32)
+        hit = np.flatnonzero(model.lexicon[i] == h)
+        out[hit] = model.members[i[hit]]
+    return out
 
 
 def potentials(model: Model, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -160,10 +161,10 @@ def train(texts: list[tuple[str, str]], rounds: int = 50, length: int = 48, sequ
     uniq, where, inverse = np.unique(h, return_index=True, return_inverse=True)
     # Lexica: words of at least so many texts of the language.
     doc_word = np.unique(np.stack([owner, inverse[: len(owner)]], 1), axis=0)
-    members = np.zeros(len(uniq), np.int64)
+    members = np.zeros((len(uniq), len(langs)), bool)
     for i, lang in enumerate(langs):
         n = np.bincount(doc_word[np.array([texts[d][0] == lang for d in range(len(texts))])[doc_word[:, 0]], 1], minlength=len(uniq))
-        members |= (n >= lexicon_docs).astype(np.int64) << i
+        members[:, i] = n >= lexicon_docs
     # Spliced sequences: runs of 4 to `length` words of one label.
     by_label = [np.flatnonzero(label == i) for i in range(len(labels))]
     by_label_ok = [i for i, x in enumerate(by_label) if len(x)]
@@ -182,7 +183,7 @@ def train(texts: list[tuple[str, str]], rounds: int = 50, length: int = 48, sequ
     seq = seq.reshape(sequences, length)
     f, begin = features(buf, starts[where[used]], ends[where[used]], uniq[used])
     each = np.diff(np.r_[begin, len(f)])
-    member = (members[used][:, None] >> np.arange(len(langs)) & 1).astype(np.float64)
+    member = members[used].astype(np.float64)
     m = len(labels)
     params = [np.zeros((BUCKETS, m)), np.zeros((len(langs), m)), np.zeros((m, m)), np.zeros(m)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -212,8 +213,8 @@ def train(texts: list[tuple[str, str]], rounds: int = 50, length: int = 48, sequ
                 got[:, k] += np.bincount(seq[:, t], g[:, k], len(used))
             if t:
                 x = back * e[seq[:, t]]
-                both = alphas[t - 1][:, :, None] * et[None] * x[:, None, :]
-                got_t += (both / both.sum((1, 2), keepdims=True)).sum(0)
+                before = alphas[t - 1]
+                got_t += et * ((before / ((before @ et) * x).sum(1, keepdims=True)).T @ x)
                 back = x @ et.T
                 back /= back.sum(1, keepdims=True)
         diff = (got - wanted) / seq.size
@@ -223,18 +224,17 @@ def train(texts: list[tuple[str, str]], rounds: int = 50, length: int = 48, sequ
             m2 += 0.01 * (gr * gr - m2)
             p -= 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
     w, lex, tr, fi = params
-    inside = members > 0
+    inside = members.any(1)
     return Model(labels, w.astype(np.float32), np.exp(tr), np.exp(fi), uniq[inside], members[inside], lex.astype(np.float32))
 
 
-def fit(docs: DataFrame, train_docs: int = 200, most_languages: int = 64) -> Model | None:
-    """train_docs: bound of the sample of labelled rows a language; most_languages: bound of languages, the first in order."""
+def fit(docs: DataFrame, train_docs: int = 200) -> Model | None:
+    """train_docs: bound of the sample of labelled rows a language. Every language of the table is a label."""
     ranked = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null and text is not null")
     ranked = ranked.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))).where(F.col("rn") <= train_docs)
     ids = ranked.groupBy("doc_id").agg(F.min("lang").alias("lang"))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text").distinct().orderBy("lang", "doc_id", "text").collect()
-    langs = sorted({r.lang for r in rows})[:most_languages]
-    return train([(r.lang, r.text) for r in rows if r.lang in langs])
+    return train([(r.lang, r.text) for r in rows])
 
 
 def label(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
