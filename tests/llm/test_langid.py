@@ -1,7 +1,9 @@
+import inspect
 import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from textloom.llm import langid as X
 
 from .cases import documents, empty
@@ -76,3 +78,16 @@ def test_more_languages_than_bits(spark, monkeypatch):
     monkeypatch.setattr(X, "train", lambda found: found)
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     assert {lang for lang, _ in X.fit(docs)} == {lang for _, lang, _ in rows}
+
+
+def test_mostly_unknown_words_are_rejected():
+    model = X.train(texts(40, 1), sequences=400)
+    rng = random.Random(5)
+    noise = ["".join(rng.choice("qxzjkwvpy") for _ in range(8)) for _ in range(70)]
+    for words in (30, 100):
+        text = " ".join([rng.choice(WORDS["en"]) for _ in range(words)] + noise[: 70 if words == 30 else 30])
+        g, *_ = X.decide(model, pa.array([text]), 0.5)
+        known = float(g[:, :-1].sum(1).mean())
+        assert abs(known - words / (words + (70 if words == 30 else 30))) < 0.15
+        accepted = X.decide(model, pa.array([text]), inspect.signature(X.keep).parameters["least_known"].default)[4]
+        assert bool(accepted[0]) == (words == 100)

@@ -3,8 +3,9 @@
 Each word's potentials come from hashed features: prefixes and suffixes of 1 to 3 bytes, all 2- and
 3-byte n-grams with word boundaries, the word itself, and for each language whether the lexicon learned
 for it has the word. Learned transitions tie neighbours. Forward-backward gives each word's marginal
-over the languages and `und` (no known language); a text's language is the label with the largest mean
-marginal (Lafferty, McCallum and Pereira, 2001).
+over the languages and `und` (no known language); a text is accepted if the known languages' mean marginals
+together are over a half, and its language is then the known label with the largest, else `und` (Lafferty,
+McCallum and Pereira, 2001).
 
 Trained by Adam on the exact log-likelihood of sequences spliced from labelled documents, so switches
 inside a text are seen in training; `und` is learned from words whose letters are shuffled. The training
@@ -252,13 +253,13 @@ def decide(model: Model, texts: pa.Array, least_known: float) -> tuple[np.ndarra
     size, und = np.diff(counts), len(model.labels) - 1
     sums = np.concatenate([np.zeros((1, und + 1)), np.cumsum(g, 0, dtype=np.float64)])
     mean = (sums[counts[1:]] - sums[counts[:-1]]) / np.maximum(size, 1)[:, None]
-    accepted = (size > 0) & (mean[:, :und].sum(1) >= least_known)
+    accepted = (size > 0) & (mean[:, :und].sum(1) > least_known)
     top = np.where(accepted, mean[:, :und].argmax(1), und)
     return g, counts, top, np.where(size > 0, mean[np.arange(len(top)), top], 0.0), accepted
 
 
-def score(docs: DataFrame, model: Model | None, least_known: float = 0.2) -> DataFrame:
-    """One row a document: OUT. Accepted if its words' mean marginal of the known languages together is at least `least_known`."""
+def score(docs: DataFrame, model: Model | None, least_known: float = 0.5) -> DataFrame:
+    """One row a document: OUT. Accepted if its words' mean marginal of the known languages together is over `least_known`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "language", "share", "accepted", "words", "segments"]
 
@@ -283,7 +284,7 @@ def score(docs: DataFrame, model: Model | None, least_known: float = 0.2) -> Dat
     return map_passes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, OUT, limit=PASS)
 
 
-def keep(docs: DataFrame, model: Model | None, least_known: float = 0.2) -> DataFrame:
+def keep(docs: DataFrame, model: Model | None, least_known: float = 0.5) -> DataFrame:
     """The accepted documents, all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
