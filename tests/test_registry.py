@@ -40,3 +40,21 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 200
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_embedded_hybrid_scores_are_those_of_partial_ratio(spark, tmp_path):
+    from textloom.functions.lexical import partial_ratio
+    from textloom.functions.text import normalize_tokens
+    from textloom.providers import HashingEmbedding
+    from pyspark.sql import functions as F
+
+    # No topic of the registry's is in these texts.
+    texts = ["red cats run fast", "red cat runs faster", "blue fish swim", "blue fishy swims"]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.text_a: r.score for r in registry.queries()["hybrid_score_embedded"](spark, str(tmp_path)).collect()}
+    known = HashingEmbedding().embed(spark.createDataFrame([(t,) for t in texts], "text string")).withColumn("w", F.array_sort(F.array_distinct(normalize_tokens(F.col("text")))))
+    by = {r.text: r for r in known.collect()}
+    for a, b in zip(texts, texts[1:]):
+        cosine = sum(x * y for x, y in zip(by[a].embedding, by[b].embedding))
+        raw = 0.85 * cosine + 0.1 * partial_ratio(" ".join(by[a].w), " ".join(by[b].w)) / 100
+        assert got[a] == pytest.approx(1 / (1 + math.exp(-15 * (raw - 0.65))), rel=1e-4)

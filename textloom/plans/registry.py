@@ -285,7 +285,7 @@ def hybrid_score_batch(spark, d):
 def hybrid_score_embedded(spark, d):
     """Turn pairs with hashed embeddings and the default lexical method, each distinct text embedded once."""
     pairs = _turns(spark, d).select(F.xxhash64("conv_id", "turn").alias("pair_id"), "text_a", "text_b")
-    return score_pairs(pairs, HashingEmbedding(), _term_topic(spark), BlendConfig(method="jaccard"))
+    return score_pairs(pairs, HashingEmbedding(), _term_topic(spark), BlendConfig())
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)")
