@@ -58,3 +58,10 @@ def test_embedded_hybrid_scores_are_those_of_partial_ratio(spark, tmp_path):
         cosine = sum(x * y for x, y in zip(by[a].embedding, by[b].embedding))
         raw = 0.85 * cosine + 0.1 * partial_ratio(" ".join(by[a].w), " ".join(by[b].w)) / 100
         assert got[a] == pytest.approx(1 / (1 + math.exp(-15 * (raw - 0.65))), rel=1e-4)
+
+
+def test_the_taxonomy_reads_every_document(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(registry.taxonomy, "build", lambda units, *a, **k: seen.append(units) or (units.selectExpr("source id", "'' canonical_name", "'' description", "array(text) terms"), None, None))
+    got = registry.queries()["taxonomy_from_texts"](spark, sf_dir)
+    assert got.count() == registry._units(spark, sf_dir).count() > 1000

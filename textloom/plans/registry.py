@@ -435,8 +435,7 @@ def taxonomy_json(spark, d):
 @query()
 def taxonomy_from_texts(spark, d):
     """The taxonomy of a corpus from end to end, with hashed embeddings of the terms."""
-    docs = _t(spark, d, "benchmark").select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("source"), "text", "item_id")
-    topics, _, _ = taxonomy.build(corpus_units(docs, order="item_id"), HashingEmbedding(), config=taxonomy.TaxonomyConfig(similarity_threshold=0.5, min_confidence=0.1))
+    topics, _, _ = taxonomy.build(_units(spark, d), HashingEmbedding(), config=taxonomy.TaxonomyConfig(similarity_threshold=0.5, min_confidence=0.1))
     return topics.select("id", "canonical_name", "description", "terms")
 
 
