@@ -8,21 +8,27 @@ them a level, so that a similar pair is expected to survive in one branch or mor
 similarity to their bucket is over the threshold can't be split off and are compared with the whole
 bucket first. Runs repeat until a pair at the threshold is missed with probability at most 1 - recall:
 the first runs are as many as that takes where no bucket is split; sets that were in split buckets run
-again among themselves, with fresh hashes, as often as the deepest split seen asks for, or are all compared
-on their sketches where that is less work. A pair with a set that was in none has lost nothing to splits.
+again among themselves, with fresh hashes, until what the depths of the splits let through is as little. A
+pair with a set that was in none has lost nothing to splits.
 
 Buckets are compared on sketches of one byte a coordinate; every pair that could reach the threshold
 (three standard errors below it) is then verified on the whole sets, so all reported similarities are
 exact and no reported pair is below the threshold.
 
-Equal sets are joined exactly: each distinct set takes part once, and pairs are carried back to all its
-documents. Buckets beyond `heavy` sets, which one task should not hold, are split by the next coordinate
-in Spark before they are gathered.
+Equal sets are a class that takes part once: copies are never expanded into pairs. `join` has one row a
+document: class_id, the least doc_id of its connected component, and links, the number of other
+documents that it is linked to, copies of each linked text included; no link between different texts is
+lost. `pairs` has the pairs between classes of equal sets, by their least ids, and their members.
 
-Defined results: a text without words (null, empty, or none but punctuation) has no set and no partner; a
-text of fewer words than n has one n-gram, all of it; a null id is left out; rows that repeat id and set
-count once, and an id is never its own partner. Ids with several texts are in a pair once for each pair of
-distinct sets. An empty table gives an empty result. Columns other than id and text are not read.
+A bucket beyond `heavy` sets, which one task should not hold, is split by further coordinates in Spark
+before it is gathered; if no coordinate tells its sets apart, it is cut into blocks that meet two by two.
+
+Defined results: a text without words (null, empty, or none but punctuation) has no set, is its own class
+and has no links; a text of fewer words than n has one n-gram, all of it; a null id is left out of the
+join, and kept by `keep_one`; rows that repeat id and text count once; an id with several texts is as many
+documents, one row each; a class is named by its least id, so ties don't arise. A very long text is one
+set, whole; it takes memory in proportion to itself. An empty table gives an empty result. Columns other
+than id and text are not read, and are kept as they are by `keep_one`.
 """
 
 from __future__ import annotations
@@ -42,10 +48,10 @@ from textloom.operators.graph import connected_components
 from .frames import fresh, map_keyed, map_passes, row_key, store
 
 WIDTH = 96  # coordinates of a sketch
-#: Names of sets with candidates are sent to all tasks up to this size, to drop other sets before the join.
-FILTER_BYTES = 64 << 20
-BLOCK = 4096  # sets that are compared with as many at once
-_MET = ["key", "a", "b", "depth"]
+FILTER_BITS = 1 << 26
+CELL_TOKENS = 8 << 20  # of the sets that one call verifies, about
+_MET = ["key", "a", "b", "size_a", "size_b", "depth"]
+_MET_SCHEMA = "key long, a long, b long, size_a long, size_b long, depth int"
 _rng = np.random.Generator(np.random.PCG64(0xC5))
 _ODD = _rng.integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -96,25 +102,26 @@ def sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _sketches(n: int, runs: int):
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """Every row with its set's name, tokens of all runs and sketch; a row without words has null ones."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         g, at, _ = sets(batch.column("text"), n)
         size = np.diff(at)
         has = np.flatnonzero(size)
-        if not len(has):
-            return None
         first = at[has]
-        tokens, small = np.empty((len(has), runs), np.uint64), np.empty((len(has), WIDTH), np.uint8)
-        with np.errstate(over="ignore"):
-            for j in range(WIDTH):
-                least = np.minimum.reduceat(g * _ODD[j], first)
-                if j < runs:
-                    tokens[:, j] = K.mix(least + np.uint64(j))
-                small[:, j] = (K.mix(least) >> np.uint64(56)).astype(np.uint8)
-            whole = K.mix(np.add.reduceat(K.mix(g), first) + size[has].astype(np.uint64))
-        ids = batch.column("doc_id").take(pa.array(has))
+        tokens, small, whole = np.empty((len(has), runs), np.uint64), np.empty((len(has), WIDTH), np.uint8), np.zeros(0, np.uint64)
+        if len(has):
+            with np.errstate(over="ignore"):
+                for j in range(WIDTH):
+                    least = np.minimum.reduceat(g * _ODD[j], first)
+                    if j < runs:
+                        tokens[:, j] = K.mix(least + np.uint64(j))
+                    small[:, j] = (K.mix(least) >> np.uint64(56)).astype(np.uint8)
+                whole = K.mix(np.add.reduceat(K.mix(g), first) + size[has].astype(np.uint64))
         sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(has), [None, pa.py_buffer(small.tobytes())]).cast(pa.binary())
-        rk = batch.column("rk").take(pa.array(has))
-        return pa.RecordBatch.from_arrays([ids, rk, pa.array(whole.view(np.int64)), pa.array(size[has]), K.lists(tokens.ravel().view(np.int64), np.arange(len(has) + 1) * runs), sketch], ["doc_id", "rk", "whole", "size", "tokens", "sketch"])
+        row = pa.array(np.cumsum(size > 0) - 1, mask=size == 0)  # a null index takes a null
+        lists = K.lists(tokens.ravel().view(np.int64), np.arange(len(has) + 1) * runs)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(whole.view(np.int64)).take(row), pa.array(size), lists.take(row), sketch.take(row)], ["doc_id", "rk", "rep", "size", "tokens", "sketch"])
 
     return work
 
@@ -191,73 +198,45 @@ def _candidates(threshold: float, brute: int):
         cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
         sizes = np.diff(cuts)
         depth = rows.column("level").to_numpy()[cuts[:-1]].astype(np.int32)
-        outs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        outs: list[tuple[np.ndarray, np.ndarray]] = []  # places of both sets
         two = cuts[:-1][sizes == 2]  # most buckets by far: compared all at once
         if len(two):
             a, b = two, two + 1
             ok = ((sketch[a] == sketch[b]).sum(1) >= math.ceil(least * WIDTH)) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
-            outs.append((keys[a[ok]], ids[a[ok]], ids[b[ok]]))
+            outs.append((a[ok], b[ok]))
         for i in np.flatnonzero(sizes > 2).tolist():
             own = slice(cuts[i], cuts[i + 1])
             reached = [0]
             a, b = bucket_pairs(sketch[own], size[own], threshold, least, brute, int(keys[cuts[i]]) & 0xFFFFFFFF, reached=reached)
             depth[i] += max(reached)
-            if len(a):
-                outs.append((np.full(len(a), keys[cuts[i]]), ids[own][a], ids[own][b]))
+            outs.append((a + cuts[i], b + cuts[i]))
         if outs:
-            key, a, b = (np.concatenate(x) for x in zip(*outs, strict=True))
-            keep = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(np.zeros(int(keep.sum()), np.int32))], _MET)
+            a, b = (np.concatenate(x) for x in zip(*outs, strict=True))
+            a, b = a[ids[a] != ids[b]], b[ids[a] != ids[b]]
+            a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a]), pa.array(ids[a]), pa.array(ids[b]), pa.array(size[a]), pa.array(size[b]), pa.array(np.zeros(len(a), np.int32))], _MET)
         depth = np.repeat(depth, sizes)
         split = np.flatnonzero(depth)
         if len(split):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[split]), pa.array(ids[split]), pa.nulls(len(split), pa.int64()), pa.array(depth[split])], _MET)
+            none = pa.nulls(len(split), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[split]), pa.array(ids[split]), none, pa.array(size[split]), none, pa.array(depth[split])], _MET)
 
     return work
 
 
-def _blocks(sets_: DataFrame, x: str) -> DataFrame:
-    """Sets (rep, size, sketch) in blocks of bytes, named by their first."""
+def _present(names: DataFrame):
+    """A broadcast bitmap with a bit for each name (rep) of the table: FILTER_BITS in all, however many there are. With more names it only lets more rows through."""
+    at = F.pmod(F.col("rep"), F.lit(FILTER_BITS)) + 1
+    rows = names.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:  # at most FILTER_BITS / 32768, of 4 kB
+        bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return names.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
-                b = whole.slice(at, BLOCK)
-                ids = b.column("rep").to_numpy()
-                data = [ids[:1], [ids.tobytes()], [b.column("size").to_numpy().tobytes()], [b"".join(b.column("sketch").to_pylist())]]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in data], [f"{c}{x}" for c in ("name", "ids", "size", "sketch")])
 
-    return sets_.select("rep", "size", "sketch").mapInArrow(run, f"name{x} long, ids{x} binary, size{x} binary, sketch{x} binary")
-
-
-def _compare_all(sets_: DataFrame, threshold: float) -> DataFrame:
-    """Candidates (key, a, b) among all pairs of sets: blocks meet in a Cartesian product, none is collected or broadcast."""
-    least = least_share(threshold)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                same = r["name_x"] == r["name_y"]
-                both = "x" if same else "xy"
-                ids, size = (np.concatenate([np.frombuffer(r[f"{c}_{x}"], np.int64) for x in both]) for c in ("ids", "size"))
-                sketch = np.concatenate([np.frombuffer(r[f"sketch_{x}"], np.uint8) for x in both]).reshape(-1, WIDTH)
-                at = np.arange(len(ids))
-                n = len(r["ids_x"]) // 8
-                a, b = _brute(sketch, size, at[:n], at if same else at[n:], threshold, least, same)
-                if len(a):
-                    key = K.mix(np.array([r["name_x"]], np.int64).view(np.uint64)) ^ np.array([r["name_y"]], np.int64).view(np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key.view(np.int64), len(a))), pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["key", "a", "b"])
-
-    pairs = _blocks(sets_, "_x").crossJoin(_blocks(sets_, "_y")).where("name_x <= name_y")
-    return pairs.mapInArrow(run, "key long, a long, b long")
-
-
-def _fitting(names: DataFrame):
-    """The names, sorted, as a broadcast if they fit FILTER_BYTES; else None, and the join alone sorts out the sets."""
-    if names.count() * 8 > FILTER_BYTES:
-        return None
-    found = names.toPandas()["rep"].to_numpy(np.int64)
-    return names.sparkSession.sparkContext.broadcast(np.sort(found))
+def _is_present(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    at = names % FILTER_BITS
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def _more_tokens(n: int, first: int, runs: int, names):
@@ -271,11 +250,10 @@ def _more_tokens(n: int, first: int, runs: int, names):
             return None
         with np.errstate(over="ignore"):
             whole = K.mix(np.add.reduceat(K.mix(g), at[has]) + size[has].astype(np.uint64)).view(np.int64)
-            if names is not None:
-                hit = np.isin(whole, names.value)
-                if not hit.any():
-                    return None
-                g, has, whole = g[np.repeat(hit, size[has])], has[hit], whole[hit]
+            hit = _is_present(names.value, whole)
+            if not hit.any():
+                return None
+            g, has, whole = g[np.repeat(hit, size[has])], has[hit], whole[hit]
             begin = np.cumsum(np.r_[0, size[has]])[:-1]
             tokens = np.empty((len(has), runs), np.uint64)
             for j in range(runs):
@@ -298,13 +276,8 @@ def _own_sets(n: int, names):
             whole = K.mix(np.add.reduceat(K.mix(g), at[has]) + size[has].astype(np.uint64))
         raw, offsets = g.tobytes(), np.r_[at[has], at[-1]] * 8
         packed = pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
-        if names is not None:  # most sets have no candidate: they are dropped before they travel
-            sorted_names, own = names.value, whole.view(np.int64)
-            if not len(sorted_names):
-                return None
-            i = np.minimum(np.searchsorted(sorted_names, own), len(sorted_names) - 1)
-            hit = np.flatnonzero(sorted_names[i] == own)
-            whole, packed = whole[hit], packed.take(pa.array(hit))
+        hit = np.flatnonzero(_is_present(names.value, whole.view(np.int64)))  # sets without a candidate don't travel
+        whole, packed = whole[hit], packed.take(pa.array(hit))
         return pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), packed], ["rep", "grams"])
 
     return work
@@ -356,84 +329,141 @@ def _verify(threshold: float):
 def _meet(rows: DataFrame, threshold: float, brute: int, heavy: int) -> DataFrame:
     """Candidates (key, a, b, depth) of runs' rows (rep, size, sketch, key); b is null for sets of split buckets."""
     rows = rows.withColumn("level", F.lit(0))
-    # Buckets too large for one task are split on, a coordinate at a time, until none is.
+    # Buckets too large for one task are split on, a coordinate at a time, until none is. Sets that no
+    # coordinate of the sketch tells apart any more are cut into blocks, which meet two by two.
     light, level = None, 0
-    while level < WIDTH // 4:
-        big = rows.groupBy("key").count().where(F.col("count") > heavy).select("key")
-        if big.isEmpty():
+    while True:
+        counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > heavy)
+        if counts.isEmpty():
             break
-        big = store(big, "heavy-buckets")
-        part = rows.join(big, "key", "left_anti")
+        counts = store(counts, "heavy-buckets")
+        part = rows.join(counts, "key", "left_anti")
         light = part if light is None else light.unionByName(part)
-        places = F.array(*[F.pmod(F.xxhash64("key", F.lit(level), F.lit(b)), F.lit(WIDTH)) for b in range(math.ceil(1 / threshold))])
-        rows = rows.join(big, "key", "left_semi").select("rep", "size", "sketch", "key", F.explode(F.array_distinct(places)).alias("_at"))
+        rows = rows.join(counts, "key")
         level += 1
+        if level > WIDTH // 4:
+            light = light.unionByName(_cells(rows, heavy))
+            rows = None
+            break
+        step = F.pmod(F.xxhash64("key", F.lit(level), F.lit("step")), F.lit(WIDTH // math.ceil(1 / threshold)))
+        places = F.array(*[F.pmod(F.xxhash64("key", F.lit(level)) % WIDTH + step + F.lit(b * (WIDTH // math.ceil(1 / threshold))), F.lit(WIDTH)) for b in range(math.ceil(1 / threshold))])
+        rows = rows.select("rep", "size", "sketch", "key", F.explode(places).alias("_at"))
         rows = store(rows.select("rep", "size", "sketch", F.xxhash64("key", "_at", F.substring("sketch", F.col("_at").cast("int") + 1, F.lit(1))).alias("key"), F.lit(level).alias("level")), "split-buckets")
-    rows = rows if light is None else light.unionByName(rows)
-    found = map_keyed(rows, "key", _candidates(threshold, brute), "key long, a long, b long, depth int", least=20_000)
-    return store(found.groupBy("a", "b").agg(F.min("key").alias("key"), F.max("depth").alias("depth")), "candidates")
+    rows = light if rows is None else rows if light is None else light.unionByName(rows)
+    found = map_keyed(rows, "key", _candidates(threshold, brute), _MET_SCHEMA, least=20_000)
+    return store(found.groupBy("a", "b").agg(F.min("key").alias("key"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.max("depth").alias("depth")), "candidates")
+
 
+def _cells(rows: DataFrame, heavy: int) -> DataFrame:
+    """Buckets (with n, their sets) as cells of two of their blocks each: any two sets of a bucket are together in one."""
+    blocks = F.ceil(F.col("n") * 2 / heavy)
+    own = F.pmod(F.xxhash64("rep", F.lit(11)), blocks)
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.xxhash64("key", F.least(other, own), F.greatest(other, own)))
+    return rows.select("rep", "size", "sketch", F.explode(meets).alias("key"), "level")
 
-def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.999, brute: int = 1500, heavy: int = 50_000, compare: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(members: rep, doc_id, rk; pairs: a, b, jaccard of reps, a < b). A rep is the hash of a distinct set.
 
-    compare: up to so many sets of split buckets are all compared; by default, `brute` for each further run.
+def _verified(found: DataFrame, kept: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the candidates (key, a, b, size_a, size_b) that reach the threshold.
+
+    The sets of a bucket come to one place once, whatever number of pairs they are in. Buckets of more
+    than CELL_TOKENS are cut into cells: a set has one of s slots, and a pair goes to the cell of its two slots.
     """
+    sides = F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("size_a").alias("size")), F.struct(F.col("b").alias("rep"), F.col("size_b").alias("size")))).alias("x")
+    needed = found.select("key", sides).select("key", "x.*").distinct()
+    slots = needed.groupBy("key").agg(F.ceil(F.sum("size") / CELL_TOKENS).alias("slots")).where("slots > 1")
+    slot = lambda c: F.pmod(F.xxhash64(c, F.lit(13)), F.coalesce("slots", F.lit(1)))
+    placed = found.join(slots, "key", "left").select("a", "b", F.when(F.col("slots").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(slot("a"), slot("b")), F.greatest(slot("a"), slot("b")))).alias("key"))
+    placed = store(placed, "placed-candidates")
+    needed = placed.select("key", F.explode(F.array("a", "b")).alias("rep")).distinct()
+    names = store(needed.select("rep").distinct(), "needed")
+    whole = map_passes(kept.select("text"), _own_sets(n, _present(names)), "rep long, grams binary")
+    wanted = whole.join(names, "rep", "left_semi").groupBy("rep").agg(F.first("grams").alias("grams"))
+    rows = needed.join(wanted, "rep").select("key", F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+    rows = rows.unionByName(placed.select("key", "a", "b", F.lit(None).cast("binary").alias("grams")))
+    return map_keyed(rows, "key", _verify(threshold), "a long, b long, jaccard double", least=2_000)
+
+
+def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float = 0.999, brute: int = 1500, heavy: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(members: rep, doc_id, rk; pairs: a, b, jaccard of reps, a < b). A rep is the hash of a distinct set; null for a row without words."""
     runs = min(runs_for(threshold, recall), WIDTH)
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").withColumn("rk", row_key())
-    sketched = store(map_passes(kept, _sketches(n, runs), "doc_id long, rk long, whole long, size long, tokens array<long>, sketch binary"), "sketches")
-    members = sketched.select(F.col("whole").alias("rep"), "doc_id", "rk")
-    reps = sketched.groupBy(F.col("whole").alias("rep")).agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").withColumn("rk", row_key())
+    sketched = store(map_passes(kept, _sketches(n, runs), "doc_id long, rk long, rep long, size long, tokens array<long>, sketch binary"), "sketches")
+    members = sketched.select("rep", "doc_id", "rk").distinct()
+    reps = sketched.where("rep is not null").groupBy("rep").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     met = _meet(reps.select("rep", "size", "sketch", F.explode("tokens").alias("key")), threshold, brute, heavy)
     depth = met.where("b is null").agg(F.max("depth")).first()[0] or 0
-    done = [(runs, depth)]
-    found = met.where("b is not null")
-    if depth and missed(threshold, done) > 1 - recall:
+    done, found = [(runs, depth)], met.where("b is not null")
+    if missed(threshold, done) > 1 - recall:
         split = met.where("b is null").select(F.col("a").alias("rep")).distinct()
         again = store(reps.join(split, "rep", "left_semi").select("rep", "size", "sketch"), "split-sets")
-        count, names = again.count(), None
+        names = _present(again)
         while missed(threshold, done) > 1 - recall:
-            more = further_runs(threshold, recall, done, depth, 10 * runs)
-            if count <= (more * brute if compare is None else compare):
-                # Every pair of them: nothing is missed.
-                found = found.unionByName(_compare_all(again.repartition(max(1, math.ceil(count / BLOCK)), "rep"), threshold).withColumn("depth", F.lit(0)))
-                break
-            first, more = sum(x for x, _ in done), min(more, runs)
-            names = names or _fitting(again.select("rep"))
+            first = sum(x for x, _ in done)
+            more = further_runs(threshold, recall, done, depth, runs)
             tokens = map_passes(kept.select("text"), _more_tokens(n, first, more, names), "rep long, tokens array<long>").groupBy("rep").agg(F.first("tokens").alias("tokens"))
             met = _meet(again.join(tokens, "rep").select("rep", "size", "sketch", F.explode("tokens").alias("key")), threshold, brute, heavy)
             depth = met.where("b is null").agg(F.max("depth")).first()[0] or 0
             done.append((more, depth))
             found = found.unionByName(met.where("b is not null"))
-        found = store(found.groupBy("a", "b").agg(F.min("key").alias("key")), "all-candidates")
-    needed = found.select("key", F.explode(F.array("a", "b")).alias("rep")).distinct()
-    names = store(needed.select("rep").distinct(), "needed")
-    whole = map_passes(kept.select("text"), _own_sets(n, _fitting(names)), "rep long, grams binary")
-    wanted = whole.join(names, "rep", "left_semi").groupBy("rep").agg(F.first("grams").alias("grams"))
-    rows = needed.join(wanted, "rep").select("key", F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    rows = rows.unionByName(found.select("key", "a", "b", F.lit(None).cast("binary").alias("grams")))
-    return members, map_keyed(rows, "key", _verify(threshold), "a long, b long, jaccard double", least=2_000)
+        found = store(found.groupBy("a", "b").agg(F.min("key").alias("key"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b")), "all-candidates")
+    return members, _verified(found, kept, n, threshold)
+
+
+def pairs(docs: DataFrame, **how) -> DataFrame:
+    """doc_a < doc_b, jaccard: the pairs between classes of equal sets, each class by its least id, and every other member of a class with that id (jaccard 1)."""
+    members, linked = set_pairs(docs, **how)
+    members = members.where("rep is not null")
+    least = store(members.groupBy("rep").agg(F.min("doc_id").alias("x")), "representatives")
+    across = linked.join(least.select(F.col("rep").alias("a"), "x"), "a").join(least.select(F.col("rep").alias("b"), F.col("x").alias("y")), "b")
+    same = members.join(least, "rep").select("x", F.col("doc_id").alias("y"), F.lit(1.0).alias("jaccard"))
+    return across.select("x", "y", "jaccard").unionByName(same).where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 9).alias("jaccard")).distinct()
+
+
+def _classes(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(rep, class_id, links): the least id of its connected component, and how many other documents each document with this set is linked to."""
+    linked = store(linked, "linked-sets")
+    sizes = store(members.where("rep is not null").groupBy("rep").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "set-sizes")
+    both = linked.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(linked.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    links = both.join(sizes.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("far"))
+    roots = connected_components(linked).select(F.col("node").alias("rep"), "root")
+    rows = sizes.join(links, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    heads = rows.groupBy("root").agg(F.min("least").alias("class_id"))
+    return rows.join(heads, "root").select("rep", "class_id", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
 
 
 def join(docs: DataFrame, **how) -> DataFrame:
-    """All pairs of documents at or over the threshold: doc_a < doc_b, jaccard."""
-    members, pairs = set_pairs(docs, **how)
-    members = store(members.select("rep", "doc_id").distinct(), "members")
-    left, right = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
-    across = pairs.join(left, "a").join(right, "b").select("x", "y", "jaccard")
-    same = left.join(right, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(1.0).alias("jaccard"))
-    return across.unionByName(same).where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 9).alias("jaccard"))
+    """One row a document: doc_id, class_id, links. See the module for what they are."""
+    members, linked = set_pairs(docs, **how)
+    members = store(members, "members")
+    found = members.join(_classes(members, linked), "rep", "left")
+    return found.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents, all columns, but of each group of joined ones only that of the least id.
+    """The documents, all columns, but of each class only that of the least id.
 
-    A group is a connected component of the join. Rows that repeat id and text go or stay together.
+    Rows that repeat id and text go or stay together; a null id stays.
     """
-    members, pairs = set_pairs(docs, **how)
-    groups = connected_components(pairs)
-    grouped = members.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "rk", F.coalesce("root", "rep").alias("group"))
-    least = grouped.groupBy("group").agg(F.min("doc_id").alias("least"))
-    (rk,) = fresh(docs.columns, "_tl_rk")
-    gone = grouped.join(least, "group").where("doc_id > least").select(F.col("rk").alias(rk)).distinct()
-    return docs.withColumn(rk, F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).join(gone, rk, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    members, linked = set_pairs(docs, **how)
+    members = store(members, "members")
+    id_, rk = fresh(docs.columns, "_tl_id", "_tl_rk")
+    gone = members.join(_classes(members, linked), "rep").where("doc_id > class_id").select(F.col("doc_id").alias(id_), F.col("rk").alias(rk)).distinct()
+    keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(rk, F.xxhash64(F.col(id_), F.col("text")))
+    return keyed.join(gone, [id_, rk], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def oracle(threshold: float = 0.5, n: int = 3) -> str:
+    """DuckDB: all pairs by their shared n-grams, components, and links; n is 3."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') w FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) >= {n} THEN list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) gram FROM d),
+s AS (SELECT doc_id, count(*) n, md5(string_agg(gram, '|' ORDER BY gram)) sig FROM g GROUP BY 1),
+c AS (SELECT sig, min(doc_id) rep, count(*) copies, any_value(n) n FROM s GROUP BY 1),
+rg AS (SELECT g.doc_id rep, gram FROM g JOIN c ON c.rep = g.doc_id),
+shared AS (SELECT a.rep a, b.rep b, count(*) k FROM rg a JOIN rg b USING (gram) WHERE a.rep < b.rep GROUP BY ALL),
+linked AS (SELECT a, b FROM shared JOIN c ca ON ca.rep = a JOIN c cb ON cb.rep = b WHERE k / (ca.n + cb.n - k) >= {threshold} - 1e-12),
+both_ AS (SELECT a u, b v FROM linked UNION SELECT b, a FROM linked),
+reach(node, root) AS (SELECT rep, rep FROM c UNION SELECT v, root FROM reach JOIN both_ ON node = u),
+m AS (SELECT node, min(root) class_id FROM reach GROUP BY 1),
+far AS (SELECT u rep, sum(copies) far FROM both_ JOIN c ON c.rep = v GROUP BY 1)
+SELECT documents.doc_id, coalesce(class_id, documents.doc_id) AS class_id, coalesce(copies - 1 + coalesce(far, 0), 0)::BIGINT AS links
+FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN c USING (sig) LEFT JOIN m ON m.node = c.rep LEFT JOIN far ON far.rep = c.rep"""

@@ -82,4 +82,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from . import ego
 
-    return {"op9_embedding_near_dedup": ego.oracle()}
+    from . import jaccard
+
+    return {"op3_ngram_jaccard_join": jaccard.oracle(), "op9_embedding_near_dedup": ego.oracle()}
