@@ -68,6 +68,19 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego.join(table(spark, sf_dir, "embeddings"))
 
 
+def op9_embedding_near_dedup_035(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At a cosine that the tables' vectors do reach."""
+    from . import ego
+
+    return ego.join(table(spark, sf_dir, "embeddings"), 0.35)
+
+
+def op9_embedding_pairs_035(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ego
+
+    return ego.pairs(table(spark, sf_dir, "embeddings"), 0.35)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -75,7 +88,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_lm_scoring, op2_sentencepiece_sampling, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_html_extraction, op6_media_fingerprints, op7_language_id, op8_toxicity, op9_embedding_near_dedup, op10_packing)
+    found = (op1_lm_scoring, op2_sentencepiece_sampling, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_html_extraction, op6_media_fingerprints, op7_language_id, op8_toxicity, op9_embedding_near_dedup, op9_embedding_near_dedup_035, op9_embedding_pairs_035, op10_packing)
     return {f.__name__: f for f in found}
 
 
@@ -84,4 +97,4 @@ def oracle_sql() -> dict[str, str]:
 
     from . import jaccard
 
-    return {"op3_ngram_jaccard_join": jaccard.oracle(), "op9_embedding_near_dedup": ego.oracle()}
+    return {"op3_ngram_jaccard_join": jaccard.oracle(), "op9_embedding_near_dedup": ego.oracle(), "op9_embedding_near_dedup_035": ego.oracle(0.35), "op9_embedding_pairs_035": ego.pairs_oracle(0.35)}
