@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.sources.shared import store  # noqa: F401
+from textloom.sources.shared import fresh, store  # noqa: F401
 
 from . import kernels as K
 
@@ -20,17 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh(taken: list[str], *names: str) -> list[str]:
-    """These names, each lengthened until no column of the caller's has it."""
-    lower, out = {x.lower() for x in taken}, []
-    for name in names:
-        while name.lower() in lower:
-            name += "_"
-        lower.add(name.lower())
-        out.append(name)
-    return out
-
-
 def map_passes(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", limit: int = K.PASS_BYTES) -> DataFrame:
     """mapInArrow in passes of bounded bytes of text."""
 

@@ -110,18 +110,22 @@ def _sketches(n: int, runs: int):
         has = np.flatnonzero(size)
         first = at[has]
         tokens, small, whole = np.empty((len(has), runs), np.uint64), np.empty((len(has), WIDTH), np.uint8), np.zeros(0, np.uint64)
+        spare = np.empty((len(has), WIDTH - runs), np.uint32)
         if len(has):
             with np.errstate(over="ignore"):
                 for j in range(WIDTH):
                     least = np.minimum.reduceat(g * _ODD[j], first)
                     if j < runs:
                         tokens[:, j] = K.mix(least + np.uint64(j))
-                    small[:, j] = (K.mix(least) >> np.uint64(56)).astype(np.uint8)
+                    mixed = K.mix(least)
+                    small[:, j] = (mixed >> np.uint64(56)).astype(np.uint8)
+                    if j >= runs:
+                        spare[:, j - runs] = mixed.astype(np.uint32)
                 whole = K.mix(np.add.reduceat(K.mix(g), first) + size[has].astype(np.uint64))
-        sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(has), [None, pa.py_buffer(small.tobytes())]).cast(pa.binary())
+        fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(max(1, x.shape[1] * x.itemsize)), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary()) if x.shape[1] else pa.array([b""] * len(x), pa.binary())
         row = pa.array(np.cumsum(size > 0) - 1, mask=size == 0)  # a null index takes a null
         lists = K.lists(tokens.ravel().view(np.int64), np.arange(len(has) + 1) * runs)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(whole.view(np.int64)).take(row), pa.array(size), lists.take(row), sketch.take(row)], ["doc_id", "rk", "rep", "size", "tokens", "sketch"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rk"), pa.array(whole.view(np.int64)).take(row), pa.array(size), lists.take(row), fixed(small).take(row), fixed(spare).take(row)], ["doc_id", "rk", "rep", "size", "tokens", "sketch", "spare"])
 
     return work
 
@@ -239,6 +243,19 @@ def _is_present(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def _spare_tokens(runs: int, first: int, more: int):
+    """Rows (rep, size, sketch, key) of `more` runs, numbered from `first`, from tokens that the sketches have left."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spare = np.frombuffer(b"".join(b.column("spare").to_pylist()), np.uint32).reshape(b.num_rows, -1)
+            for j in range(first, first + more):
+                key = K.mix(spare[:, j - runs].astype(np.uint64) + np.uint64(j << 32))
+                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("size"), b.column("sketch"), pa.array(key.view(np.int64))], ["rep", "size", "sketch", "key"])
+
+    return work
+
+
 def _more_tokens(n: int, first: int, runs: int, names):
     """Tokens of `runs` runs, numbered from `first`, for the sets named."""
 
@@ -257,8 +274,7 @@ def _more_tokens(n: int, first: int, runs: int, names):
             begin = np.cumsum(np.r_[0, size[has]])[:-1]
             tokens = np.empty((len(has), runs), np.uint64)
             for j in range(runs):
-                # Beyond the sketch's coordinates, which the splits use.
-                odd = K.mix(np.array([WIDTH + first + j], np.uint64)) | np.uint64(1)
+                            odd = K.mix(np.array([first + j], np.uint64)) | np.uint64(1)
                 tokens[:, j] = K.mix(np.minimum.reduceat(g * odd, begin) + np.uint64(first + j))
         return pa.RecordBatch.from_arrays([pa.array(whole), K.lists(tokens.ravel().view(np.int64), np.arange(len(has) + 1) * runs)], ["rep", "tokens"])
 
@@ -387,7 +403,7 @@ def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float
     """(members: rep, doc_id, rk; pairs: a, b, jaccard of reps, a < b). A rep is the hash of a distinct set; null for a row without words."""
     runs = min(runs_for(threshold, recall), WIDTH)
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").withColumn("rk", row_key())
-    sketched = store(map_passes(kept, _sketches(n, runs), "doc_id long, rk long, rep long, size long, tokens array<long>, sketch binary"), "sketches")
+    sketched = store(map_passes(kept, _sketches(n, runs), "doc_id long, rk long, rep long, size long, tokens array<long>, sketch binary, spare binary"), "sketches")
     members = sketched.select("rep", "doc_id", "rk").distinct()
     reps = sketched.where("rep is not null").groupBy("rep").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     met = _meet(reps.select("rep", "size", "sketch", F.explode("tokens").alias("key")), threshold, brute, heavy)
@@ -395,13 +411,19 @@ def set_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, recall: float
     done, found = [(runs, depth)], met.where("b is not null")
     if missed(threshold, done) > 1 - recall:
         split = met.where("b is null").select(F.col("a").alias("rep")).distinct()
-        again = store(reps.join(split, "rep", "left_semi").select("rep", "size", "sketch"), "split-sets")
-        names = _present(again)
+        spare = sketched.where("rep is not null").groupBy("rep").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("spare").alias("spare"))
+        again = store(spare.join(split, "rep", "left_semi"), "split-sets")
+        names = None
         while missed(threshold, done) > 1 - recall:
             first = sum(x for x, _ in done)
-            more = further_runs(threshold, recall, done, depth, runs)
-            tokens = map_passes(kept.select("text"), _more_tokens(n, first, more, names), "rep long, tokens array<long>").groupBy("rep").agg(F.first("tokens").alias("tokens"))
-            met = _meet(again.join(tokens, "rep").select("rep", "size", "sketch", F.explode("tokens").alias("key")), threshold, brute, heavy)
+            if first < WIDTH:  # on coordinates of the sketch that no run was on
+                more = further_runs(threshold, recall, done, depth, WIDTH - first)
+                rows = again.mapInArrow(_spare_tokens(runs, first, more), "rep long, size long, sketch binary, key long")
+            else:  # on new ones
+                more, names = further_runs(threshold, recall, done, depth, WIDTH), names or _present(again)
+                tokens = map_passes(kept.select("text"), _more_tokens(n, first, more, names), "rep long, tokens array<long>").groupBy("rep").agg(F.first("tokens").alias("tokens"))
+                rows = again.join(tokens, "rep").select("rep", "size", "sketch", F.explode("tokens").alias("key"))
+            met = _meet(rows, threshold, brute, heavy)
             depth = met.where("b is null").agg(F.max("depth")).first()[0] or 0
             done.append((more, depth))
             found = found.unionByName(met.where("b is not null"))
