@@ -1,7 +1,8 @@
-"""Lexical overlap of short texts."""
+"""Lexical overlap of texts."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,35 +11,69 @@ from .text import normalize_tokens
 from .vector import jaccard
 
 
-def _indel_ratio(a: str, b: str) -> float:
-    """100 * 2 * longest common subsequence / both lengths, the subsequence by bit rows."""
-    if not a and not b:
-        return 0.0
-    places: dict[str, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for x in b:
-        hit = row & places.get(x, 0)
-        row = (row + hit | row - hit) & full
-    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def semilocal_ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each place i of b the place where the strand that enters there leaves below, or len(b) if it leaves at the side.
 
+    The strands of the sticky braid of a and b (Tiskin, 2008) are combed an anti-diagonal at a time: two
+    that meet cross unless they have crossed before or the symbols match. The longest common subsequence
+    of a with b[i:j] is then j - i less the strands that enter at i or later and leave before j, for all
+    i and j at once.
+    """
+    m, n = len(a), len(b)
+    side, top = np.arange(m, dtype=np.int32), np.arange(m, m + n, dtype=np.int32)
+    back = a[::-1].copy()
+    for d in range(m + n - 1):
+        i0, i1 = max(0, d - n + 1), min(m - 1, d)  # rows of the anti-diagonal
+        h = slice(m - 1 - i1, m - i0)
+        v = slice(d - i1, d - i0 + 1)
+        x, y = side[h], top[v]
+        swap = (back[h] == b[v]) | (x > y)
+        side[h], top[v] = np.where(swap, y, x), np.where(swap, x, y)
+    ends = np.full(n, n, np.int64)
+    own = top >= m
+    ends[top[own] - m] = np.flatnonzero(own)
+    return ends
 
-def _best_window(short: str, long_: str) -> float:
-    n = len(short)
-    return max(_indel_ratio(short, long_[max(0, i) : i + n]) for i in range(1 - n, len(long_)))
+
+def _best_window(short: np.ndarray, long_: np.ndarray) -> float:
+    """The best of 200 * common / both lengths over all windows of the length of short, those that overhang the ends of long_ included."""
+    m, n = len(short), len(long_)
+    ends = semilocal_ends(short, long_)
+    below = np.flatnonzero(ends < n)
+    starts = np.full(n, -1, np.int64)
+    starts[ends[below]] = below
+    inside = ends < n
+    edge = np.arange(1, min(m, n + 1))
+    # Windows cut off at the left end: b[0:j].
+    left = edge - np.cumsum(starts >= 0)[edge - 1]
+    # Windows cut off at the right end: b[n - j:n].
+    right = edge - np.cumsum(inside[::-1])[edge - 1]
+    best = max([0.0, *(200.0 * (x / (m + edge)).max() for x in (left, right) if len(edge))])
+    if n >= m:
+        i = np.arange(n - m)
+        first = np.count_nonzero(ends < m)
+        missing = first + np.cumsum(np.r_[0, (starts[i + m] > i).astype(np.int64) - (ends[i] < i + m)])
+        best = max(best, 200.0 * (m - missing.min()) / (2 * m))
+    return float(best)
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with any window of the longer, windows that overhang its ends included; of texts of one length, either way."""
+    """The best ratio of the shorter text with any window of the longer, windows that overhang its ends included; of texts of one length, either way. 0 if either is empty.
+
+    Work is the product of the lengths, memory their sum.
+    """
     short, long_ = sorted((a, b), key=len)
     if not short:
         return 0.0
     if short in long_:
         return 100.0
-    best = _best_window(short, long_)
-    return max(best, _best_window(long_, short)) if len(short) == len(long_) else best
+    x, y = _codes(short), _codes(long_)
+    best = _best_window(x, y)
+    return max(best, _best_window(y, x)) if len(x) == len(y) else best
 
 
 def _partial(a: pd.Series, b: pd.Series) -> pd.Series:

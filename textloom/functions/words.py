@@ -1,12 +1,12 @@
-"""Stop words. Two lists: lexical similarity drops more words than term extraction does."""
+"""Stop words, as the behaviour that is matched has them. Two lists: lexical similarity drops more words than term extraction does."""
 
 TERM_STOP_WORDS = frozenset(
-    " ".join(sorted("""also been each have most ought shall than they were you but did how may nor same some these those what with be by do few in just need on our
-    all an and are as at both could dare does every for from had has he here i is it its might more must no not now of only or other own she should so such that the there
-    this to too used very was we when where which who whom whose why will would a can""".split())).split()
-) - {"our"}
+    """a all also an and are as at be been both but by can could dare did do does each every few for from had has have he here how i in is it its just
+    may might more most must need no nor not now of on only or other ought own same shall she should so some such than that the there these they this
+    those to too used very was we were what when where which who whom whose why will with would you""".split()
+)
 LEXICAL_STOP_WORDS = (TERM_STOP_WORDS - {"every", "whose"}) | frozenset(
-    """yet already still even much many any against about am themselves theirs their them itself herself hers her himself his him yourselves yourself yours your
-    ourselves ours our myself my me upon along across around back away off out down up over though although while until because if then once further again under between below above after
-    before during through into being""".split()
+    """about above across after again against along already although any around away back because before being below between down during even further
+    her hers herself him himself his if into itself many me much my myself off once our ours ourselves out over still their theirs them themselves then
+    though through under until up upon while yet your yours yourself yourselves am""".split()
 )

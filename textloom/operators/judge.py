@@ -5,6 +5,7 @@ A judge is keyed by pair_id, never by position or by ids that it returns.
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -14,10 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom import prompts
 from textloom.functions.vector import calibrate_score
+from textloom.schemas import json_schema
+from textloom.sources.shared import fresh
 
 log = logging.getLogger(__name__)
 VERDICT = "pair_id long, is_similar boolean, confidence double"
+ANSWER = "pairs array<struct<pair_id:long,is_similar:boolean,confidence:double,reasoning:string>>"
 KNOWN_PAIRS = [
     ("number of clients we serve", "how many clients are there", True),
     ("overall turnover", "all sales added together", True),
@@ -55,6 +60,57 @@ class RecordedJudge:
         return pairs.select("pair_id").join(self.table.select("pair_id", "is_similar", "confidence"), "pair_id")
 
 
+@dataclass(frozen=True)
+class ChatJudge:
+    """A chat model that answers a batch's prompt with JSON: {"pairs": [{"pair_id", "is_similar", "confidence", "reasoning"}, ...]}.
+
+    chat: (system prompt, prompt, JSON schema) -> text. Malformed or missing JSON is an error of the batch; pairs are
+    matched by pair_id, and ids that weren't asked for are ignored. on_error: raise, or drop the batch's verdicts.
+    """
+
+    chat: Callable[[str, str, dict], str]
+    batch_size: int = 10
+    concurrency: int = 8
+    on_error: str = "raise"
+
+    def verdicts(self, pairs: DataFrame) -> DataFrame:
+        chat, drop, size = self.chat, self.on_error == "drop", self.batch_size
+        answer = json_schema(ANSWER)
+
+        def ask(frame: pd.DataFrame) -> pd.DataFrame:
+            said = chat(prompts.PAIR_SYSTEM, prompts.pair_prompt(frame.to_dict("records")), answer)
+            if said is None:
+                raise ValueError("the model gave no answer")
+            found = parse_answer(said)
+            return pd.DataFrame([(x["pair_id"], x["is_similar"], x["confidence"]) for x in found if x["pair_id"] in set(frame["pair_id"])], columns=["pair_id", "is_similar", "confidence"])
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                groups = [g for _, g in frame.groupby("batch_id", sort=True)] if "batch_id" in frame else [frame.iloc[i : i + size] for i in range(0, len(frame), size)]
+                for group in groups:
+                    try:
+                        yield ask(group)
+                    except Exception:
+                        if not drop:
+                            raise
+                        log.exception("a batch of %d pairs has no verdicts", len(group))
+
+        return pairs.repartition(self.concurrency, "batch_id" if "batch_id" in pairs.columns else "pair_id").mapInPandas(run, VERDICT)
+
+
+def parse_answer(said: str) -> list[dict]:
+    """The pairs of a chat answer, each field of its type; anything else is a ValueError."""
+    whole = json.loads(said)
+    found = whole.get("pairs") if isinstance(whole, dict) else None
+    if not isinstance(found, list):
+        raise ValueError("the answer has no pairs")
+    for x in found:
+        ok = isinstance(x, dict) and isinstance(x.get("pair_id"), int) and isinstance(x.get("is_similar"), bool) and isinstance(x.get("confidence"), (int, float))
+        if not ok or not 0 <= x["confidence"] <= 1:
+            raise ValueError(f"not a verdict: {x}")
+    return found
+
+
 @dataclass(frozen=True)
 class CallableJudge:
     """A function from a frame of pairs to a frame of verdicts. on_error: raise, or drop the batch's verdicts."""
@@ -85,11 +141,21 @@ def accepted(pairs: DataFrame, verdicts: DataFrame, min_confidence: float) -> Da
 
 def validate_entities(terms: DataFrame, verdicts: DataFrame, failed_batches: DataFrame | None = None) -> DataFrame:
     """terms with is_valid_entity: a missing verdict rejects; a batch that failed as a whole accepts."""
-    out = terms.join(verdicts.select("term", F.col("is_valid_entity").alias("_verdict")), "term", "left")
+    said, failed = fresh(terms.columns, "_verdict", "_failed")
+    out = terms.join(verdicts.select("term", F.col("is_valid_entity").alias(said)), "term", "left")
     if failed_batches is None:
-        return out.withColumn("is_valid_entity", F.coalesce("_verdict", F.lit(False))).drop("_verdict")
-    out = out.join(failed_batches.select("batch_id", F.lit(True).alias("_failed")), "batch_id", "left")
-    return out.withColumn("is_valid_entity", F.coalesce("_failed", "_verdict", F.lit(False))).drop("_verdict", "_failed")
+        return out.withColumn("is_valid_entity", F.coalesce(said, F.lit(False))).drop(said)
+    out = out.join(failed_batches.select("batch_id", F.lit(True).alias(failed)), "batch_id", "left")
+    return out.withColumn("is_valid_entity", F.coalesce(failed, said, F.lit(False))).drop(said, failed)
+
+
+def dense_batches(pairs: DataFrame, batch_size: int = 10, rows: int | None = None) -> DataFrame:
+    """pairs with batch_id: slices of batch_size, for any pair_ids. Numbered within shares of a hash, so no task sorts all pairs; the last slice of a share may be smaller. rows: their number, if known."""
+    n = pairs.count() if rows is None else rows
+    shares = max(1, -(-n // (batch_size * 10_000)))
+    share, nth = fresh(pairs.columns, "_share", "_nth")
+    numbered = pairs.withColumn(share, F.pmod(F.xxhash64("pair_id"), F.lit(shares))).withColumn(nth, F.row_number().over(Window.partitionBy(share).orderBy("pair_id")) - 1)
+    return numbered.withColumn("batch_id", F.floor(F.col(nth) / batch_size) * shares + F.col(share)).drop(share, nth)
 
 
 def assign_batches(pairs: DataFrame, batch_size: int = 10, key: str = "pair_id") -> DataFrame:
@@ -147,11 +213,17 @@ class SanityChecker:
         return counts.crossJoin(skipped).withColumn("pass_rate", rate)
 
     def validate(self, injected: DataFrame, verdicts: DataFrame) -> DataFrame:
-        """The verdicts of pairs proper. Strict mode raises SanityCheckError with the failed canaries."""
+        """The verdicts of pairs proper. Strict mode raises SanityCheckError: a canary without a verdict has failed too.
+
+        The error lists each known pair that failed, with how often: as many rows as there are known pairs at most.
+        """
         if self.mode in ("strict", "warn"):
-            failed = injected.where("is_canary").join(verdicts, "pair_id").where("is_similar <> expected_similar").select("text_a", "text_b", "expected_similar").limit(1000).collect()
+            said = injected.where("is_canary").join(verdicts.select("pair_id", "is_similar"), "pair_id", "left")
+            wrong = ~F.col("is_similar").eqNullSafe(F.col("expected_similar"))
+            failed = said.where(wrong).groupBy("text_a", "text_b", "expected_similar").agg(F.count("*").alias("times")).orderBy("text_a", "text_b").collect()
+            times = sum(r["times"] for r in failed)
             if failed and self.mode == "strict":
-                raise SanityCheckError(f"{len(failed)} canaries failed", failed)
+                raise SanityCheckError(f"{times} canaries failed", failed)
             if failed:
-                log.warning("%d canaries failed", len(failed))
+                log.warning("%d canaries failed", times)
         return verdicts.where("pair_id >= 0")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.vector import l2_normalize
 
-BLOCK = 2048
+#: Numbers of the vectors of one side that a task holds, about; and vectors that are compared with a side at once.
+CELL, BLOCK = 1 << 20, 2048
 
 
 def build_index(vectors: DataFrame, id_column: str = "id", vector_column: str = "embedding") -> DataFrame:
@@ -20,7 +23,7 @@ def build_index(vectors: DataFrame, id_column: str = "id", vector_column: str =
 
 
 def checked(index: DataFrame) -> DataFrame:
-    """The index; ids that repeat are a ValueError."""
+    """The index; ids that repeat, within it or with what was added, are a ValueError."""
     if not index.groupBy("id").count().where("count > 1").isEmpty():
         raise ValueError("ids repeat")
     return index
@@ -30,57 +33,73 @@ def add(index: DataFrame, more: DataFrame) -> DataFrame:
     return checked(index.unionByName(more))
 
 
+def clear(index: DataFrame) -> DataFrame:
+    """The empty index of the same columns."""
+    return index.limit(0)
+
+
 def get_embedding(index: DataFrame, id_value) -> DataFrame:
+    """(id, unit): normalised; no row for an unknown id."""
     return index.where(F.col("id") == F.lit(id_value))
 
 
-def _blocks(index: DataFrame, names: tuple[str, str]) -> DataFrame:
-    """Blocks of vectors as bytes, of about one size whatever the partitions hold."""
+def _cells(side: DataFrame, salt: int, own: int, others: int, name: str) -> DataFrame:
+    """Each vector with the cells (own share, every share of the other side) that it goes to."""
+    share = F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(own))
+    cell = (lambda o: share * others + o) if name == "q" else (lambda o: o * own + share)
+    return side.select(F.lit(name).alias("side"), "id", "unit", F.explode(F.transform(F.sequence(F.lit(0), F.lit(others - 1)), lambda o: cell(o).cast("long"))).alias("cell"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                b = batch.slice(at, BLOCK)
-                x = np.asarray(b.column("unit").flatten(), np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column("id").to_pylist()], pa.list_(b.column("id").type)), pa.array([x.tobytes()], pa.binary())], list(names))
 
-    kind = index.schema["id"].dataType.simpleString()
-    return index.select("id", "unit").mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} binary")
+def _best(s: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k greatest at or over the floor; ties go to the first columns."""
+    if s.shape[1] > k:
+        # The k-th greatest bounds what can be among the best; ties with it are sorted out afterwards.
+        bound = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        row, col = np.nonzero(s >= np.maximum(bound, floor)[:, None])
+    else:
+        row, col = np.nonzero(s >= floor)
+    order = np.lexsort((col, -s[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return row[keep], col[keep]
 
 
 def top_k(queries: DataFrame, index: DataFrame, k: int = 10, threshold: float | None = None, exclude_self: bool = True) -> DataFrame:
     """(id, neighbor, score, rank): each query's k most similar, score at least the threshold, ties by id.
 
-    Blocks of queries meet blocks of the index in a Cartesian product of blocks, a matrix product each;
-    only k rows a query and block leave it, and a window keeps the best of them. All pairs are compared:
-    the work is quadratic, as exact search without a metric bound is, but no side is broadcast or collected.
+    Queries are dealt to shares of about CELL numbers by a hash, and so is the index; a task holds one
+    share of each and compares them by matrix products, block by block. Each side is made once and travels
+    as often as the other has shares; only k rows a query and task leave it, and a window keeps the best of
+    them. All pairs are compared, as exact search without a metric bound does; none is broadcast or
+    collected.
     """
     kind = index.schema["id"].dataType.simpleString()
     floor = -2.0 if threshold is None else threshold
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                a_ids, b_ids = b.column("qa")[i].as_py(), b.column("ib")[i].as_py()
-                x = np.frombuffer(b.column("qx")[i].as_py(), np.float64).reshape(len(a_ids), -1)
-                y = np.frombuffer(b.column("ix")[i].as_py(), np.float64).reshape(len(b_ids), -1)
-                s = np.round(x @ y.T, 9)
-                if exclude_self:
-                    place = {v: j for j, v in enumerate(b_ids)}
-                    for r, v in enumerate(a_ids):
-                        if v in place:
-                            s[r, place[v]] = -3.0
-                order = np.argsort(np.array(b_ids), kind="stable")
-                s = s[:, order]
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                score = np.take_along_axis(s, best, 1)
-                row, col = np.nonzero(score >= floor)
-                names = [b_ids[j] for j in order.tolist()]
-                ids = b.schema.field("qa").type.value_type
-                yield pa.RecordBatch.from_arrays([pa.array([a_ids[r] for r in row.tolist()], ids), pa.array([names[j] for j in best[row, col].tolist()], ids), pa.array(score[row, col])], ["id", "neighbor", "score"])
-
-    pairs = _blocks(queries, ("qa", "qx")).crossJoin(_blocks(index, ("ib", "ix")))
-    found = pairs.mapInArrow(run, f"id {kind}, neighbor {kind}, score double")
+    size = lambda side: side.agg(F.count("*").alias("n"), F.max(F.size("unit")).alias("d")).first()
+    n, m = (max(1, math.ceil(r["n"] * (r["d"] or 1) / CELL)) for r in (size(queries), size(index)))
+
+    def held(t: pa.Table, name: str) -> tuple[pa.Array, np.ndarray]:
+        own = t.filter(pc.equal(t.column("side"), name))
+        own = own.take(pc.sort_indices(own, [("id", "ascending")])).combine_chunks()
+        ids = own.column("id").combine_chunks() if own.num_rows else pa.array([], own.schema.field("id").type)
+        return ids, np.asarray(pc.list_flatten(own.column("unit")), np.float64).reshape(own.num_rows, -1) if own.num_rows else np.zeros((0, 0))
+
+    def work(t: pa.Table) -> pa.Table:
+        (a_ids, x), (b_ids, y) = held(t, "q"), held(t, "i")
+        place = np.asarray(pc.fill_null(pc.index_in(a_ids, value_set=b_ids), -1)) if exclude_self else np.full(len(a_ids), -1)
+        out_a, out_b, out_s = [], [], []
+        for at in range(0, len(a_ids) if len(b_ids) else 0, BLOCK):
+            s = np.round(x[at : at + BLOCK] @ y.T, 9)
+            own = place[at : at + BLOCK]
+            s[np.flatnonzero(own >= 0), own[own >= 0]] = -3.0
+            row, col = _best(s, k, floor)
+            out_a.append(row + at), out_b.append(col), out_s.append(s[row, col])
+        a, b, s = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (out_a, out_b, out_s))
+        return pa.table({"id": a_ids.take(pa.array(a)), "neighbor": b_ids.take(pa.array(b)), "score": pa.array(s.astype(np.float64))})
+
+    both = _cells(queries, 1, n, m, "q").unionByName(_cells(index, 2, m, n, "i"))
+    found = both.groupBy("cell").applyInArrow(work, f"id {kind}, neighbor {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "neighbor"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -109,3 +128,12 @@ def candidate_pairs(neighbors: DataFrame) -> DataFrame:
     key = neighbors.select("id", "neighbor", "score", "rank", F.least("id", "neighbor").alias("_lo"), F.greatest("id", "neighbor").alias("_hi"))
     first = key.groupBy("_lo", "_hi").agg(F.min_by(F.struct("id", "neighbor", "score"), F.struct("id", "rank")).alias("p"))
     return first.select(F.col("p.id").alias("id_a"), F.col("p.neighbor").alias("id_b"), F.col("p.score").alias("score"))
+
+
+def with_contexts(pairs: DataFrame, contexts: DataFrame, keep: int = 3) -> DataFrame:
+    """Candidate pairs with contexts_a and contexts_b: the first `keep` of (id, sample_contexts) of either side; none is an empty array."""
+    kind = contexts.schema["sample_contexts"].dataType
+    for x in "ab":
+        own = contexts.select(F.col("id").alias(f"id_{x}"), F.slice("sample_contexts", 1, keep).alias(f"contexts_{x}"))
+        pairs = pairs.join(own, f"id_{x}", "left").withColumn(f"contexts_{x}", F.coalesce(f"contexts_{x}", F.array().cast(kind)))
+    return pairs

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textloom.functions.lexical import syntactic_similarity
 from textloom.functions.vector import MIDPOINT, STEEPNESS, calibrate_score, cosine_similarity, jaccard
 from textloom.providers import Embedding, embed_distinct
+from textloom.sources.shared import store
+
+
+#: Terms of one automaton.
+LOOKED_FOR = 200_000
 
 
 @dataclass(frozen=True)
@@ -45,11 +55,46 @@ def blend(cosine: Column, syntactic: Column, topic: Column | None = None, config
 def extract_topics(texts: DataFrame, term_topic: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, topics): sorted ids of topics with a term that the text contains, whatever its case, word boundaries or not; none is an empty array.
 
-    A substring test has no key to join on: the terms, a taxonomy's, meet the texts in a nested loop.
+    A taxonomy's terms are looked for all at once, by an automaton, in one pass over the texts; more than
+    LOOKED_FOR, which no broadcast should hold, go through the texts an automaton of so many at a time.
     """
-    terms = term_topic.select(F.lower("term").alias("_term"), "topic_id").distinct()
-    hits = texts.select(key, F.lower(F.col(text)).alias("_text")).join(terms, F.expr("instr(_text, _term) > 0")).groupBy(key).agg(F.array_sort(F.collect_set("topic_id")).alias("topics"))
-    return texts.select(key).join(hits, key, "left").select(key, F.coalesce("topics", F.array().cast("array<string>")).alias("topics"))
+    terms = term_topic.select(F.lower("term").alias("term"), "topic_id").where("term is not null and topic_id is not null").distinct()
+    list_kind = T.ArrayType(term_topic.schema["topic_id"].dataType)
+    shares = max(1, math.ceil(terms.count() / LOOKED_FOR))
+    rows = texts.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text"))
+    key_kind = rows.schema["key"].dataType
+    found = None
+    for share in range(shares):
+        own = terms.where(F.pmod(F.xxhash64("term"), F.lit(shares)) == share) if shares > 1 else terms
+        held = rows.sparkSession.sparkContext.broadcast([(r.term, r.topic_id) for r in own.collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            topics: dict[str, set] = {}
+            for term, topic in held.value:
+                topics.setdefault(term, set()).add(topic)
+            everywhere = topics.pop("", set())  # an empty term is in every text
+            finder = ahocorasick.Automaton()
+            for term, ids in topics.items():
+                finder.add_word(term, ids)
+            finder.make_automaton()
+            for b in batches:
+                out = []
+                for x in b.column("text").to_pylist():
+                    hits = set() if x is None else set(everywhere)
+                    if x is not None and len(finder):
+                        for _, ids in finder.iter(x):
+                            hits |= ids
+                    out.append(sorted(hits))
+                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.list_(to_arrow_type(list_kind.elementType)))], ["key", "topics"])
+
+        schema = T.StructType([T.StructField("key", key_kind), T.StructField("topics", list_kind)])
+        part = rows.mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
+    if shares > 1:
+        found = found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("topics"))
+    return found.select(F.col("key").alias(key), "topics")
 
 
 def topic_similarity(a: Column, b: Column) -> Column:
@@ -61,7 +106,9 @@ def score_pairs(pairs: DataFrame, provider: Embedding, term_topic: DataFrame | N
     texts = pairs.select(F.explode(F.array("text_a", "text_b")).alias("text"))
     known = embed_distinct(texts, provider)
     if term_topic is not None:
-        known = known.join(extract_topics(known, term_topic, "text"), "text")
+        found = extract_topics(known.select("text"), term_topic, "text")
+        known = known.join(found, "text")
+    known = store(known, "scored-texts")
     side = lambda x: known.select(*[F.col(c).alias(f"{'text' if c == 'text' else c}_{x}") for c in known.columns])
     joined = pairs.join(side("a"), "text_a", "left").join(side("b"), "text_b", "left")
     topic = topic_similarity(F.col("topics_a"), F.col("topics_b")) if term_topic is not None else None

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from textloom.functions.text import title_case
 from textloom.functions.vector import short_id
 from textloom.operators.graph import connected_components
-from textloom.operators.judge import Judge, RuleJudge, accepted, validate_entities
-from textloom.operators.knn import build_index, candidate_pairs, top_k
-from textloom.operators.tfidf import TermConfig, context_lists, corpus_statistics, extract_terms, term_contexts
-from textloom.providers import Embedding
+from textloom.operators.judge import Judge, RuleJudge, accepted, dense_batches, validate_entities
+from textloom.operators.knn import build_index, candidate_pairs, top_k, with_contexts
+from textloom.operators.tfidf import TermConfig, context_lists, corpus_statistics, extract_terms, term_contexts, term_statistics
+from textloom.providers import Embedding, embed_missing
+from textloom.sources.shared import fresh, store
 
 
 @dataclass(frozen=True)
@@ -48,8 +49,8 @@ def name_clusters(clusters: DataFrame, names: DataFrame | None = None) -> DataFr
     own = title_case(F.col("terms")[0])
     if names is None:
         return clusters.withColumn("suggested_name", own)
-    given = names.select("cluster_id", F.col("name").alias("_name"))
-    return clusters.join(given, "cluster_id", "left").withColumn("suggested_name", F.coalesce("_name", own)).drop("_name")
+    (given,) = fresh(clusters.columns, "_name")
+    return clusters.join(names.select("cluster_id", F.col("name").alias(given)), "cluster_id", "left").withColumn("suggested_name", F.coalesce(given, own)).drop(given)
 
 
 def centroids(members: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
@@ -75,16 +76,27 @@ def flat_taxonomy(clusters: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy_order(items: DataFrame, most_levels: int = 64) -> DataFrame:
-    """(item_id, path, depth, root): path sorts items depth first, parents first. Items in a cycle, or below none of the roots, are left out."""
-    level = items.where("parent_id is null").select("item_id", F.array(F.format_string("%08d", "position")).alias("path"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, most_levels):
-        level = items.join(level.select(F.col("item_id").alias("parent_id"), F.col("path").alias("_up")), "parent_id").select("item_id", F.concat("_up", F.array(F.format_string("%08d", "position"))).alias("path"), F.lit(depth).alias("depth"))
-        if level.isEmpty():
+def _way_up(nodes: DataFrame, item: str) -> DataFrame:
+    """(id, way, up): for nodes (id, up, item) the items from the topmost ancestor down to each, however deep, by doubling.
+
+    As many rounds as the logarithm of the depth, each a join on keys. up is null where the way has ended,
+    at a root or above a missing parent; in a cycle it never does, and the way then repeats.
+    """
+    now = store(nodes.select("id", F.array(item).alias("way"), "up"), "ways")
+    rounds = max(1, now.count()).bit_length() + 1
+    for _ in range(rounds):
+        if now.where("up is not null").isEmpty():
             break
-        out = out.unionByName(level)
-    return out
+        above = now.select(F.col("id").alias("up"), F.col("way").alias("above"), F.col("up").alias("next"))
+        now = store(now.join(above, "up", "left").select("id", F.concat(F.coalesce("above", F.array().cast(now.schema["way"].dataType)), "way").alias("way"), F.col("next").alias("up")), "ways")
+    return now
+
+
+def hierarchy_order(items: DataFrame) -> DataFrame:
+    """(item_id, path, depth): path sorts items depth first, parents first. Items in a cycle, or below none of the roots, are left out."""
+    own = items.select(F.col("item_id").alias("id"), F.col("parent_id").alias("up"), F.struct(F.format_string("%08d", "position").alias("at"), F.col("parent_id").isNull().alias("top")).alias("step"))
+    ways = _way_up(own, "step").where("up is null").where(F.col("way")[0]["top"])
+    return ways.select(F.col("id").alias("item_id"), F.transform("way", lambda x: x["at"]).alias("path"), (F.size("way") - 1).alias("depth"))
 
 
 def hierarchical_taxonomy(items: DataFrame, clusters: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,43 +135,74 @@ def all_terms(term_topic: DataFrame) -> DataFrame:
     return term_topic.select("term")
 
 
-def topic_paths(topics: DataFrame, most_levels: int = 64) -> DataFrame:
-    """(id, path): names from the root down to each topic. A missing parent ends the way up, and so does a cycle, after most_levels."""
-    names = topics.select(F.col("id").alias("up"), F.col("canonical_name").alias("_name"), F.col("parent_topic_id").alias("_next"))
-    now = topics.select("id", F.array("canonical_name").alias("path"), F.col("parent_topic_id").alias("up"))
-    done = None
-    for _ in range(most_levels):
-        joined = now.join(names, "up", "left")
-        ended = joined.where("_name is null").select("id", "path")
-        done = ended if done is None else done.unionByName(ended)
-        now = joined.where("_name is not null").select("id", F.concat(F.array("_name"), "path").alias("path"), F.col("_next").alias("up"))
-        if now.isEmpty():
-            return done
-    return done.unionByName(now.select("id", "path"))
+def topic_paths(topics: DataFrame) -> DataFrame:
+    """(id, path): names from the root down to each topic, however deep. A missing parent ends the way up, and so does the first topic that comes again in a cycle."""
+    nodes = topics.select("id", F.col("parent_topic_id").alias("up"), F.struct("id", F.col("canonical_name").alias("name")).alias("step"))
+    # The way up from a topic is decided by the topic, so after the first that repeats all repeat.
+    ways = _way_up(nodes, "step").withColumn("back", F.reverse("way"))
+    once = F.slice("back", 1, F.greatest(F.size(F.array_distinct(F.transform("back", lambda x: x["id"]))), F.lit(1)))
+    return ways.select("id", F.transform(F.reverse(F.when(F.col("up").isNull(), F.col("back")).otherwise(once)), lambda x: x["name"]).alias("path"))
+
+
+@dataclass(frozen=True)
+class Taxonomy:
+    """What `build` made; terms are those extracted, with contexts, verdict and embedding."""
+
+    topics: DataFrame
+    term_topic: DataFrame
+    stats: DataFrame
+    terms: DataFrame
+    clusters: DataFrame
+
+    def __iter__(self):
+        return iter((self.topics, self.term_topic, self.stats))
+
+
+def complete_stats(corpus: DataFrame, terms: DataFrame, topics: DataFrame) -> DataFrame:
+    """The corpus' statistics with valid_entities and topics_created."""
+    return corpus.crossJoin(terms.agg(F.count_if("is_valid_entity").alias("valid_entities"))).crossJoin(topics.agg(F.count("*").alias("topics_created")))
 
 
-def build(units: DataFrame, provider: Embedding, judge: Judge | None = None, entity_verdicts: DataFrame | None = None, names: DataFrame | None = None, hierarchy: DataFrame | None = None, config: TaxonomyConfig = TaxonomyConfig(), strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(topics, term_topic, stats) of corpus units. strict, as for files: no unit or no valid term is a ValueError.
+def term_candidates(terms: DataFrame, knn_k: int, threshold: float) -> DataFrame:
+    """(pair_id, id_a, id_b, score, contexts_a, contexts_b): neighbours among terms (term, embedding, sample_contexts), each pair once. No embedding at all is a ValueError."""
+    index = build_index(terms, "term")
+    if index.isEmpty():
+        raise ValueError("no term has an embedding")
+    pairs = candidate_pairs(top_k(index, index, knn_k, threshold)).withColumn("pair_id", F.abs(F.xxhash64("id_a", "id_b") % (1 << 62)))
+    return with_contexts(pairs, terms.select(F.col("term").alias("id"), "sample_contexts"))
 
-    Up to five clusters, or without a hierarchy, the taxonomy is flat.
+
+def build(units: DataFrame, provider: Embedding, judge: Judge | None = None, entity_verdicts: DataFrame | None = None, names: DataFrame | None = None, hierarchy: DataFrame | None = None, config: TaxonomyConfig = TaxonomyConfig(), strict: bool = False) -> Taxonomy:
+    """The taxonomy of corpus units. strict, as for files: no unit, no valid term or no embedding is a ValueError.
+
+    Up to five clusters, or without a hierarchy, the taxonomy is flat. The corpus is read for the statistics
+    of its n-grams, for two sums, and for the contexts of the terms; everything of the size of the terms is
+    written once and read again. A term that comes with an embedding keeps it; a term pair without a verdict is no match.
     """
     if strict and units.isEmpty():
         raise ValueError("there are no documents")
-    found = extract_terms(units, TermConfig(config.min_df, config.max_df_ratio, config.contexts_per_term, config.top_n))
+    statistics = store(term_statistics(units), "term-statistics")
+    found = store(extract_terms(units, TermConfig(config.min_df, config.max_df_ratio, config.contexts_per_term, config.top_n), statistics), "extracted-terms")
     contexts = context_lists(term_contexts(units, found, config.contexts_per_term))
     terms = found.join(contexts, "term", "left")
     terms = validate_entities(terms, entity_verdicts) if entity_verdicts is not None else terms.withColumn("is_valid_entity", F.lit(True))
-    valid = provider.embed(terms.where("is_valid_entity"), "term")
+    valid = terms.where("is_valid_entity")
+    embedded = embed_missing(valid.withColumn("embedding", F.lit(None).cast("array<float>")), provider, "term")
+    terms = store(embedded.unionByName(terms.where("not is_valid_entity").withColumn("embedding", F.lit(None).cast("array<float>"))), "terms")
+    valid = terms.where("is_valid_entity")
     if strict and valid.isEmpty():
         raise ValueError("there are no valid terms")
-    index = build_index(valid, "term")
-    pairs = candidate_pairs(top_k(index, index, config.knn_k, config.similarity_threshold)).withColumn("pair_id", F.xxhash64("id_a", "id_b"))
-    edges = accepted(pairs, (judge or RuleJudge(config.similarity_threshold)).verdicts(pairs), config.min_confidence)
-    clusters = name_clusters(cluster_terms(valid, edges), names)
+    if strict and valid.where("embedding is not null").isEmpty():
+        raise ValueError("no term has an embedding")
+    if valid.where("embedding is not null").isEmpty():
+        edges = valid.select(F.col("term").alias("id_a"), F.col("term").alias("id_b")).limit(0)
+    else:
+        pairs = store(dense_batches(term_candidates(valid, config.knn_k, config.similarity_threshold), config.batch_size), "term-candidates")
+        edges = accepted(pairs, store((judge or RuleJudge(config.similarity_threshold)).verdicts(pairs), "term-verdicts"), config.min_confidence)
+    clusters = store(name_clusters(cluster_terms(valid, edges), names), "term-clusters")
     if hierarchy is not None and clusters.limit(6).count() > 5:
         topics, term_topic = hierarchical_taxonomy(hierarchy, clusters, valid)
     else:
         topics = flat_taxonomy(clusters, valid)
         term_topic = term_topics(topics)
-    stats = corpus_statistics(units, found).crossJoin(valid.agg(F.count("*").alias("valid_entities"))).crossJoin(topics.agg(F.count("*").alias("topics_created")))
-    return topics, term_topic, stats
+    return Taxonomy(topics, term_topic, complete_stats(corpus_statistics(units, found, statistics), terms, topics), terms, clusters)

@@ -17,7 +17,8 @@ from textloom.operators.graph import connected_components
 from textloom.operators.judge import RuleJudge, SanityChecker, accepted, assign_batches, validate_entities
 from textloom.operators.similarity import BlendConfig, blend, extract_topics, score_pairs
 from textloom.providers import HashingEmbedding
-from textloom.sources.io import corpus_units, spread, taxonomy_document
+from textloom.sources.io import corpus_units, load_taxonomy, save_taxonomy, spread
+from textloom.sources.shared import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -153,8 +154,8 @@ _E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) v, label FROM embeddings)
 _NEXT = f"{_E}, p AS (SELECT a.vec_id vec_a, b.vec_id vec_b, a.v va, b.v vb FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)"
 
 
-def _knn_sql(k: int, threshold: float) -> str:
-    return f"{_E}, s AS (SELECT a.vec_id id, b.vec_id neighbor, round(list_cosine_similarity(a.v, b.v), 9) score FROM e a JOIN e b ON a.vec_id <> b.vec_id), nn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbor) AS rank FROM s WHERE score >= {threshold} QUALIFY rank <= {k})"
+def _knn_sql(k: int, threshold: float, asked: str = "true") -> str:
+    return f"{_E}, s AS (SELECT a.vec_id id, b.vec_id neighbor, round(list_cosine_similarity(a.v, b.v), 9) score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE {asked}), nn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbor) AS rank FROM s WHERE score >= {threshold} QUALIFY rank <= {k})"
 
 
 def _next_vectors(spark, d) -> DataFrame:
@@ -179,16 +180,20 @@ def calibrated_from_embeddings(spark, d):
     return _next_vectors(spark, d).select("vec_a", "vec_b", F.round(V.similarity_from_embeddings(F.col("va"), F.col("vb"), 0.3), 6).alias("score"))
 
 
-@query(f"WITH {_knn_sql(5, -2)} SELECT id, neighbor, round(score, 6) AS score, rank FROM nn")
+#: A search's queries: the rows whose id is divisible by 100, against all rows.
+_ASKED = "a.vec_id % 100 = 0"
+
+
+@query(f"WITH {_knn_sql(5, -2, _ASKED)} SELECT id, neighbor, round(score, 6) AS score, rank FROM nn")
 def knn_topk(spark, d):
     index = _index(spark, d)
-    return knn.top_k(index, index, 5).select("id", "neighbor", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return knn.top_k(index.where("id % 100 = 0"), index, 5).select("id", "neighbor", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {_knn_sql(20, NEAR)} SELECT id, neighbor, round(score, 6) AS score, rank FROM nn")
+@query(f"WITH {_knn_sql(20, NEAR, _ASKED)} SELECT id, neighbor, round(score, 6) AS score, rank FROM nn")
 def knn_threshold(spark, d):
     index = _index(spark, d)
-    return knn.top_k(index, index, 20, NEAR).select("id", "neighbor", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return knn.top_k(index.where("id % 100 = 0"), index, 20, NEAR).select("id", "neighbor", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _CANDIDATES = f"{_knn_sql(10, NEAR)}, c AS (SELECT id id_a, neighbor id_b, score FROM nn QUALIFY row_number() OVER (PARTITION BY least(id, neighbor), greatest(id, neighbor) ORDER BY id, rank) = 1)"
@@ -228,7 +233,16 @@ def lexical_jaccard(spark, d):
     return _turns(spark, d).select("conv_id", "turn", F.round(syntactic_similarity(F.col("text_a"), F.col("text_b"), "jaccard"), 6).alias("score"))
 
 
-@query()
+_LCS = """n AS (SELECT p_partkey k, array_to_string(list_sort(list_distinct(%s)), ' ') s FROM part),
+both_ AS (SELECT a.k a, b.k b, a.s x, b.s y FROM n a JOIN n b ON b.k = a.k + 1),
+sides AS (SELECT a, b, x s, y l FROM both_ WHERE length(x) <= length(y) UNION ALL SELECT a, b, y, x FROM both_ WHERE length(y) <= length(x)),
+w AS (SELECT a, b, s, string_split(s, '') sc, substr(l, greatest(i, 0) + 1, length(s) + least(i, 0)) win FROM (SELECT *, unnest(range(1 - length(s), length(l))) i FROM sides WHERE s <> '')),
+r(s, sc, win, i, line) AS (SELECT DISTINCT s, sc, win, 0, list_transform(range(0, length(s) + 1), lambda j: 0) FROM w
+UNION ALL SELECT s, sc, win, i + 1, list_concat([0], list_transform(range(1, length(s) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda h: greatest(line[h + 1], line[h] + CASE WHEN sc[h] = substr(win, i + 1, 1) THEN 1 ELSE 0 END))))) FROM r WHERE i < length(win)),
+best AS (SELECT a, b, max(2 * list_max(line) / (length(s) + length(win))) m FROM w JOIN r USING (s, win) WHERE r.i = length(win) GROUP BY ALL)""" % _norm("p_name")
+
+
+@query(f"WITH RECURSIVE {_LCS} SELECT a, b, round(coalesce(m, 0), 6) AS score FROM both_ LEFT JOIN best USING (a, b)")
 def lexical_partial_ratio(spark, d):
     p = _t(spark, d, "part").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("text_a"), (F.col("p_partkey") + 1).alias("b"))
     q = _t(spark, d, "part").select(F.col("p_partkey").alias("b"), F.col("p_name").alias("text_b"))
@@ -425,25 +439,70 @@ def entity_validation(spark, d):
     return validate_entities(_t(spark, d, "documents").select(F.col("doc_id").alias("term")), verdicts)
 
 
-@query()
+def _hashed_sql(source: str, key: str, text: str, dim: int = 64) -> str:
+    """CTE e(id, v): hashed embeddings of a table's texts."""
+    codes = f"list_transform({_norm(text)}, lambda t: [('0x' || substr(md5(t), 1, 7))::BIGINT % {dim}, CASE WHEN ('0x' || substr(md5(t), 8, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END])"
+    slots = f"list_transform(range(0, {dim}), lambda i: coalesce(list_sum(list_transform(list_filter(c, lambda x: x[1] = i), lambda x: x[2])), 0)::DOUBLE)"
+    return f"e AS (SELECT id, {slots} v FROM (SELECT {key} id, {codes} c FROM {source}))"
+
+
+def _joined_sql(k: int, threshold: float) -> str:
+    """CTEs from e(id, v) to m(node, root): neighbours, confidences by the rule judge, components. A vector of zeros is near to none."""
+    return f"""u AS MATERIALIZED (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v FROM e WHERE list_dot_product(v, v) > 0),
+s AS (SELECT a.id, b.id neighbor, round(list_dot_product(a.v, b.v), 9) score FROM u a JOIN u b ON a.id <> b.id WHERE list_dot_product(a.v, b.v) > {threshold} - 1e-6),
+nn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbor) rank FROM s WHERE score >= {threshold} QUALIFY rank <= {k})"""
+
+
+_FOUND = f"""top AS MATERIALIZED (SELECT term, term_type, tfidf, df FROM scored ORDER BY tfidf DESC, term LIMIT 5000), {_hashed_sql('top', 'term', 'term')}, {_joined_sql(10, 0.5)},
+edges AS (SELECT DISTINCT id u, neighbor w FROM nn WHERE 1 / (1 + exp(-15.0 * (score - 0.65))) >= 0.1), both_ AS (SELECT u, w FROM edges UNION SELECT w, u FROM edges),
+reach(node, root) AS (SELECT u, u FROM both_ UNION SELECT w, root FROM reach JOIN both_ ON node = u), m AS (SELECT node, min(root) root FROM reach GROUP BY node),
+g AS (SELECT list_sort(list(node)) terms FROM m GROUP BY root)"""
+
+
+def _taxonomy(spark, d) -> taxonomy.Taxonomy:
+    return taxonomy.build(_units(spark, d), HashingEmbedding(), config=taxonomy.TaxonomyConfig(similarity_threshold=0.5, min_confidence=0.1))
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS.removeprefix('RECURSIVE ')}, o AS (SELECT id, unnest(tl) term FROM topics) SELECT id AS topic_id, term, true AS is_root FROM o")
 def taxonomy_json(spark, d):
+    """A taxonomy written as one JSON text, saved, loaded and taken apart again."""
     terms, clusters = _vector_terms(spark, d)
     topics = taxonomy.flat_taxonomy(clusters, terms)
-    return taxonomy_document(topics, taxonomy.term_topics(topics))
+    path = scratch(spark, "taxonomy-json")
+    save_taxonomy(topics, taxonomy.term_topics(topics), path)
+    back = load_taxonomy(spark, path)
+    found = back.select(F.explode("term_to_topic").alias("term", "topic_id"), "root_topics")
+    return found.select("topic_id", "term", F.array_contains("root_topics", F.col("topic_id")).alias("is_root"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_UNIT_CTE}, {_GRAM_CTE}, {_FOUND} SELECT 'topic_' || substr(sha256(array_to_string(terms, chr(31))), 1, 8) AS id, 'Topic of ' || array_to_string(terms[1:5], ', ') AS description, array_to_string(terms, '|') AS terms FROM g")
 def taxonomy_from_texts(spark, d):
     """The taxonomy of a corpus from end to end, with hashed embeddings of the terms."""
-    topics, _, _ = taxonomy.build(_units(spark, d), HashingEmbedding(), config=taxonomy.TaxonomyConfig(similarity_threshold=0.5, min_confidence=0.1))
-    return topics.select("id", "canonical_name", "description", "terms")
+    return _taxonomy(spark, d).topics.select("id", "description", F.array_join("terms", "|").alias("terms"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_UNIT_CTE}, {_GRAM_CTE}, {_FOUND} SELECT (SELECT n FROM total) AS documents, (SELECT sum(len(t))::BIGINT FROM tokens) AS tokens, (SELECT count_if(k = 1)::BIGINT FROM terms) AS unigrams, (SELECT count_if(k = 2)::BIGINT FROM terms) AS bigrams, (SELECT count_if(k = 3)::BIGINT FROM terms) AS trigrams, (SELECT count(*) FROM top) AS terms_extracted, (SELECT count(*) FROM top) AS valid_entities, (SELECT count(*) FROM g) AS topics_created")
+def taxonomy_stats(spark, d):
+    return _taxonomy(spark, d).stats
+
+
+_STATEMENTS = f"""docs AS (SELECT p_partkey id, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part), {_hashed_sql('docs', 'id', 'text')}, {_joined_sql(20, 0.9)},
+edges AS (SELECT DISTINCT id::VARCHAR u, neighbor::VARCHAR w FROM (SELECT * FROM nn) WHERE 1 / (1 + exp(-15.0 * (score - 0.65))) >= 0.6)"""
+
+
+def _statement_sql() -> str:
+    # Neighbours are ranked by the ids as text.
+    sql = _STATEMENTS.replace("SELECT p_partkey id", "SELECT p_partkey::VARCHAR id")
+    return f"""WITH RECURSIVE {sql}, both_ AS (SELECT u, w FROM edges UNION SELECT w, u FROM edges), reach(node, root) AS (SELECT u, u FROM both_ UNION SELECT w, root FROM reach JOIN both_ ON node = u),
+m AS (SELECT node, min(root) root FROM reach GROUP BY node) SELECT id, coalesce({_uuid_sql('root')}, 'cluster_' || id) AS cluster_id FROM docs LEFT JOIN m ON node = id"""
+
+
+@query(_statement_sql())
 def cluster_statements(spark, d):
-    """Clusters of the benchmark's statements from end to end, with hashed embeddings and canaries."""
-    docs = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text", F.lit(None).cast("string").alias("metadata"), F.lit(None).cast("array<float>").alias("embedding"))
-    return C.cluster(docs, HashingEmbedding(), config=C.ClusterConfig(similarity_threshold=0.5, min_confidence=0.05)).select("id", "cluster_id")
+    """Clusters of the parts' statements from end to end, with hashed embeddings and a canary in every batch of ten pairs, strict."""
+    docs = _t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), F.lit(None).cast("string").alias("metadata"), F.lit(None).cast("array<float>").alias("embedding"))
+    known = (("number of clients we serve", "we serve a number of clients", True), ("overall turnover", "goods left in the warehouse", False))
+    return C.cluster(docs, HashingEmbedding(), config=C.ClusterConfig(similarity_threshold=0.9), checker=SanityChecker("strict", known)).select("id", "cluster_id")
 
 
 def queries() -> dict[str, Query]:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +12,16 @@ from textloom.functions.text import sentence_units
 
 
 def read_text_files(spark: SparkSession, directory: str, pattern: str = "*.txt") -> DataFrame:
-    """(source, text) of the matching files; below the directory too only where it has none itself. A missing directory is a ValueError; unreadable files are left out."""
-    if "://" not in directory and not os.path.isdir(directory):
+    """(source, text) of the matching files of any file system that Spark reads; below the directory too only where it has none itself. A missing directory is a ValueError; unreadable files are left out."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(directory)
+    system = path.getFileSystem(conf)
+    if not system.exists(path) or not system.getFileStatus(path).isDirectory():
         raise ValueError(f"{directory} is not a directory")
-    read = spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True)
-    flat = read.option("recursiveFileLookup", False).text([directory], wholetext=True) if "://" in directory or any(Path(directory).glob(pattern)) else None
-    if flat is None:
-        flat = read.option("recursiveFileLookup", True).text([directory], wholetext=True)
-    return flat.select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
+    matches = system.globStatus(jvm.org.apache.hadoop.fs.Path(path, pattern)) or []
+    below = not any(f.isFile() for f in matches)
+    read = spark.read.option("pathGlobFilter", pattern).option("ignoreCorruptFiles", True).option("recursiveFileLookup", below)
+    return read.text([directory], wholetext=True).select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
 
 
 def from_texts(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
@@ -55,11 +56,11 @@ def load_clusters(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.DOCUMENT).option("mode", "FAILFAST").json(f"{path}/documents")
 
 
-def taxonomy_document(topics: DataFrame, term_topic: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """One row, one JSON text: the taxonomy as a single document."""
+def taxonomy_document(topics: DataFrame, term_topic: DataFrame, stats: DataFrame | None = None, created_at: str | None = None) -> DataFrame:
+    """One row, one JSON text: the taxonomy as a single document, made at created_at (ISO 8601; now, if it isn't given)."""
     body = topics.agg(F.array_sort(F.collect_list(F.struct(*topics.columns))).alias("topics"), F.array_sort(F.collect_list(F.when(F.col("parent_topic_id").isNull(), F.col("id")))).alias("root_topics"))
     terms = term_topic.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "topic_id")))).alias("term_to_topic"))
-    whole = body.crossJoin(F.broadcast(terms))
+    whole = body.crossJoin(F.broadcast(terms)).withColumn("created_at", F.lit(created_at or datetime.now().isoformat()))
     if stats is not None:
         pairs = F.create_map(*[x for c in stats.columns for x in (F.lit(c), F.col(c).cast("string"))])
         whole = whole.crossJoin(F.broadcast(stats.select(pairs.alias("source_stats"))))
@@ -92,7 +93,13 @@ def format_taxonomy(topics: DataFrame, max_terms: int = 5) -> str:
     return "\n".join(lines)
 
 
+def clusters_for_display(labelled: DataFrame) -> DataFrame:
+    """(cluster_id, size, members: (id, text) by id), largest first."""
+    grouped = labelled.groupBy("cluster_id").agg(F.count("*").alias("size"), F.array_sort(F.collect_list(F.struct("id", "text"))).alias("members"))
+    return grouped.orderBy(F.desc("size"), "cluster_id")
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over as many partitions as there are cores, if a small table has come in fewer; a large one is left as it is."""
+    """The rows over as many partitions as there are cores, if a file of one row group has come in fewer; else as it is, without a shuffle. The rows are the same."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
