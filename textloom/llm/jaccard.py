@@ -21,7 +21,7 @@ documents that it is linked to, copies of each linked text included; no link bet
 lost. `pairs` has the pairs between classes of equal sets, by their least ids, and their members.
 
 A bucket beyond `heavy` sets, which one task should not hold, is split by further coordinates in Spark
-before it is gathered; if no coordinate tells its sets apart, it is cut into blocks that meet two by two.
+before it is gathered; one whose sets agree too often for that is cut into blocks that meet two by two.
 
 Defined results: a text without words (null, empty, or none but punctuation) has no set, is its own class
 and has no links; a text of fewer words than n has one n-gram, all of it; a null id is left out of the
@@ -274,7 +274,7 @@ def _more_tokens(n: int, first: int, runs: int, names):
             begin = np.cumsum(np.r_[0, size[has]])[:-1]
             tokens = np.empty((len(has), runs), np.uint64)
             for j in range(runs):
-                            odd = K.mix(np.array([first + j], np.uint64)) | np.uint64(1)
+                odd = K.mix(np.array([first + j], np.uint64)) | np.uint64(1)
                 tokens[:, j] = K.mix(np.minimum.reduceat(g * odd, begin) + np.uint64(first + j))
         return pa.RecordBatch.from_arrays([pa.array(whole), K.lists(tokens.ravel().view(np.int64), np.arange(len(has) + 1) * runs)], ["rep", "tokens"])
 
@@ -345,9 +345,9 @@ def _verify(threshold: float):
 def _meet(rows: DataFrame, threshold: float, brute: int, heavy: int) -> DataFrame:
     """Candidates (key, a, b, depth) of runs' rows (rep, size, sketch, key); b is null for sets of split buckets."""
     rows = rows.withColumn("level", F.lit(0))
-    # Buckets too large for one task are split on, a coordinate at a time, until none is. Sets that no
-    # coordinate of the sketch tells apart any more are cut into blocks, which meet two by two.
-    light, level = None, 0
+    # Buckets too large for one task are split on, a coordinate at a time, until none is. A bucket whose sets
+    # agree too often to be split off each other is cut into blocks instead, which meet two by two and lose nothing.
+    branches, light, level = math.ceil(1 / threshold), None, 0
     while True:
         counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > heavy)
         if counts.isEmpty():
@@ -356,16 +356,17 @@ def _meet(rows: DataFrame, threshold: float, brute: int, heavy: int) -> DataFram
         part = rows.join(counts, "key", "left_anti")
         light = part if light is None else light.unionByName(part)
         rows = rows.join(counts, "key")
-        level += 1
-        if level > WIDTH // 4:
-            light = light.unionByName(_cells(rows, heavy))
-            rows = None
-            break
-        step = F.pmod(F.xxhash64("key", F.lit(level), F.lit("step")), F.lit(WIDTH // math.ceil(1 / threshold)))
-        places = F.array(*[F.pmod(F.xxhash64("key", F.lit(level)) % WIDTH + step + F.lit(b * (WIDTH // math.ceil(1 / threshold))), F.lit(WIDTH)) for b in range(math.ceil(1 / threshold))])
+        places = F.explode(F.array(*[F.struct(F.lit(j).alias("at"), F.substring("sketch", j + 1, 1).alias("byte")) for j in range(0, WIDTH, 12)])).alias("z")
+        seen = rows.select("key", "n", places).groupBy("key", "n", "z").agg(F.count("*").alias("m"))
+        alike = seen.groupBy("key").agg((F.sum(F.col("m") / F.col("n") * F.col("m") / F.col("n")) / len(range(0, WIDTH, 12))).alias("share"))
+        dense = alike.where((F.col("share") >= 0.8 * threshold) | F.lit(level >= WIDTH // 2)).select("key")
+        light = light.unionByName(_cells(rows.join(dense, "key", "left_semi"), heavy))
+        rows, level = rows.join(dense, "key", "left_anti"), level + 1
+        step = F.pmod(F.xxhash64("key", F.lit(level), F.lit("step")), F.lit(WIDTH // branches))
+        places = F.array(*[F.pmod(F.xxhash64("key", F.lit(level)) % WIDTH + step + F.lit(b * (WIDTH // branches)), F.lit(WIDTH)) for b in range(branches)])
         rows = rows.select("rep", "size", "sketch", "key", F.explode(places).alias("_at"))
         rows = store(rows.select("rep", "size", "sketch", F.xxhash64("key", "_at", F.substring("sketch", F.col("_at").cast("int") + 1, F.lit(1))).alias("key"), F.lit(level).alias("level")), "split-buckets")
-    rows = light if rows is None else rows if light is None else light.unionByName(rows)
+    rows = rows if light is None else light.unionByName(rows)
     found = map_keyed(rows, "key", _candidates(threshold, brute), _MET_SCHEMA, least=20_000)
     return store(found.groupBy("a", "b").agg(F.min("key").alias("key"), F.max("size_a").alias("size_a"), F.max("size_b").alias("size_b"), F.max("depth").alias("depth")), "candidates")
 
