@@ -73,7 +73,7 @@ def test_canaries(spark):
     wrong = right.withColumn("is_similar", ~F.col("is_similar"))
     with pytest.raises(judge.SanityCheckError) as e:
         checker.validate(injected, wrong)
-    assert len(e.value.failed) == 3
+    assert sum(r["times"] for r in e.value.failed) == 3
     assert judge.SanityChecker("warn").validate(injected, wrong).count() == 25
     never = judge.SanityChecker("sample", sample_rate=0.0)
     assert never.stats(never.inject(batched), right).first().pass_rate == 1.0
@@ -114,7 +114,7 @@ def test_verification_and_labels(spark):
 def test_cluster_end_to_end(spark):
     rows = [{"id": "1", "text": "number of active customers"}, {"id": "2", "text": "active customers number", "other": 1}, {"id": "3", "text": "warehouse inventory report"}]
     docs = io.documents_from_dicts(spark, rows)
-    got = {r.id: r.cluster_id for r in C.cluster(docs, HashingEmbedding(), config=C.ClusterConfig.from_config({"similarity_threshold": 0.9, "unknown": 1})).collect()}
+    got = {r.id: r.cluster_id for r in C.cluster(docs, HashingEmbedding(), config=C.ClusterConfig.from_config({"similarity_threshold": 0.9, "sanity_mode": "warn", "unknown": 1})).collect()}
     assert got["1"] == got["2"] != got["3"]
     with pytest.raises(ValueError):
         io.documents_from_dicts(spark, [rows[0], rows[0]])
@@ -192,3 +192,217 @@ def test_schemas(spark):
     for bad in (1.5, -0.1):
         with pytest.raises(Exception, match="outside"):
             schemas.within(spark.createDataFrame([(bad,)], "confidence double"), "confidence", 0, 1).collect()
+
+
+def test_strict_canaries_fail_with_the_rule_judge(spark):
+    rows = [{"id": str(i), "text": t} for i, t in enumerate(["number of active customers", "active customers number", "warehouse inventory report"])]
+    docs = io.documents_from_dicts(spark, rows)
+    loose = C.ClusterConfig(similarity_threshold=0.9)
+    with pytest.raises(judge.SanityCheckError) as e:  # hashed embeddings don't know that these say the same
+        C.cluster(docs, HashingEmbedding(), config=loose)
+    assert sum(r["times"] for r in e.value.failed) == 1
+    assert C.cluster(docs, HashingEmbedding(), config=C.ClusterConfig(similarity_threshold=0.9, sanity_mode="warn")).count() == 3
+    known = judge.SanityChecker("strict", (("red fox", "fox red", True),))
+    got = {r.id: r.cluster_id for r in C.cluster(docs, HashingEmbedding(), config=loose, checker=known).collect()}
+    assert got["0"] == got["1"] != got["2"]
+
+
+def test_a_canary_without_a_verdict_has_failed(spark):
+    batched = judge.assign_batches(spark.range(20_000).selectExpr("id pair_id", "'a' id_a", "'b' id_b", "'x' text_a", "'y' text_b"))
+    checker = judge.SanityChecker()
+    injected = checker.inject(batched)
+    with pytest.raises(judge.SanityCheckError, match="2000 canaries failed") as e:
+        checker.validate(injected, injected.where("not is_canary").selectExpr("pair_id", "true is_similar", "1.0D confidence"))
+    assert len(e.value.failed) == 5 and sum(r["times"] for r in e.value.failed) == 2000
+
+
+def test_each_text_is_embedded_and_each_pair_judged_once(spark, tmp_path):
+    import os
+
+    def note(kind, n):
+        with open(tmp_path / f"{kind}-{os.getpid()}-{os.urandom(4).hex()}", "w") as f:
+            f.write(str(n))
+
+    total = lambda kind: sum(int(p.read_text()) for p in tmp_path.glob(f"{kind}-*"))
+
+    def embed(texts):
+        note("embed", len(texts))
+        return [[1.0, float(len(t) % 3), 0.5] for t in texts]
+
+    def say(frame: pd.DataFrame) -> pd.DataFrame:
+        note("judge", len(frame))
+        return frame.assign(is_similar=frame.score > 0.99, confidence=0.9)
+
+    docs = io.documents_from_dicts(spark, [{"id": str(i), "text": "x" * (i + 1)} for i in range(9)])
+    known = judge.SanityChecker("strict", (("abc", "xyz", True),))
+    got = C.cluster(docs, CallableEmbedding(embed, 2), judge.CallableJudge(say, 2), C.ClusterConfig(similarity_threshold=0.5), checker=known).collect()
+    assert len({r.cluster_id for r in got}) == 3
+    pairs = 9 * 8 // 2
+    assert total("embed") == 9 + 2 and total("judge") == pairs + -(-pairs // 10)
+    with pytest.raises(ValueError, match="repeat"):
+        C.cluster(docs.union(docs), HashingEmbedding(), checker=known)
+    with pytest.raises(Exception, match="empty text"):
+        C.cluster(io.documents_from_dicts(spark, [{"id": "1", "text": " \n "}]), HashingEmbedding()).collect()
+
+
+def test_verifiers_see_whole_clusters(spark):
+    docs = io.documents_from_dicts(spark, [{"id": i, "text": t} for i, t in (("a", "red fox"), ("b", "fox red"), ("c", "red fox fox"), ("d", "blue whale"))])
+
+    def check(clusters):
+        assert [(c["cluster_id"], [m["id"] for m in c["members"]]) for c in clusters] == [("a", ["a", "b", "c"])]
+        return [{"cluster_id": "a", "is_valid": False, "members_to_remove": ["c"]}]
+
+    config = C.ClusterConfig(similarity_threshold=0.9, sanity_mode="off")
+    got = {r.id: r.cluster_id for r in C.cluster(docs, HashingEmbedding(), config=config, verify=C.CallableVerifier(check)).collect()}
+    assert got["a"] == got["b"] and len(set(got.values())) == 3
+
+
+def test_chat_judge(spark):
+    import json
+
+    pairs = spark.createDataFrame([(1, "red fox", "fox red", 0), (2, "red fox", "blue whale", 0), (3, "a", "b", 1)], "pair_id long, text_a string, text_b string, batch_id long")
+
+    def chat(system, prompt, schema):
+        assert "JSON" not in prompt and schema["required"] == ["pairs"] and "Pair " in prompt and system
+        if "Pair 3" in prompt:
+            return "no JSON"
+        return json.dumps({"pairs": [{"pair_id": 1, "is_similar": True, "confidence": 0.9, "reasoning": ""}, {"pair_id": 77, "is_similar": True, "confidence": 1, "reasoning": ""}]})
+
+    said = judge.ChatJudge(chat, on_error="drop").verdicts(pairs).collect()
+    assert [(r.pair_id, r.is_similar) for r in said] == [(1, True)]
+    with pytest.raises(Exception, match="Expecting value"):
+        judge.ChatJudge(chat).verdicts(pairs).collect()
+    for bad in ("{}", '{"pairs": [{"pair_id": 1, "is_similar": 1, "confidence": 0.5}]}', '{"pairs": [{"pair_id": 1, "is_similar": true, "confidence": 1.5}]}'):
+        with pytest.raises(ValueError):
+            judge.parse_answer(bad)
+
+
+def test_deep_hierarchies_and_cycles(spark):
+    n = 130
+    items = spark.createDataFrame([(f"i{k:03}", f"i{k - 1:03}" if k else None, 0, f"N{k}", "", [f"t{k}", "shared"]) for k in range(n)] + [("x", "y", 0, "X", "", ["x"]), ("y", "x", 0, "Y", "", []), ("z", "gone", 0, "Z", "", [])], schemas.HIERARCHY)
+    order = {r.item_id: r.depth for r in taxonomy.hierarchy_order(items).collect()}
+    assert order == {f"i{k:03}": k for k in range(n)}
+    topics = items.select(F.col("item_id").alias("id"), F.col("name").alias("canonical_name"), F.col("parent_id").alias("parent_topic_id"))
+    paths = {r.id: r.path for r in taxonomy.topic_paths(topics).collect()}
+    assert paths["i129"] == [f"N{k}" for k in range(n)] and paths["z"] == ["Z"]
+    assert paths["x"] == ["Y", "X"] and paths["y"] == ["X", "Y"]
+
+
+def test_columns_of_the_callers_own_names(spark):
+    docs = spark.createDataFrame([("a", 1, 2), ("b", 3, 4)], "id string, _label int, _verdict int")
+    members = spark.createDataFrame([("a", "a"), ("b", "a")], "node string, root string")
+    assert C.label(docs, members).columns == ["id", "_label", "_verdict", "cluster_id"]
+    terms = docs.withColumnRenamed("id", "term").withColumn("_failed", F.lit(1)).withColumn("batch_id", F.lit(0))
+    said = spark.createDataFrame([("a", True)], "term string, is_valid_entity boolean")
+    got = judge.validate_entities(terms, said, spark.createDataFrame([(5,)], "batch_id int"))
+    assert {"_label", "_verdict", "_failed"} <= set(got.columns) and {r.term: r.is_valid_entity for r in got.collect()} == {"a": True, "b": False}
+
+
+def test_grams_are_those_of_the_plain_list(spark):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = ["the", "of", "and", "milk", "ox", "cheese", "whole", "a", "butter"]
+    lists = [[rng.choice(words) for _ in range(rng.randint(0, 9))] for _ in range(60)] + [None, []]
+    g = tfidf.Grams(pa.array(lists, pa.list_(pa.string())))
+    got = Counter(zip(g.unit.tolist(), g.texts(g.key).to_pylist(), strict=True))
+    assert got == Counter((i, x) for i, own in enumerate(lists) for x in tfidf.ngrams(own or []))
+    assert g.texts(g.keys([["whole", "milk"], ["unknown"], ["milk"]])).to_pylist() == ["milk", "whole milk"]
+    units = spark.createDataFrame([("s", 0, i, " ".join(own or [])) for i, own in enumerate(lists)], "source string, ord long, unit_no int, text string")
+    terms = spark.createDataFrame([("whole milk",), ("cheese",)], "term string")
+    few = sorted(map(tuple, tfidf.term_contexts(units, terms).collect()))
+    tfidf.LOOKED_FOR, before = 1, tfidf.LOOKED_FOR
+    try:
+        assert sorted(map(tuple, tfidf.term_contexts(units, terms).collect())) == few and few
+    finally:
+        tfidf.LOOKED_FOR = before
+
+
+def test_neighbours_over_many_shares(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(-2, 3, (40, 4)).astype(float)
+    index = knn.build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>"))
+    want = {(r.id, r.neighbor, r.score, r.rank) for r in knn.top_k(index, index, 3, 0.1).collect()}
+    monkeypatch.setattr(knn, "CELL", 30)
+    assert {(r.id, r.neighbor, r.score, r.rank) for r in knn.top_k(index, index, 3, 0.1).collect()} == want
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(norm > 0, norm, 1)
+    s = np.round(u @ u.T, 9)
+    for i in range(40):
+        best = sorted((j for j in range(40) if j != i and s[i, j] >= 0.1), key=lambda j: (-s[i, j], j))[:3]
+        assert [b for a, b, _, r in sorted(want, key=lambda z: z[3]) if a == i] == best
+
+
+def test_topics_over_many_automata(spark, monkeypatch):
+    from textloom.operators import similarity
+
+    texts = spark.createDataFrame([(1, "The cat sat"), (2, "concatenate DOGS"), (3, None), (4, "")], "id long, text string")
+    topics = spark.createDataFrame([("cat", "c"), ("CAT", "k"), ("dog", "d"), (None, "n"), ("at sat", "s")], "term string, topic_id string")
+    want = {1: ["c", "k", "s"], 2: ["c", "d", "k"], 3: [], 4: []}
+    for size in (200_000, 2):
+        monkeypatch.setattr(similarity, "LOOKED_FOR", size)
+        assert {r.id: r.topics for r in similarity.extract_topics(texts, topics, "id").collect()} == want
+
+
+def test_saved_taxonomies_say_when(spark, tmp_path):
+    topics = spark.createDataFrame([("t1", "T", "", ["a"], None, [], [], [])], schemas.TOPIC)
+    io.save_taxonomy(topics, taxonomy.term_topics(topics), str(tmp_path / "t"))
+    assert io.load_taxonomy(spark, str(tmp_path / "t")).first().created_at[:2] == "20"
+    assert "T: a" in io.format_taxonomy(topics)
+
+
+def test_partial_ratio_of_long_texts():
+    import random
+    import time
+
+    from textloom.functions.lexical import partial_ratio
+
+    rng = random.Random(2)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    b = "".join(rng.choice("abcdefgh ") for _ in range(2000)) + a[:1500] + "#" + a[1500:]
+    began = time.time()
+    assert 99.9 < partial_ratio(a, b) < 100 and time.time() - began < 20
+
+
+def windows(a, b):
+    """The definition, window by window."""
+    from functools import lru_cache
+
+    short, long_ = sorted((a, b), key=len)
+
+    def common(x, y):
+        @lru_cache(None)
+        def f(i, j):
+            return 0 if i == len(x) or j == len(y) else f(i + 1, j + 1) + 1 if x[i] == y[j] else max(f(i + 1, j), f(i, j + 1))
+
+        return f(0, 0)
+
+    def best(s, t):
+        return max((200 * common(s, w) / (len(s) + len(w)) for i in range(1 - len(s), len(t)) for w in [t[max(0, i) : i + len(s)]]), default=0)
+
+    return 0 if not short else max(best(short, long_), best(long_, short)) if len(short) == len(long_) else best(short, long_)
+
+
+def test_partial_ratio_is_the_best_window():
+    import random
+
+    from textloom.functions.lexical import partial_ratio
+
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randint(0, 8))) for _ in range(2))
+        assert partial_ratio(a, b) == pytest.approx(windows(a, b))
+
+
+def test_command_line(spark, tmp_path):
+    from textloom.__main__ import main
+
+    assert "rye bread" in main(["taxonomy"]).lower()
+    (tmp_path / "a.txt").write_text("Rye bread keeps.\nRye bread sells.\nFresh rye bread.\nNothing else here.")
+    assert main(["cluster"]).count("(2)") >= 2
+    with pytest.raises(ValueError):
+        main(["taxonomy", str(tmp_path / "nowhere")])

@@ -62,6 +62,7 @@ def test_embedded_hybrid_scores_are_those_of_partial_ratio(spark, tmp_path):
 
 def test_the_taxonomy_reads_every_document(spark, sf_dir, monkeypatch):
     seen = []
-    monkeypatch.setattr(registry.taxonomy, "build", lambda units, *a, **k: seen.append(units) or (units.selectExpr("source id", "'' canonical_name", "'' description", "array(text) terms"), None, None))
+    made = lambda units: registry.taxonomy.Taxonomy(units.selectExpr("source id", "'' description", "array(text) terms"), *[None] * 4)
+    monkeypatch.setattr(registry.taxonomy, "build", lambda units, *a, **k: seen.append(units) or made(units))
     got = registry.queries()["taxonomy_from_texts"](spark, sf_dir)
     assert got.count() == registry._units(spark, sf_dir).count() > 1000

@@ -189,7 +189,8 @@ class SanityChecker:
         """Whether a batch is checked: all, but in sample mode a share decided by a hash."""
         if self.mode != "sample":
             return F.lit(True)
-        return F.pmod(F.xxhash64(batch_id, F.lit(self.seed)), F.lit(1_000_000)) < int(self.sample_rate * 1_000_000)
+        digest = F.md5(F.concat_ws(":", batch_id.cast("string"), F.lit(str(self.seed))).cast("binary"))
+        return F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % 1_000_000 < int(self.sample_rate * 1_000_000)
 
     def select(self, batches: DataFrame) -> DataFrame:
         """(batch_id, canary_no, text_a, text_b, expected_similar): for each checked batch, per_batch canaries by hash, or all if there are fewer."""

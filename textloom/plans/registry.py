@@ -14,10 +14,10 @@ from textloom.functions.words import LEXICAL_STOP_WORDS, TERM_STOP_WORDS
 from textloom.operators import cluster as C
 from textloom.operators import knn, taxonomy, tfidf
 from textloom.operators.graph import connected_components
-from textloom.operators.judge import RuleJudge, SanityChecker, accepted, assign_batches, validate_entities
+from textloom.operators.judge import RecordedJudge, RuleJudge, SanityChecker, accepted, assign_batches, dense_batches, validate_entities
 from textloom.operators.similarity import BlendConfig, blend, extract_topics, score_pairs
-from textloom.providers import HashingEmbedding
-from textloom.sources.io import corpus_units, load_taxonomy, save_taxonomy, spread
+from textloom.providers import HashingEmbedding, embed_missing
+from textloom.sources.io import clusters_for_display, corpus_units, documents_from_dicts, from_texts, load_clusters, load_taxonomy, read_text_files, save_clusters, save_taxonomy, spread
 from textloom.sources.shared import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -447,20 +447,21 @@ def _hashed_sql(source: str, key: str, text: str, dim: int = 64) -> str:
 
 
 def _joined_sql(k: int, threshold: float) -> str:
-    """CTEs from e(id, v) to m(node, root): neighbours, confidences by the rule judge, components. A vector of zeros is near to none."""
-    return f"""u AS MATERIALIZED (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) v FROM e WHERE list_dot_product(v, v) > 0),
-s AS (SELECT a.id, b.id neighbor, round(list_dot_product(a.v, b.v), 9) score FROM u a JOIN u b ON a.id <> b.id WHERE list_dot_product(a.v, b.v) > {threshold} - 1e-6),
+    """CTEs from e(id, v) to nn: neighbours by the slots that vectors share. A vector of zeros is near to none."""
+    return f"""u AS MATERIALIZED (SELECT id, unnest(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))) x, generate_subscripts(v, 1) slot FROM e WHERE list_dot_product(v, v) > 0),
+nz AS MATERIALIZED (SELECT * FROM u WHERE x <> 0),
+s AS (SELECT a.id, b.id neighbor, round(sum(a.x * b.x), 9) score FROM nz a JOIN nz b USING (slot) WHERE a.id <> b.id GROUP BY ALL),
 nn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbor) rank FROM s WHERE score >= {threshold} QUALIFY rank <= {k})"""
 
 
-_FOUND = f"""top AS MATERIALIZED (SELECT term, term_type, tfidf, df FROM scored ORDER BY tfidf DESC, term LIMIT 5000), {_hashed_sql('top', 'term', 'term')}, {_joined_sql(10, 0.5)},
-edges AS (SELECT DISTINCT id u, neighbor w FROM nn WHERE 1 / (1 + exp(-15.0 * (score - 0.65))) >= 0.1), both_ AS (SELECT u, w FROM edges UNION SELECT w, u FROM edges),
+_FOUND = f"""top AS MATERIALIZED (SELECT term, term_type, tfidf, df FROM scored ORDER BY tfidf DESC, term LIMIT 5000), {_hashed_sql('top', 'term', 'term')}, {_joined_sql(10, 0.75)},
+edges AS (SELECT DISTINCT id u, neighbor w FROM nn WHERE 1 / (1 + exp(-15.0 * (score - 0.65))) >= 0.7), both_ AS (SELECT u, w FROM edges UNION SELECT w, u FROM edges),
 reach(node, root) AS (SELECT u, u FROM both_ UNION SELECT w, root FROM reach JOIN both_ ON node = u), m AS (SELECT node, min(root) root FROM reach GROUP BY node),
 g AS (SELECT list_sort(list(node)) terms FROM m GROUP BY root)"""
 
 
 def _taxonomy(spark, d) -> taxonomy.Taxonomy:
-    return taxonomy.build(_units(spark, d), HashingEmbedding(), config=taxonomy.TaxonomyConfig(similarity_threshold=0.5, min_confidence=0.1))
+    return taxonomy.build(_units(spark, d), HashingEmbedding(), config=taxonomy.TaxonomyConfig(similarity_threshold=0.75))
 
 
 @query(f"WITH RECURSIVE {_CLUSTERS.removeprefix('RECURSIVE ')}, o AS (SELECT id, unnest(tl) term FROM topics) SELECT id AS topic_id, term, true AS is_root FROM o")
@@ -505,6 +506,197 @@ def cluster_statements(spark, d):
     return C.cluster(docs, HashingEmbedding(), config=C.ClusterConfig(similarity_threshold=0.9), checker=SanityChecker("strict", known)).select("id", "cluster_id")
 
 
+@query("SELECT text FROM benchmark")
+def text_files(spark, d):
+    """Each benchmark text in a file of its own, below a folder that has none itself."""
+    path = scratch(spark, "text-files")
+    _t(spark, d, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    return read_text_files(spark, path).select(F.regexp_replace("text", "\n$", "").alias("text"))
+
+
+@query("SELECT 'nation' || n_nationkey || ':line1' AS source, n_name || ' lies in region ' || n_regionkey AS text FROM nation")
+def texts_in_memory(spark, d):
+    rows = [(f"nation{r.n_nationkey}", f"{r.n_name} lies in region {r.n_regionkey}") for r in _t(spark, d, "nation").collect()]
+    return corpus_units(from_texts(spark, rows)).select("source", "text")
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, n_name AS text, CASE WHEN n_regionkey = 0 THEN NULL ELSE n_regionkey::VARCHAR END AS metadata FROM nation")
+def documents_in_dicts(spark, d):
+    rows = [{"id": str(r.n_nationkey), "text": r.n_name, "unknown": 1} | ({"metadata": str(r.n_regionkey)} if r.n_regionkey else {}) for r in _t(spark, d, "nation").collect()]
+    return documents_from_dicts(spark, rows).select("id", "text", "metadata")
+
+
+@query(f"WITH {_MEMBERS}, {_LABELS} SELECT id::VARCHAR AS id, cluster_id, len(embedding) AS dim, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM l JOIN embeddings ON vec_id = id")
+def clusters_json(spark, d):
+    """Labelled documents saved as JSON and loaded again."""
+    path = scratch(spark, "clusters-json")
+    labelled = _labels(spark, d).join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    save_clusters(labelled.select(F.col("id").cast("string").alias("id"), F.lit("t").alias("text"), "embedding", "cluster_id"), C.cluster_count(labelled), path)
+    return load_clusters(spark, path).select("id", "cluster_id", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+@query(f"WITH {_MEMBERS}, {_LABELS} SELECT cluster_id, count(*) AS size, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM l GROUP BY cluster_id")
+def clusters_displayed(spark, d):
+    shown = clusters_for_display(_labels(spark, d).withColumn("text", F.lit("t")))
+    return shown.select("cluster_id", "size", F.array_join(F.transform("members", lambda m: m["id"].cast("string")), ",").alias("members"))
+
+
+@query(rf"SELECT doc_id, regexp_replace(replace(text, chr(10), ' '), '^\s+|\s+$', '', 'g') AS text FROM documents")
+def cleaned_texts(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.clean_for_embedding(F.col("text")).alias("text"))
+
+
+@query(f"WITH {_hashed_sql('part', 'p_partkey', 'p_name')}, x AS (SELECT id, unnest(list_transform(v, lambda x: x / nullif(sqrt(list_dot_product(v, v)), 0))) y, generate_subscripts(v, 1) - 1 AS slot FROM e) SELECT id, slot, round(y, 5) AS value FROM x WHERE y <> 0 AND id % 2 = 1 UNION ALL SELECT p_partkey, 0, 9.0 FROM part WHERE p_partkey % 2 = 0")
+def embedded_where_missing(spark, d):
+    """Every other part comes with an embedding, which it keeps; the rest are embedded."""
+    given = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit(9.0)).cast("array<float>"))
+    rows = embed_missing(_t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), given.alias("embedding")), HashingEmbedding())
+    return rows.select("id", F.posexplode("embedding").alias("slot", "value")).where("value <> 0").select("id", F.col("slot").cast("long").alias("slot"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+@query(f"WITH {_NEXT} SELECT vec_a, vec_b, round(1 / (1 + exp(-15.0 * (list_cosine_similarity(va, vb) - 0.82))), 9) AS score FROM p")
+def semantic_from_embeddings(spark, d):
+    """With the default midpoint and steepness."""
+    return _next_vectors(spark, d).select("vec_a", "vec_b", F.round(V.similarity_from_embeddings(F.col("va"), F.col("vb")), 9).alias("score"))
+
+
+@query(f"WITH {_E} SELECT vec_id AS id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM e")
+def index_added(spark, d):
+    """An index of half of the vectors, to which the other half is added; a row without a vector isn't in it."""
+    e = _t(spark, d, "embeddings")
+    half = knn.build_index(e.where("label < 5").unionByName(e.where("label < 5").limit(1).select((-F.col("vec_id") - 1).alias("vec_id"), F.lit(None).cast("array<float>").alias("embedding"), "label")), "vec_id")
+    return knn.add(half, knn.build_index(e.where("label >= 5"), "vec_id")).select("id", F.round(F.col("unit")[0], 6).alias("first"))
+
+
+@query(f"WITH {_E} SELECT vec_id AS id, round(unnest(list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))), 6) AS x FROM e WHERE vec_id = 7")
+def index_lookup(spark, d):
+    return knn.get_embedding(_index(spark, d), 7).select("id", F.explode("unit").alias("x")).select("id", F.round("x", 6).alias("x"))
+
+
+@query(f"WITH {_E} SELECT vec_id AS id, round(list_cosine_similarity(v, (SELECT v FROM e WHERE vec_id = 5)), 6) AS score FROM e WHERE vec_id <> 5 AND list_cosine_similarity(v, (SELECT v FROM e WHERE vec_id = 5)) >= 0.1 ORDER BY round(list_cosine_similarity(v, (SELECT v FROM e WHERE vec_id = 5)), 9) DESC, vec_id LIMIT 10")
+def search_by_id(spark, d):
+    return knn.search_by_id(_index(spark, d), 5, 10, 0.1).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_CANDIDATES} SELECT id_a, id_b, 'about ' || id_a || '; about ' || id_a || ' again; more of ' || id_a AS contexts_a FROM c")
+def term_candidates(spark, d):
+    """Candidate pairs of terms with the first three of each side's contexts."""
+    sentence = lambda *parts: F.concat(*[F.lit(x) if x else F.col("vec_id").cast("string") for x in parts])
+    contexts = F.transform(F.array(sentence("about ", ""), sentence("about ", "", " again"), sentence("more of ", ""), sentence("not ", "")), lambda x: F.struct(x.alias("sentence"), F.lit("f").alias("source_file"), F.lit(0).alias("char_start"), F.lit(1).alias("char_end")))
+    terms = _t(spark, d, "embeddings").select(F.col("vec_id").alias("term"), "embedding", contexts.alias("sample_contexts"))
+    found = taxonomy.term_candidates(terms, 10, NEAR)
+    return found.select("id_a", "id_b", F.array_join(F.transform("contexts_a", lambda x: x["sentence"]), "; ").alias("contexts_a"))
+
+
+@query("SELECT DISTINCT doc_id // 10 AS batch_id FROM documents WHERE ('0x' || substr(md5((doc_id // 10) || ':0'), 1, 7))::BIGINT % 1000000 < 300000")
+def canary_sample(spark, d):
+    """The batches that sample mode checks."""
+    return SanityChecker("sample", sample_rate=0.3).inject(_batched(spark, d)).where("is_canary").select("batch_id")
+
+
+@query("SELECT doc_id * 7 + 3 AS pair_id, (row_number() OVER (ORDER BY doc_id) - 1) // 10 AS batch_id FROM documents")
+def dense_batch_ids(spark, d):
+    """Keys with gaps make slices of ten all the same."""
+    return dense_batches(_batched(spark, d).drop("batch_id").withColumn("pair_id", F.col("pair_id") * 7 + 3)).select("pair_id", F.col("batch_id").cast("long").alias("batch_id"))
+
+
+@query("""WITH v AS (SELECT doc_id, max(quality) = 1 ok FROM labels GROUP BY doc_id) SELECT d.doc_id AS term, CASE WHEN d.doc_id // 10 % 7 = 0 THEN true ELSE coalesce(ok, false) END AS is_valid_entity FROM documents d LEFT JOIN v USING (doc_id)""")
+def entity_validation_failed_batches(spark, d):
+    """Batches that failed as a whole accept their terms."""
+    verdicts = _t(spark, d, "labels").groupBy(F.col("doc_id").alias("term")).agg((F.max("quality") == 1).alias("is_valid_entity"))
+    terms = assign_batches(_t(spark, d, "documents").select(F.col("doc_id").alias("term")), key="term")
+    failed = terms.where("batch_id % 7 = 0").select("batch_id").distinct()
+    return validate_entities(terms, verdicts, failed).select("term", "is_valid_entity")
+
+
+@query("""SELECT d.doc_id AS pair_id, max(l.quality) * 0.75 AS confidence FROM documents d JOIN labels l USING (doc_id) GROUP BY 1 HAVING max(l.toxic) = 1 AND max(l.quality) * 0.75 >= 0.7""")
+def recorded_verdicts(spark, d):
+    """Pairs with verdicts of a table: a pair that it lacks is no match."""
+    said = _t(spark, d, "labels").groupBy(F.col("doc_id").alias("pair_id")).agg((F.max("toxic") == 1).alias("is_similar"), (F.max("quality") * 0.75).cast("double").alias("confidence"))
+    pairs = _batched(spark, d)
+    return accepted(pairs, RecordedJudge(said).verdicts(pairs), 0.7).select("pair_id", "confidence")
+
+
+@query(f"WITH {_MEMBERS}, big AS (SELECT root FROM m GROUP BY root HAVING count(*) > 1) SELECT vec_id AS id, CASE WHEN root IS NULL OR (node = root AND root IN (FROM big) AND root % 2 = 0) THEN 'cluster_' || vec_id ELSE {_uuid_sql('root::VARCHAR')} END AS cluster_id FROM embeddings LEFT JOIN m ON node = vec_id")
+def removed_roots(spark, d):
+    """Verdicts that remove a cluster's root, and some on clusters that there aren't."""
+    members = _members(spark, d)
+    heads = members.select("root").distinct()
+    verdicts = heads.select(F.col("root").alias("cluster_id"), (F.col("root") % 2 != 0).alias("is_valid"), F.array("root").alias("members_to_remove")).unionByName(heads.select((-F.col("root") - 1).alias("cluster_id"), F.lit(False).alias("is_valid"), F.array("root").alias("members_to_remove")))
+    return C.label(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id")), C.verify_members(members, verdicts))
+
+
+def _items(spark, d) -> DataFrame:
+    """Regions, nations, suppliers as a hierarchy; a nation has its suppliers' names among its terms, a region those of the cluster of its name."""
+    region, nation, supplier = (_t(spark, d, t) for t in ("region", "nation", "supplier"))
+    own = supplier.groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_name")).alias("names"))
+    none = F.array().cast("array<string>")
+    r = region.select(F.concat(F.lit("r"), "r_regionkey").alias("item_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_regionkey").cast("int").alias("position"), F.col("r_name").alias("name"), F.lit("").alias("description"), none.alias("terms"))
+    n = nation.join(own, nation.n_nationkey == own.s_nationkey, "left").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.col("n_nationkey").cast("int"), "n_name", F.lit(""), F.concat(F.array("n_name"), F.coalesce("names", none)))
+    s = supplier.select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), F.col("s_suppkey").cast("int"), "s_name", F.lit(""), F.array("s_name"))
+    lost = region.select(F.concat(F.lit("x"), "r_regionkey"), F.concat(F.lit("x"), ((F.col("r_regionkey") + 1) % 5).cast("int")), F.lit(0), F.lit("cycle"), F.lit(""), F.array(F.lit("never")))
+    return r.union(n).union(s).union(lost)
+
+
+def _hierarchy(spark, d) -> tuple[DataFrame, DataFrame]:
+    named = _t(spark, d, "region").select(F.concat(F.lit("c"), "r_regionkey").alias("cluster_id"), F.array(F.concat("r_name", F.lit(" term"))).alias("terms"), F.array().cast("array<struct<sentence:string,source_file:string,char_start:int,char_end:int>>").alias("sample_contexts"), F.col("r_name").alias("suggested_name"))
+    terms = _t(spark, d, "nation").select(F.col("n_name").alias("term"), F.array(F.col("n_regionkey").cast("float")).alias("embedding"))
+    return taxonomy.hierarchical_taxonomy(_items(spark, d), named, terms)
+
+
+_TOPIC = "'topic_' || substr(sha256(%s), 1, 8)"
+
+
+@query(f"""WITH t AS (SELECT 'r' || r_regionkey id, r_name nm, NULL::VARCHAR up, 1 n_terms, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) below FROM region
+UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey, 1 + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey), (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) FROM nation
+UNION ALL SELECT 's' || s_suppkey, s_name, 'n' || s_nationkey, 1, 0 FROM supplier) SELECT {_TOPIC % 'id'} AS id, nm AS canonical_name, {_TOPIC % 'up'} AS parent_topic_id, n_terms, below AS n_children FROM t""")
+def hierarchical_topics(spark, d):
+    """A hierarchy with a cycle, which is left out."""
+    return _hierarchy(spark, d)[0].select("id", "canonical_name", "parent_topic_id", F.size("terms").cast("long").alias("n_terms"), F.size("children").cast("long").alias("n_children"))
+
+
+@query(f"""WITH o AS (SELECT s_name term, {_TOPIC % "'n' || s_nationkey"} topic_id FROM supplier UNION ALL SELECT n_name, {_TOPIC % "'n' || n_nationkey"} FROM nation UNION ALL SELECT r_name || ' term', {_TOPIC % "'r' || r_regionkey"} FROM region) SELECT term, topic_id FROM o""")
+def hierarchical_term_owners(spark, d):
+    """A supplier's name is a term of the supplier and of its nation, which is written later."""
+    return _hierarchy(spark, d)[1].select("term", "topic_id")
+
+
+@query(f"WITH {_CLUSTERS} SELECT DISTINCT unnest(tl) AS term FROM topics")
+def taxonomy_terms(spark, d):
+    terms, clusters = _vector_terms(spark, d)
+    return taxonomy.all_terms(taxonomy.term_topics(taxonomy.flat_taxonomy(clusters, terms)))
+
+
+@query(f"WITH {_MEMBERS}, g AS (SELECT list_sort(list('term ' || node)) terms FROM m GROUP BY root) SELECT 'cluster_' || substr(sha256(array_to_string(terms, chr(31))), 1, 8) AS cluster_id, array_to_string(flatten(list_transform(terms, lambda t: ['first of ' || t, 'second of ' || t]))[1:5], '; ') AS contexts FROM g")
+def cluster_contexts(spark, d):
+    """The first two contexts of each member, the first five of a cluster."""
+    terms, _ = _vector_terms(spark, d)
+    of = F.array(*[F.struct(F.concat(F.lit(f"{n} of "), F.col("term")).alias("sentence"), F.lit("f").alias("source_file"), F.lit(0).alias("char_start"), F.lit(1).alias("char_end")) for n in ("first", "second", "third")])
+    edges = _edges(spark, d).select(*[F.concat(F.lit("term "), F.col(c).cast("string")).alias(c) for c in ("id_a", "id_b")])
+    found = taxonomy.cluster_terms(terms.withColumn("sample_contexts", of), edges)
+    return found.select("cluster_id", F.array_join(F.transform("sample_contexts", lambda x: x["sentence"]), "; ").alias("contexts"))
+
+
+@query(f"""WITH {_UNIT_CTE}, {_GRAM_CTE}, top AS MATERIALIZED (SELECT term FROM scored ORDER BY tfidf DESC, term LIMIT 300), f AS (SELECT doc_id, list_sort(list(term)) topics FROM documents JOIN top ON instr(lower(text), term) > 0 GROUP BY doc_id)
+SELECT doc_id, coalesce(array_to_string(topics, ','), '') AS topics FROM documents LEFT JOIN f USING (doc_id)""")
+def topic_extract_terms(spark, d):
+    """The topics of a corpus' own terms, one each, in all documents."""
+    terms = tfidf.extract_terms(_units(spark, d), tfidf.TermConfig(top_n=300)).select("term", F.col("term").alias("topic_id"))
+    return extract_topics(_t(spark, d, "documents"), terms, "doc_id").select("doc_id", F.array_join("topics", ",").alias("topics"))
+
+
+@query(f"""WITH {_UNIT_CTE}, {_GRAM_CTE}, top AS (SELECT term FROM scored ORDER BY tfidf DESC, term LIMIT 1),
+lines AS (SELECT doc_id, unit_no, unnest(s) AS sentence, generate_subscripts(s, 1) AS line_no FROM (SELECT doc_id, unit_no, list_filter(list_transform(string_split(unit, chr(10)), lambda l: lower({_strip('l')})), lambda l: length(l) > 10) s FROM units)),
+has AS (SELECT DISTINCT doc_id, unit_no, term FROM grams WHERE term IN (FROM top)),
+hits AS (SELECT term, sentence, row_number() OVER (ORDER BY doc_id, unit_no, line_no) nth FROM has JOIN lines USING (doc_id, unit_no) WHERE instr(sentence, term) > 0)
+SELECT term, nth, sentence FROM hits WHERE nth <= 2""")
+def contexts_of_term(spark, d):
+    units = _units(spark, d)
+    best = tfidf.extract_terms(units, tfidf.TermConfig(top_n=1))
+    contexts = tfidf.term_contexts(units, best)
+    return contexts.join(best.select("term"), "term", "left_semi").where("nth <= 2").select("term", "nth", "sentence")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
