@@ -1,9 +1,17 @@
 """The corpus pipeline, from raw documents to packs.
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir) and returns the documents that
-go on, all columns as they were; the last returns packs. Language ID and toxicity drop what they reject,
-the n-gram Jaccard join leaves the least id of each group, suffix-array dedup cuts the later copies of
-passages out of the texts, and packing places what is left.
+go on, all columns; the last returns packs, with the text of every piece, so that nothing but its result is
+needed to train on. Language ID drops documents of which half or more of the words are in no known language, or junked with
+symbols, and sets `lang` to the language found; toxicity drops documents with a significant toxic passage;
+the n-gram Jaccard join leaves the least id of each class; suffix-array dedup cuts the later copies of
+passages out of the texts (n_chars follows); packing places what is left.
+
+Defined results: a document whose text is null, empty or without words goes at language ID; a null id stays
+in all stages, after all other ids where these decide; rows that repeat id and text go or stay together, and
+are packed as often as they occur; ties go to the least id; very long texts are handled whole; an empty
+table gives an empty result, and so does one without a label of language; without labels of toxicity nothing
+is toxic. Columns of the caller's own names are kept as they are.
 """
 
 from __future__ import annotations

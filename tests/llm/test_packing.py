@@ -46,6 +46,33 @@ def test_every_word_is_in_one_pack(spark):
     assert [s for _, s, _ in long] == [64 * i for i in range(len(long))]
     assert sum(r.doc_id == 2 for r in got) == 2  # repeated rows are packed as often
     assert {r.doc_id for r in got}.isdisjoint({4, 5, 6})
+    by = {r.doc_id: r.text for r in docs.where("doc_id <> 2").collect()}
+    for i in {r.doc_id for r in got} - {2, None}:
+        own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)
+        assert "".join(r.text for r in own) == by[i] and all(len(r.text.split()) == r.length for r in own)
+
+
+def test_tokens_of_a_vocabulary(spark):
+    import os
+
+    import numpy as np
+
+    folder = "/opt/tokenizers"
+    found = sorted(x for x in os.listdir(folder) if x.endswith(".tiktoken"))
+    if not found:
+        import pytest
+
+        pytest.skip("no file of ranks")
+    starts = X.tiktoken_starts(f"{folder}/{found[0]}", r"\s*\S+|\s+")
+    texts = ["héllo wörld 🙂🙂 日本語", "", "plain words"]
+    raw = [t.encode() for t in texts]
+    at, counts = starts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert counts[0] == 0 and counts[1] == counts[2] < counts[3] == len(at)
+    assert all((b"".join(raw)[i] & 0xC0) != 0x80 for i in at.tolist()) and (np.diff(at) >= 0).all()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = X.pack(docs, max_len=3, starts=starts).collect()
+    for i, t in enumerate(texts):
+        assert "".join(r.text for r in sorted(got, key=lambda r: r.piece) if r.doc_id == i) == t
 
 
 def test_empty(spark):

@@ -57,6 +57,7 @@ def test_duplicates_are_those_of_brute_force(spark):
         rows.append((i, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert covered(X.repeats(docs, window=10, k=4).collect()) == brute(rows, 10)
+    assert covered(X.repeats(docs, window=10, k=4, heavy=3).collect()) == brute(rows, 10)  # hot minimisers, window by window
     cut = {r.doc_id: r.text.split() for r in X.cut(docs, window=10, k=4).collect()}
     gone = brute(rows, 10)
     assert cut == {i: [w for p, w in enumerate(t.split()) if p not in gone.get(i, ())] for i, t in rows}

@@ -3,23 +3,28 @@
 Each word's potentials come from hashed features: prefixes and suffixes of 1 to 3 bytes, all 2- and
 3-byte n-grams with word boundaries, the word itself, and for each language whether the lexicon learned
 for it has the word. Learned transitions tie neighbours. Forward-backward gives each word's marginal
-over the languages and `und` (no known language); a text is accepted if the known languages' mean marginals
-together are over a half, and its language is then the known label with the largest, else `und` (Lafferty,
-McCallum and Pereira, 2001).
+over the languages and `und` (no known language). A word that touches a run of two or more symbols (###,
+%%%) is in no language: the mean marginals of the known languages are lowered by the share of such runs
+among the words. A text is accepted if they are together over a half still, and its language is then the known
+label with the largest, else `und` (Lafferty, McCallum and Pereira, 2001).
 
 Trained by Adam on the exact log-likelihood of sequences spliced from labelled documents, so switches
 inside a text are seen in training; `und` is learned from words whose letters are shuffled. The training
-rows are a bounded sample, `train_docs` a language, chosen by a hash of the id. Scoring covers every
+rows are a bounded sample, `train_docs` a language of at most `train_bytes` each, chosen by a hash of the id. Scoring covers every
 word of every text.
 
+`keep` has an effect on what it keeps: the lang column, where it is text, becomes the language found.
+
 Defined results: a null, empty or wordless text has language null, share 0 and isn't accepted; words
 without letters have flat potentials and follow their neighbours; ties take the label first in order;
-rows repeat as they are given; no labelled language means that nothing is accepted. Columns other than
-id, text and lang are not read.
+rows repeat as they are given; a null id is kept; no labelled language means that nothing is accepted; an
+empty table gives an empty result. A very long text is labelled whole, with memory in proportion to its
+words times the labels. Columns other than id, text and lang are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .frames import keep_rows, map_passes
+from .frames import map_passes
 
 BUCKETS = 1 << 17
+SYMBOLS = np.zeros(256, bool)
+SYMBOLS[list(b"#$%&*+<=>@\\^_`|~")] = True
 PASS = 4 << 20
 OUT = "doc_id long, language string, share double, accepted boolean, words int, segments array<struct<start:int,end:int,language:string>>"
 
@@ -229,15 +236,29 @@ def train(texts: list[tuple[str, str]], rounds: int = 50, length: int = 48, sequ
     return Model(labels, w.astype(np.float32), np.exp(tr), np.exp(fi), uniq[inside], members[inside], lex.astype(np.float32))
 
 
-def fit(docs: DataFrame, train_docs: int = 200) -> Model | None:
-    """train_docs: bound of the sample of labelled rows a language. Every language of the table is a label."""
-    ranked = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null and text is not null")
+def fit(docs: DataFrame, train_docs: int = 200, train_bytes: int = 1 << 16) -> Model | None:
+    """train_docs, train_bytes: bounds of the sample of labelled rows a language, and of a text in it. Every language of the table is a label."""
+    ranked = docs.select("doc_id", "lang", "text").where("lang is not null and doc_id is not null and text is not null").where(F.octet_length("text") <= train_bytes).select("doc_id", "lang")
     ranked = ranked.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))).where(F.col("rn") <= train_docs)
     ids = ranked.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text").distinct().orderBy("lang", "doc_id", "text").collect()
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= train_bytes).join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text").distinct().orderBy("lang", "doc_id", "text").collect()
     return train([(r.lang, r.text) for r in rows])
 
 
+def symbol_runs(texts: pa.Array) -> np.ndarray:
+    """Runs of two or more symbols in each text."""
+    buf, offsets = K.buffer(texts)
+    if len(buf) < 2:
+        return np.zeros(len(texts), np.int64)
+    is_symbol = SYMBOLS[buf]
+    two = is_symbol[1:] & is_symbol[:-1]
+    two[1:] &= ~is_symbol[:-2]
+    inside = offsets[1:-1]
+    inside = inside[(inside > 0) & (inside < len(buf))]
+    two[inside - 1] = False  # a run doesn't go on into the next text
+    return np.diff(np.searchsorted(np.flatnonzero(two), offsets))
+
+
 def label(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of every word, and how many words came before each text."""
     buf, offsets = K.buffer(pc.utf8_lower(texts))
@@ -253,13 +274,15 @@ def decide(model: Model, texts: pa.Array, least_known: float) -> tuple[np.ndarra
     size, und = np.diff(counts), len(model.labels) - 1
     sums = np.concatenate([np.zeros((1, und + 1)), np.cumsum(g, 0, dtype=np.float64)])
     mean = (sums[counts[1:]] - sums[counts[:-1]]) / np.maximum(size, 1)[:, None]
+    mean[:, :und] *= (1 - np.minimum(1, symbol_runs(texts) / np.maximum(size, 1)))[:, None]
+    mean[:, und] = np.where(size > 0, 1 - mean[:, :und].sum(1), 0)
     accepted = (size > 0) & (mean[:, :und].sum(1) > least_known)
     top = np.where(accepted, mean[:, :und].argmax(1), und)
     return g, counts, top, np.where(size > 0, mean[np.arange(len(top)), top], 0.0), accepted
 
 
 def score(docs: DataFrame, model: Model | None, least_known: float = 0.5) -> DataFrame:
-    """One row a document: OUT. Accepted if its words' mean marginal of the known languages together is over `least_known`."""
+    """One row a document: OUT. Accepted if the share of its words in known languages is over `least_known`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "language", "share", "accepted", "words", "segments"]
 
@@ -285,11 +308,19 @@ def score(docs: DataFrame, model: Model | None, least_known: float = 0.5) -> Dat
 
 
 def keep(docs: DataFrame, model: Model | None, least_known: float = 0.5) -> DataFrame:
-    """The accepted documents, all columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The accepted documents, all columns; lang, if it is text, is the language found."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    relabel = "lang" in names and docs.schema["lang"].dataType.simpleString() == "string"
 
-    def choose(batch: pa.RecordBatch) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        return np.zeros(batch.num_rows, bool) if m is None else decide(m, batch.column("text"), least_known)[4]
-
-    return keep_rows(docs, choose, PASS)
+        for batch in batches if m is not None else ():
+            for part in K.passes(batch, limit=PASS):
+                _, _, top, _, accepted = decide(m, part.column("text"), least_known)
+                own = part.filter(pa.array(accepted))
+                if relabel and own.num_rows:
+                    found = pa.array(m.labels, pa.string()).take(pa.array(top[accepted]))
+                    own = own.set_column(names.index("lang"), "lang", found)
+                yield own
+
+    return docs.mapInArrow(run, docs.schema)

@@ -10,12 +10,15 @@ pattern owns a run of ranks of its length.
 Ranks come without a global sort or a single-partition window: a text is numbered within its partition
 and length while it is read, and the counts of (partition, length) are summed up afterwards.
 
-A text longer than `max_len` is cut into pieces of `max_len` and a rest, so every token is packed. The
-length is the number of white-space separated words unless `count` gives another.
+A text longer than `max_len` is cut into pieces of `max_len` and a rest, so every token is packed. Tokens
+are white-space separated words unless `starts` gives others. Each row carries the text of its piece, up to
+where the next begins, so a text is its pieces in order and a pack is its rows by position: nothing else is
+needed to train on it.
 
-Defined results: null and empty texts have no tokens and are in no pack; repeated rows are packed as
+Defined results: null and empty texts, and those of white space only, have no tokens and are in no pack; repeated rows are packed as
 often as they occur; equal lengths are ranked by partition and order in it; an empty table gives an empty
-result; a null id is kept. Columns other than id and text are not read.
+result; a null id is kept; a very long text takes memory in proportion to itself. Columns other than id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -31,20 +34,21 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .frames import store
 
-PIECES = "doc_id long, piece int, start int, length int, part int, nth long"
-OUT = "pack_id long, position int, doc_id long, piece int, start int, length int, pack_length int"
+PIECES = "doc_id long, piece int, start int, length int, text string, part int, nth long"
+OUT = "pack_id long, position int, doc_id long, piece int, start int, length int, text string, pack_length int"
 
 
-def count_words(texts: pa.Array) -> np.ndarray:
-    buf, offsets = K.buffer(texts)
-    return np.diff(K.spans(buf, offsets, K.NOT_SPACE)[2])
+def word_starts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The byte that each token of the texts begins at, and how many tokens came before each text."""
+    starts, _, counts = K.spans(buf, offsets, K.NOT_SPACE)
+    return starts, counts
 
 
-def tiktoken_counter(path: str, pattern: str) -> Callable[[pa.Array], np.ndarray]:
-    """Lengths in tokens of a vocabulary file of ranks, for `count`."""
+def tiktoken_starts(path: str, pattern: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Tokens of a vocabulary file of ranks, for `starts`. A token that begins inside a character begins with it."""
     held: list = []
 
-    def count(texts: pa.Array) -> np.ndarray:
+    def starts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not held:
             import base64
 
@@ -53,9 +57,18 @@ def tiktoken_counter(path: str, pattern: str) -> Callable[[pa.Array], np.ndarray
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             held.append(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
-        return np.array([len(held[0].encode_ordinary(x or "")) for x in texts.to_pylist()], np.int64)
+        out, counts = [np.zeros(0, np.int64)], [0]
+        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            tokens = held[0].encode_ordinary(bytes(buf[lo:hi]).decode())
+            size = np.array([len(held[0].decode_single_token_bytes(x)) for x in tokens], np.int64)
+            at = lo + np.cumsum(np.r_[0, size])[:-1]
+            while len(at) and (inside := (buf[at] & 0xC0) == 0x80).any():
+                at = at - inside
+            out.append(at)
+            counts.append(counts[-1] + len(tokens))
+        return np.concatenate(out), np.array(counts)
 
-    return count
+    return starts
 
 
 def patterns(histogram: dict[int, int], max_len: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -100,7 +113,7 @@ def slots(found: list[tuple[int, tuple[int, ...]]], max_len: int) -> dict[str, n
     return {k: np.array([r[i] for r in rows], np.int64) for i, k in enumerate(names)}
 
 
-def pieces(docs: DataFrame, max_len: int, count: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+def pieces(docs: DataFrame, max_len: int, starts: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """The texts as pieces of at most max_len, numbered within partition and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +121,9 @@ def pieces(docs: DataFrame, max_len: int, count: Callable[[pa.Array], np.ndarray
         seen = np.zeros(max_len + 1, np.int64)
         for batch in batches:
             for b in K.passes(batch):
-                size = count(b.column("text")).astype(np.int64)
+                buf, offsets = K.buffer(b.column("text"))
+                begins, counts = starts(buf, offsets)
+                size = np.diff(counts).astype(np.int64)
                 n = -(-size // max_len)
                 row = np.repeat(np.arange(len(n)), n)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(np.r_[0, n])[:-1], n)
@@ -120,20 +135,25 @@ def pieces(docs: DataFrame, max_len: int, count: Callable[[pa.Array], np.ndarray
                 nth[order] = np.arange(len(row)) - begin + seen[run_of]
                 seen += np.bincount(length, minlength=max_len + 1)
                 ids = b.column("doc_id").take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), pa.array(piece * max_len, pa.int32()), pa.array(length, pa.int32()), pa.array(np.full(len(row), part), pa.int32()), pa.array(nth)], ["doc_id", "piece", "start", "length", "part", "nth"])
+                # A text's first piece begins with the text, its last ends with it.
+                first = np.where(piece == 0, offsets[row], begins[np.minimum(counts[row] + piece * max_len, max(len(begins) - 1, 0))] if len(begins) else 0)
+                last = np.where(piece == n[row] - 1, offsets[row + 1], np.r_[first[1:], len(buf)]) if len(row) else first
+                whole = bytes(buf)
+                text = pa.array([whole[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), pa.array(piece * max_len, pa.int32()), pa.array(length, pa.int32()), text, pa.array(np.full(len(row), part), pa.int32()), pa.array(nth)], ["doc_id", "piece", "start", "length", "text", "part", "nth"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, max_len: int = 2048, count: Callable[[pa.Array], np.ndarray] = count_words) -> DataFrame:
-    """One row a piece: its pack, its place in it, and which words of which document it holds."""
-    cut = store(pieces(docs, max_len, count), "pieces")
+def pack(docs: DataFrame, max_len: int = 2048, starts: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] = word_starts) -> DataFrame:
+    """One row a piece: its pack, its place in it, which tokens of which document it holds, and their text."""
+    cut = store(pieces(docs, max_len, starts), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most max_len rows
     table = slots(patterns(histogram, max_len), max_len)
     shared = docs.sparkSession.sparkContext.broadcast(table)
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = cut.join(before.select("part", "length", F.coalesce("before", F.lit(0)).alias("before")), ["part", "length"]).select("doc_id", "piece", "start", "length", (F.col("before") + F.col("nth")).alias("rank"))
+    ranked = cut.join(before.select("part", "length", F.coalesce("before", F.lit(0)).alias("before")), ["part", "length"]).select("doc_id", "piece", "start", "length", "text", (F.col("before") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
@@ -145,8 +165,8 @@ def pack(docs: DataFrame, max_len: int = 2048, count: Callable[[pa.Array], np.nd
                 own = length == x
                 at[own] = cuts[x] + np.searchsorted(s["rank"][cuts[x] : cuts[x + 1]], rank[own], "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s["pack"][at] + rank - s["rank"][at]), pa.array(s["position"][at], pa.int32()), b.column("doc_id"), b.column("piece"), b.column("start"), b.column("length"), pa.array(s["filled"][at], pa.int32())],
-                ["pack_id", "position", "doc_id", "piece", "start", "length", "pack_length"],
+                [pa.array(s["pack"][at] + rank - s["rank"][at]), pa.array(s["position"][at], pa.int32()), b.column("doc_id"), b.column("piece"), b.column("start"), b.column("length"), b.column("text"), pa.array(s["filled"][at], pa.int32())],
+                ["pack_id", "position", "doc_id", "piece", "start", "length", "text", "pack_length"],
             )
 
     return ranked.mapInArrow(place, OUT)

@@ -95,6 +95,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from . import ego
 
-    from . import jaccard
+    from . import jaccard, suffix
 
-    return {"op3_ngram_jaccard_join": jaccard.oracle(), "op9_embedding_near_dedup": ego.oracle(), "op9_embedding_near_dedup_035": ego.oracle(0.35), "op9_embedding_pairs_035": ego.pairs_oracle(0.35)}
+    return {"op4_suffix_array_dedup": suffix.oracle(), "op3_ngram_jaccard_join": jaccard.oracle(), "op9_embedding_near_dedup": ego.oracle(), "op9_embedding_near_dedup_035": ego.oracle(0.35), "op9_embedding_pairs_035": ego.pairs_oracle(0.35)}

@@ -1,8 +1,9 @@
 """Repeated passages by suffix arrays built in two stages.
 
-A passage of `window` words (white-space separated, compared byte by byte) is a duplicate where the same
+A passage of `window` words (white-space separated; case and punctuation count) is a duplicate where the same
 words already stand at an earlier place of the corpus, by (doc_id, word). Result: for each document the
-words that duplicates cover.
+words that duplicates cover. Words are compared by hashes of 32 bits, so two windows that differ in m words
+are taken for one with probability 2^(-32 m); but for that the result is exact, as its SQL says.
 
 The suffix array of the whole corpus is never one array. Each window of words is assigned to the least
 hash of its k-grams (a minimiser): equal windows have equal minimisers, so neighbouring windows of one
@@ -13,14 +14,17 @@ one scan over the buckets. Adjacent common prefixes of `window` words or more th
 Suffixes are ordered by their first `window` words, which is all that a prefix of that length needs, so
 periodic text costs no more than other text.
 
-A stretch that is equal to an earlier one of the same pass over the texts is a duplicate at once, so a
-passage that many documents share travels once a pass, not once a document.
+A stretch that is equal (by 64 bits) to an earlier one of the same pass over the texts is a duplicate at once, so a
+passage that many documents share travels once a pass, not once a document. A minimiser that occurs more
+than `heavy` times, as in boilerplate that a third of all documents share, is never gathered: its windows are
+aggregated one by one, to the first place of each (64 bits of hash), which combines before it travels.
 
 Defined results: null and empty texts and texts of fewer words than `window` have no duplicates; a row
 that repeats both id and text is the same row, not a duplicate of it; equal texts under different ids
-repeat each other, the least id stays whole; a null id comes after all others; overlaps within a text
-count, so the first period of periodic text stays; an empty table gives an empty result. Columns other
-than id and text are not read by `repeats`, and are kept as they are by `cut`.
+repeat each other, the least id stays whole (of one id, the row of the least hash); a null id comes after all others; overlaps within a text
+count, so the first period of periodic text stays; a very long text is handled whole, in memory in proportion to
+itself; an empty table gives an empty result. Columns other than id and text are not read by `repeats`, and
+are kept as they are by `cut`.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .frames import fresh, map_keyed, map_passes, row_key
+from .frames import fresh, map_keyed, map_passes, row_key, store
 
 LAST_ID = 2**63 - 1
 FOUND = "rk long, doc_id long, from int, to int"
@@ -92,12 +96,36 @@ def _anchors(window: int, k: int):
 
 
 def _travel(window: int, k: int):
-    """Stretches of repeated minimisers; one that equals an earlier one of the pass goes without its words."""
+    """Stretches of repeated minimisers; one that equals an earlier one of the pass goes without its words. Of heavy minimisers (whole is false) each window, named by its hash."""
+    names = ["whole", "anchor", "doc_id", "rk", "start", "size", "words"]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        h, counts, (text, first, size, value, _) = stretches(batch.column("text"), window, k)
-        wanted = np.unique(np.asarray(batch.column("anchors").flatten()).view(np.uint64))
-        keep = np.isin(value, wanted)
+        h, counts, found = stretches(batch.column("text"), window, k)
+        parts = [x for x in (_whole(batch, h, counts, found), _single(batch, h, counts, found)) if x is not None]
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
+
+    def chosen(batch: pa.RecordBatch, column: str, value: np.ndarray) -> np.ndarray:
+        return np.isin(value, np.unique(np.asarray(batch.column(column).flatten()).view(np.uint64)))
+
+    def _single(batch: pa.RecordBatch, h, counts, found) -> pa.RecordBatch | None:
+        text, first, size, value, _ = found
+        keep = chosen(batch, "heavy", value)
+        if not keep.any():
+            return None
+        text, first, size = text[keep], first[keep], size[keep]
+        at = np.repeat(first - np.cumsum(np.r_[0, size])[:-1], size) + np.arange(int(size.sum()))
+        of = np.repeat(text, size)
+        p, inverse = K._power(len(h) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.r_[np.uint64(0), np.cumsum(h * p[: len(h)], dtype=np.uint64)]
+            name = K.mix((sums[at + window] - sums[at]) * inverse[at])
+        ids, rk = np.asarray(pa.compute.fill_null(batch.column("doc_id"), LAST_ID))[of], np.asarray(batch.column("rk"))[of]
+        n = len(at)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), pa.array(name.view(np.int64)), pa.array(ids), pa.array(rk), pa.array(at - counts[of], pa.int32()), pa.array(np.ones(n), pa.int32()), pa.nulls(n, pa.binary())], names)
+
+    def _whole(batch: pa.RecordBatch, h, counts, found) -> pa.RecordBatch | None:
+        text, first, size, value, _ = found
+        keep = chosen(batch, "anchors", value)
         text, first, size, value = text[keep], first[keep], size[keep], value[keep]
         if not len(value):
             return None
@@ -115,7 +143,7 @@ def _travel(window: int, k: int):
         drop = again & itself
         order, again = order[~drop], again[~drop]
         raw = [None if a else words[f : f + s + window - 1].tobytes() for a, f, s in zip(again.tolist(), first[order].tolist(), size[order].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(value[order].view(np.int64)), pa.array(ids[order]), pa.array(rk[order]), pa.array(start[order], pa.int32()), pa.array(size[order], pa.int32()), pa.array(raw, pa.binary())], ["anchor", "doc_id", "rk", "start", "size", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(order), bool)), pa.array(value[order].view(np.int64)), pa.array(ids[order]), pa.array(rk[order]), pa.array(start[order], pa.int32()), pa.array(size[order], pa.int32()), pa.array(raw, pa.binary())], names)
 
     return work
 
@@ -284,29 +312,49 @@ def _join(window: int):
     return work
 
 
-def spans_of(docs: DataFrame, window: int = 50, k: int = 10) -> DataFrame:
+def spans_of(docs: DataFrame, window: int = 50, k: int = 10, heavy: int = 200_000) -> DataFrame:
     """rk, doc_id, start, end: the words [start, end) of the row that duplicates cover."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").withColumn("rk", row_key())
-    seen = map_passes(rows.select("rk", "text"), _anchors(window, k), "anchor long, n long, rks array<long>")
-    from pyspark.sql import Window
-
-    seen = seen.withColumn("n", F.sum("n").over(Window.partitionBy("anchor"))).where("n > 1")
-    wanted = seen.select("anchor", F.explode("rks").alias("rk")).groupBy("rk").agg(F.collect_set("anchor").alias("anchors"))
-    ready = map_passes(rows.join(wanted, "rk"), _travel(window, k), "anchor long, doc_id long, rk long, start int, size int, words binary")
-    found = map_keyed(ready, "anchor", _sort(window), FOUND, least=8_000)
+    seen = store(map_passes(rows.select("rk", "text"), _anchors(window, k), "anchor long, n long, rks array<long>"), "anchors")
+    counts = seen.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1")
+    some = seen.select("anchor", "rks").join(counts, "anchor").select("anchor", (F.col("times") > heavy).alias("is_heavy"), F.explode("rks").alias("rk"))
+    pick = lambda c: F.collect_set(F.when(c, F.col("anchor")))  # noqa: E731 - nulls are left out
+    wanted = some.groupBy("rk").agg(pick(~F.col("is_heavy")).alias("anchors"), pick(F.col("is_heavy")).alias("heavy"))
+    ready = map_passes(rows.join(wanted, "rk"), _travel(window, k), "whole boolean, anchor long, doc_id long, rk long, start int, size int, words binary")
+    if counts.where(F.col("times") > heavy).isEmpty():
+        found = map_keyed(ready.drop("whole"), "anchor", _sort(window), FOUND, least=8_000)
+    else:
+        ready = store(ready, "stretches")
+        single = ready.where("not whole").select("anchor", F.struct("doc_id", "rk", "start").alias("place"))
+        first = single.groupBy("anchor").agg(F.min("place").alias("first"))
+        told = single.join(first, "anchor").where("place <> first").select("place.rk", "place.doc_id", F.col("place.start").alias("from"), (F.col("place.start") + 1).alias("to"))
+        found = map_keyed(ready.where("whole").drop("whole"), "anchor", _sort(window), FOUND, least=8_000).unionByName(told)
     return map_keyed(found, "rk", _join(window), "rk long, doc_id long, start int, end int", least=50_000)
 
 
-def repeats(docs: DataFrame, window: int = 50, k: int = 10) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 50, k: int = 10, heavy: int = 200_000) -> DataFrame:
     """One row a run of duplicate words: doc_id, start, end (in words)."""
-    return spans_of(docs, window, k).select("doc_id", "start", "end")
+    return spans_of(docs, window, k, heavy).select("doc_id", "start", "end")
+
+
+def oracle(window: int = 50) -> str:
+    """DuckDB, for tables in which no id repeats: every window as text, its later places, and the runs that they cover."""
+    return f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\x09-\\x0d\\x1c-\\x20]+'), lambda x: x <> '') w FROM documents),
+x AS (SELECT doc_id, unnest(w) word, generate_subscripts(w, 1) - 1 i FROM w),
+k AS (SELECT doc_id, i, md5(string_agg(word, ' ') OVER v) h, count(*) OVER v n FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING)),
+d AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) r FROM k WHERE n = {window}),
+c AS (SELECT doc_id, i s, i + {window} e, max(i + {window}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) before FROM d WHERE r > 1),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) part FROM c)
+SELECT doc_id, min(s)::INT AS start, max(e)::INT AS "end" FROM g GROUP BY doc_id, part"""
 
 
 def cut(docs: DataFrame, window: int = 50, k: int = 10) -> DataFrame:
     """The documents, all columns, without the words that duplicates cover; n_chars, where there is one, follows the text."""
-    rk, spans = fresh(docs.columns, "_tl_rk", "_tl_spans")
-    found = spans_of(docs, window, k).groupBy(F.col("rk").alias(rk)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(spans))
-    joined = docs.withColumn(rk, F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).join(found, rk, "left")
+    # The id is in the key as well as in the hash: two rows of one id and one hash are one row.
+    id_, rk, spans = fresh(docs.columns, "_tl_id", "_tl_rk", "_tl_spans")
+    found = spans_of(docs, window, k).groupBy(F.coalesce("doc_id", F.lit(LAST_ID)).alias(id_), F.col("rk").alias(rk)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(spans))
+    own = F.col("doc_id").cast("long")
+    joined = docs.withColumn(id_, F.coalesce(own, F.lit(LAST_ID))).withColumn(rk, F.xxhash64(own, F.col("text"))).join(found, [id_, rk], "left")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,14 +9,18 @@
    text. Between lexicon tokens scores are constant, so the scan runs over lexicon tokens and gaps.
 3. Calibration. Under the null, the best segment of n tokens follows an extreme-value law: the expected
    number of segments of score S or more is K n exp(-lambda S) (Karlin and Altschul, 1990). lambda
-   solves sum p_w exp(lambda s_w) = 1 with clean frequencies; K is counted on clean documents held out of
-   the log-odds. A text's E-value comes from the normalised sum of its r best segments, the best r taken.
+   solves sum p_w exp(lambda s_w) = 1 with the frequencies of all tokens of clean documents held out of the
+   log-odds; K is counted on the segments of the same documents, scored as any text is: the least K with which no
+   score is passed by more of them than the law says (of scores that five of them pass), so repeated words, which the law
+   takes for independent, make it stricter. A text's E-value comes from the normalised sum of its r best
+   segments, the best r taken.
 
 The labelled rows are a bounded sample (`train_docs`, chosen by a hash of the id over the whole table);
 near copies in it count once, so words of a document copied a hundred times don't look toxic. The
 prior's counts cover all documents. Defined results: a null or empty text has no segments, E-value 1 and
 is not toxic; rows repeat as they are given; without labels of both classes nothing is toxic; a null
-id is kept. Columns other than id and text are not read.
+id is kept; a document labelled both ways is toxic; an empty table gives an empty result. Of segments that tie
+all are kept; a very long text is scanned whole, in time linear in its words. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -131,7 +135,10 @@ def _labelled_bags(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     hs, ts = h[order], text[order]
     first = np.flatnonzero(np.r_[True, (hs[1:] != hs[:-1]) | (ts[1:] != ts[:-1])]) if len(hs) else np.zeros(0, np.int64)
     at = np.searchsorted(ts[first], np.arange(n + 1))
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), K.lists(pairs.ravel().view(np.int64), np.arange(n + 1) * 6), K.lists(hs[first].view(np.int64), at), pa.array(np.diff(at))], ["doc_id", "toxic", "copies", "words", "tokens"])
+    # Held out clean texts are kept as they are, word by word, to count segments in.
+    whole = np.asarray(batch.column("held")) & (np.asarray(batch.column("toxic")) == 0)
+    every = K.lists(h[np.repeat(whole, np.diff(counts))].view(np.int64), np.cumsum(np.r_[0, np.diff(counts) * whole]))
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("held"), K.lists(pairs.ravel().view(np.int64), np.arange(n + 1) * 6), K.lists(hs[first].view(np.int64), at), pa.array(np.diff(at)), every], ["doc_id", "toxic", "held", "copies", "words", "tokens", "every"])
 
 
 def originals(rows: pd.DataFrame) -> np.ndarray:
@@ -157,12 +164,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 40_000, prior: flo
     spark = docs.sparkSession
     chosen = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(train_docs)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    bags = map_passes(rows, _labelled_bags, "doc_id long, toxic int, copies array<long>, words array<long>, tokens long")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
+    bags = map_passes(rows, _labelled_bags, "doc_id long, toxic int, held boolean, copies array<long>, words array<long>, tokens long, every array<long>")
     bags = store(bags, "toxic-bags")
     alone = originals(bags.select("doc_id", "copies").toPandas())  # at most train_docs rows
     kept = spark.createDataFrame(pd.DataFrame({"doc_id": alone}), "doc_id long")
-    bags = bags.join(F.broadcast(kept), "doc_id").select("toxic", "words", "tokens", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("held"))
+    bags = bags.join(F.broadcast(kept), "doc_id").select("toxic", "words", "tokens", "held", "every")
     # The whole corpus' counts, for the prior.
     corpus = map_passes(docs.select("text"), _bags, "word long, n long").groupBy("word").agg(F.sum("n").alias("n_all"))
     corpus = store(corpus, "word-counts")
@@ -187,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 40_000, prior: flo
     scores = lexicon.odds.to_numpy() + math.log(passage_rate / max(share_toxic, 1e-9)) * (share_toxic < passage_rate)
     gap = math.log(1 - passage_rate)
     found = np.asarray(lexicon.u)
-    return calibrate(bags.where("held and toxic = 0").select("words", "tokens"), Model(found, scores, gap, 1.0, 1.0), spark)
+    return calibrate(bags.where("held and toxic = 0").select("every"), Model(found, scores, gap, 1.0, 1.0), spark)
 
 
 def spark_sum(corpus: DataFrame) -> float:
@@ -195,24 +202,31 @@ def spark_sum(corpus: DataFrame) -> float:
 
 
 def calibrate(clean: DataFrame, model: Model, spark) -> Model:
-    """lambda and K from held-out clean documents."""
-    shared = spark.sparkContext.broadcast((model.words, model.scores))
+    """lambda and K from clean texts (every: their words' hashes in order) that the lexicon wasn't learned from."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def hits(batches):
-        words, scores = shared.value
+    def seen(batches):
+        """(kind, score, n): lexicon tokens by score (0), segments by score (1), all tokens (2)."""
+        m = shared.value
         for b in batches:
-            h = np.asarray(b.column("words").flatten()).view(np.uint64)
-            i = np.minimum(np.searchsorted(words, h), len(words) - 1)
-            i, n = np.unique(i[words[i] == h], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(scores[i]), pa.array(n.astype(np.int64))], ["score", "n"])
+            h = np.asarray(b.column("every").flatten()).view(np.uint64)
+            counts = np.r_[0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(b.column("every")), 0)))]
+            tokens_at, found = _hits(m, h, counts)
+            parts = [(0, *np.unique(np.round(m.scores[tokens_at], 2), return_counts=True)), (1, *np.unique(np.round([s for _, own in found for *_, s in own], 2), return_counts=True)), (2, np.zeros(1), np.array([len(h)]))]
+            for kind, score, n in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(score), pa.int32()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], ["kind", "score", "n"])
 
-    n = float(clean.agg(F.sum("tokens")).first()[0] or 0)
+    rows = clean.mapInArrow(seen, "kind int, score double, n long").groupBy("kind", "score").agg(F.sum("n").alias("n")).toPandas()  # as many as there are scores
+    return settle(model, *(rows[rows.kind == k].sort_values("score") for k in (0, 1)), float(rows[rows.kind == 2].n.sum()))
+
+
+def settle(model: Model, letters: pd.DataFrame, segments: pd.DataFrame, n: float) -> Model:
+    """The model with lambda and K of the scores and numbers of n tokens' lexicon tokens, and of their segments."""
     if not n:
         return model
-    seen = clean.mapInArrow(hits, "score double, n long").groupBy(F.round("score", 2).alias("score")).agg(F.sum("n").alias("n")).toPandas()
     # With half a hit of pseudo-count spread over the lexicon, a lexicon that clean text never shows still has a rate.
-    s = np.r_[seen.score.to_numpy(float), model.scores]
-    p = np.r_[seen.n.to_numpy(float), np.full(len(model.scores), 0.5 / len(model.scores))] / n
+    s = np.r_[letters.score.to_numpy(float), model.scores]
+    p = np.r_[letters.n.to_numpy(float), np.full(len(model.scores), 0.5 / len(model.scores))] / n
     rest = max(1 - p.sum(), 1e-9)
     low, high = 1e-3, 1.0
     excess = lambda x: float((p * np.exp(np.minimum(x * s, 700))).sum() + rest * math.exp(x * model.gap) - 1)
@@ -222,30 +236,37 @@ def calibrate(clean: DataFrame, model: Model, spark) -> Model:
         mid = (low + high) / 2
         low, high = (mid, high) if excess(mid) < 0 else (low, mid)
     model.rate = max(low, 1e-3)
-    # Hits are so sparse that a maximal segment is nearly always one token: their number at score S or more is n K exp(-lambda S).
+    # Of the law itself, for one token a segment: what there is to say where no segment was seen.
     model.k = float((p * np.exp(np.minimum(model.rate * s, 700))).sum())
+    score, over = segments.score.to_numpy(float), np.cumsum(segments.n.to_numpy(float)[::-1])[::-1]
+    if (over >= 5).any():
+        model.k = float(np.exp(np.max(np.log(over) + model.rate * score - math.log(n), where=over >= 5, initial=-np.inf)))
     return model
 
 
+def _hits(m: Model, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[tuple[int, list[tuple[int, int, float]]]]]:
+    """Places in the lexicon of all tokens that it has, and the maximal segments of each text with one."""
+    if not len(m.words) or not len(h):
+        return np.zeros(0, np.int64), []
+    i = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
+    hit = np.flatnonzero(m.words[i] == h)
+    cuts = np.searchsorted(hit, counts)
+    return i[hit], [(d, text_segments(hit[cuts[d] : cuts[d + 1]] - counts[d], m.scores[i[hit[cuts[d] : cuts[d + 1]]]], m.gap)) for d in np.flatnonzero(np.diff(cuts)).tolist()]
+
+
 def judge(m: Model, texts: pa.Array, most_evalue: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
     """For each text: toxic, E-value, best score, tokens, segments."""
     h, counts = tokens(texts)
     size, n = np.diff(counts), len(texts)
     toxic, evalue, best = np.zeros(n, bool), np.ones(n), np.zeros(n)
     segments: list[list[dict]] = [[] for _ in range(n)]
-    if len(m.words) and len(h):
-        i = np.minimum(np.searchsorted(m.words, h), len(m.words) - 1)
-        hit = np.flatnonzero(m.words[i] == h)
-        cuts = np.searchsorted(hit, counts)
-        for d in np.flatnonzero(np.diff(cuts)).tolist():
-            at = hit[cuts[d] : cuts[d + 1]]
-            found = text_segments(at - counts[d], m.scores[i[at]], m.gap)
-            log_kn = math.log(m.k * max(int(size[d]), 1))
-            normal = [m.rate * s - log_kn for _, _, s in found]
-            evalue[d] = min(1.0, sum_evalue(normal))
-            best[d] = max(s for *_, s in found)
-            toxic[d] = evalue[d] <= most_evalue
-            segments[d] = [{"start": a, "end": b, "score": s, "evalue": min(1.0, math.exp(min(-x, 700)))} for (a, b, s), x in zip(found, normal, strict=True) if toxic[d] or math.exp(min(-x, 700)) <= most_evalue]
+    for d, found in _hits(m, h, counts)[1]:
+        log_kn = math.log(m.k * max(int(size[d]), 1))
+        normal = [m.rate * s - log_kn for _, _, s in found]
+        evalue[d] = min(1.0, sum_evalue(normal))
+        best[d] = max(s for *_, s in found)
+        toxic[d] = evalue[d] <= most_evalue
+        segments[d] = [{"start": a, "end": b, "score": s, "evalue": min(1.0, math.exp(min(-x, 700)))} for (a, b, s), x in zip(found, normal, strict=True) if toxic[d] or math.exp(min(-x, 700)) <= most_evalue]
     return toxic, evalue, best, size, segments
 
 
