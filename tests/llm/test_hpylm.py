@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from textloom.llm import hpylm as X
 
 from .cases import documents, empty
@@ -119,3 +120,109 @@ def test_a_word_seen_once_is_predicted_by_the_base_alone():
     i = int(np.flatnonzero(b.dish == once)[0])
     rest = np.bincount(b.context, b.t)[b.context[i]] - 1
     assert math.isclose(got[i], (1 + b.discount * rest) * lone[once] / (1 + 2 - 1), rel_tol=1e-6)
+
+
+def test_a_bucket_goes_on_from_its_seating():
+    b, seen = bucket(), []
+    for i in range(30):
+        back = X._parent(1, 1000.0, 1.0, 4, i)(X._stats(b, 0, 1))
+        p, customers, tables, lone = X._from_parent(b, back, 1000.0, 1.0)
+        assert np.array_equal(tables, b.counts()[2])  # one bucket: nothing is elsewhere
+        before = b.seating.copy(), b.t.copy()
+        c = bucket()
+        c.go_on(before[0])
+        assert np.array_equal(c.t, before[1])
+        b.gibbs(p, customers, tables, 1.0, 1, 1, np.random.Generator(np.random.PCG64(i)), lone)
+        seen.append(int(b.t.sum()))
+    assert seen[-1] > len(b.c) and len(set(seen)) > 5
+
+
+def discount(counts):
+    n1, n2 = counts.count(1), counts.count(2)
+    return min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
+
+
+def hierarchy(b, base, strength, sweeps, burn, seed):
+    """Sequential Gibbs over contexts and parent at once: a table that opens or closes is a customer of the parent that comes or goes."""
+    rng, d = random.Random(seed), b.discount
+    tables = [[int(c)] for c in b.c]
+    above = {}  # dish: sizes of the parent's tables
+    for i in range(len(b.c)):
+        above.setdefault(int(b.dish[i]), [0])[0] += 1
+    total = {k: sum(b.context == k) for k in set(b.context.tolist())}
+    customers = {k: int(b.c[b.context == k].sum()) for k in total}
+    mass = np.zeros(len(b.c))
+
+    def p(w, d0):
+        own = above.get(w, [])
+        return (sum(x - d0 for x in own) + (strength + d0 * sum(map(len, above.values()))) / base) / (strength + sum(map(sum, above.values())))
+
+    for sweep in range(sweeps):
+        d0 = discount([sum(x) for x in above.values()])
+        for i in range(len(b.c)):
+            k, w = int(b.context[i]), int(b.dish[i])
+            for _ in range(int(b.c[i])):
+                at = rng.choices(range(len(tables[i])), tables[i])[0]
+                tables[i][at] -= 1
+                if not tables[i][at]:
+                    del tables[i][at]
+                    total[k] -= 1
+                    up = above[w]
+                    j = rng.choices(range(len(up)), up)[0]
+                    up[j] -= 1
+                    if not up[j]:
+                        del up[j]
+                    if not up:
+                        del above[w]
+                weights = [x - d for x in tables[i]] + [(strength + d * total[k]) * p(w, d0)]
+                if sweep >= burn:
+                    mass[i] += sum(weights) / (strength + customers[k] - 1)
+                at = rng.choices(range(len(weights)), weights)[0]
+                if at < len(tables[i]):
+                    tables[i][at] += 1
+                    continue
+                tables[i].append(1)
+                total[k] += 1
+                up = above.setdefault(w, [])
+                choice = [x - d0 for x in up] + [(strength + d0 * sum(map(len, above.values()))) / base]
+                j = rng.choices(range(len(choice)), choice)[0]
+                if j < len(up):
+                    up[j] += 1
+                else:
+                    up.append(1)
+    return mass / b.c / (sweeps - burn)
+
+
+def test_probabilities_are_those_of_the_whole_hierarchy():
+    """Refreshes of the parent between sweeps, in one bucket and in three, against one customer at a time through both levels."""
+    base = 200.0
+    want = hierarchy(bucket(), base, 1.0, 300, 60, 5)
+    u, w = tokens()
+    for buckets in (1, 3):
+        own = (X.pair_hash(u, w) % np.uint64(buckets)).astype(int)
+        bs = []
+        for k in range(buckets):
+            b = X.Bucket.__new__(X.Bucket)
+            b.seat(u[own == k], w[own == k])
+            b.discount = bucket().discount  # small buckets would guess their own
+            bs.append(b)
+        sums, rounds = [np.zeros(len(b.c)) for b in bs], 250
+        for r in range(rounds):
+            stats = [X._stats(b, k, 1) for k, b in enumerate(bs)]
+            back = X._parent(1, base, 1.0, 4, r)(pa.concat_tables(stats))
+            for k, b in enumerate(bs):
+                mine = back.filter(pa.compute.equal(back.column("bucket"), k))
+                p, customers, tables, lone = X._from_parent(b, mine, base, 1.0)
+                got = b.gibbs(p, customers, tables, 1.0, 1, 0, np.random.Generator(np.random.PCG64(1000 * r + k)), lone)
+                if r >= 50:
+                    sums[k] += got / (rounds - 50)
+        ours, theirs = [], []
+        whole = bucket()
+        index = {(int(a), int(c)): i for i, (a, c) in enumerate(zip(whole.words[whole.context], whole.words[whole.dish], strict=True))}
+        for b, x in zip(bs, sums, strict=True):
+            for i in range(len(b.c)):
+                at = index[int(b.words[b.context[i]]), int(b.words[b.dish[i]])]
+                ours += [math.log(x[i])] * int(b.c[i])
+                theirs += [math.log(want[at])] * int(b.c[i])
+        assert abs(np.mean(ours) - np.mean(theirs)) < 0.01
+        assert np.mean(np.abs(np.array(ours) - np.array(theirs))) < 0.03

@@ -15,10 +15,11 @@ bucket and frequent contexts spread over all of them. What crosses buckets, for
 of tables that serve it, and of customers and tables in its restaurant as a context: each bucket sends
 its counts to the parts of the parent, hashed by word, which add them up, seat the parent's customers by
 Gibbs, and send back only the words that a bucket has. Nothing of the size of the vocabulary is ever
-broadcast or collected. Each refresh of the parent repeats this with the tables of the last seating; within
-a refresh the parent's state and other buckets' tables stand still, and a sweep takes out an eighth of the
-customers of each pair at once (approximate distributed Gibbs, after Newman et al., 2009). Pairs of up to
-eight customers are thus seated one customer at a time; pairs seen once need no sampling.
+broadcast or collected. Each refresh of the parent repeats this with the tables of the last seating, which is
+one chain: a bucket goes on from the seating that it ended with, so of the totals of a context what isn't its own is
+exactly the other buckets'. Within a refresh the parent's state and other buckets' tables stand still, and a
+sweep takes out an eighth of the customers of each pair at once (approximate distributed Gibbs, after Newman et
+al., 2009). Pairs of up to eight customers are thus seated one customer at a time; pairs seen once need no sampling.
 
 All tokens travel once: all passes over the buckets read the same shuffle. Counts come from every
 document of the table; the number of buckets follows the bytes of text.
@@ -26,8 +27,9 @@ document of the table; the number of buckets follows the bytes of text.
 Discounts are n1 / (n1 + 2 n2) of the counts of counts at hand. Words are lower-cased and stand for 40-bit
 hashes. Defined results: a null, empty or wordless text has 0 tokens and null perplexity; the first word's
 context is the start of a text; a null id is kept; repeated rows are scored as often as they occur, and
-each is evidence for the others; an empty table gives an empty result. Columns other than id and text
-are not read.
+each is evidence for the others; a very long text is a pass of its own, in memory in proportion to itself; equal
+weights are drawn between, by a seed, so results repeat; an empty table gives an empty result. Columns other than
+id and text are not read.
 """
 
 from __future__ import annotations
@@ -44,12 +46,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .frames import store
 
 PASS = 6 << 20
 BUCKET_BYTES = 9 << 20  # of text, about 1.5 million tokens
 START = np.uint64(0)
 WORD_BYTES = 5
 GROUPS = 8
+SEATING = -1  # instead of a part
 OUT = "doc_id long, tokens int, log_prob double, perplexity double"
 _SENT = "bucket int, pass long, kind int, data binary"
 _STATS = "part int, bucket int, n int, data binary"
@@ -155,10 +159,24 @@ class Bucket:
         pu, pw = u[lead], w[lead]
         self.words, at = np.unique(np.concatenate([pu, pw]), return_inverse=True)
         self.context, self.dish = at[: len(pu)], at[len(pu) :]
-        self.t = np.ones(len(pu), np.int64)  # to begin with, one table for each pair
+        self.many = np.flatnonzero(self.c > 1)
+        self.go_on(np.zeros(int(self.c[self.many].sum()), np.uint32))  # to begin with, one table for each pair
         n1, n2 = np.count_nonzero(self.c == 1), np.count_nonzero(self.c == 2)
         self.discount = min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
 
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of each pair of more than one customer, one more at the end, and the pair of each place."""
+        size = self.c[self.many]
+        return np.cumsum(np.r_[0, size]), np.repeat(np.arange(len(size)), size)
+
+    def go_on(self, seating: np.ndarray) -> None:
+        """Takes up a seating: of each customer of the pairs that have several, its table, named by a place of its pair."""
+        first, pair = self.places()
+        self.seating = seating
+        taken = np.bincount(first[pair] + seating.astype(np.int64), minlength=len(pair)) > 0
+        self.t = np.ones(len(self.c), np.int64)
+        self.t[self.many] = np.bincount(pair[taken], minlength=len(self.many))
+
     def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word: tables that serve it, customers and tables of its restaurant; of this bucket."""
         n = len(self.words)
@@ -173,15 +191,13 @@ class Bucket:
         own = np.bincount(self.context, self.t, len(self.words))
         rest = strength + customers[self.context] - 1.0
         total = np.zeros(len(self.c))
-        many = np.flatnonzero(self.c > 1)
+        many = self.many
         size = self.c[many]
-        first = np.cumsum(np.r_[0, size])
+        first, pair = self.places()
         n = int(first[-1])
-        pair = np.repeat(np.arange(len(many)), size)
-        table = first[pair].copy()  # a table is named by a place of its pair
-        sitting = np.zeros(n, np.int64)
-        sitting[first[:-1]] = size
-        t = np.ones(len(many), np.int64)
+        table = first[pair] + self.seating.astype(np.int64)
+        sitting = np.bincount(table, minlength=n)
+        t = self.t[many]
         ctx, word_p, lone_p = self.context[many], p_dish[many], p_lone[many]
         place = np.arange(n) - first[pair]
         mass, seen = np.zeros(len(many)), 0
@@ -200,18 +216,22 @@ class Bucket:
                 k = pair[g]
                 old = table[g]
                 np.subtract.at(sitting, old, 1)
-                gone = np.unique(old[sitting[old] == 0])
+                closed = sitting[old] == 0
+                gone = np.unique(old[closed])
                 lost = np.bincount(pair[gone], minlength=len(many))
-                t -= lost
+                alone_out = size[k] - 1 - d * (t[k] - closed)  # old tables' mass for a customer, if it were the only one out
+                t = t - lost
+                # To each customer the others' tables of its context are there, though they are out as well.
+                there = (strength + d * (elsewhere + own)[ctx])[k] - d * closed
                 own -= np.bincount(ctx, lost, len(own))
                 out = np.bincount(k, minlength=len(many))
                 table[g] = -1
                 old_mass = (size - out - d * t)[k]
                 # Whose table is gone takes it out of the parent.
-                new_mass = (strength + d * (elsewhere + own)[ctx])[k] * np.where(sitting[old] == 0, lone_p[k], word_p[k])
+                new_mass = there * np.where(closed, lone_p[k], word_p[k])
                 if kept:
                     # The other customers taken out with it still count for its probability.
-                    mass += np.bincount(k, (size[k] - 1 - d * t[k]).clip(0) + new_mass, len(many)) if out.max() > 1 else np.bincount(k, np.maximum(old_mass, 0) + new_mass, len(many))
+                    mass += np.bincount(k, np.maximum(alone_out, 0) + new_mass, len(many))
                 is_new = rng.random(len(g)) * (np.maximum(old_mass, 0) + new_mass) < new_mass
                 is_new |= (size - out)[k] == 0
                 # An old table: that of another customer, accepted in proportion to size less discount.
@@ -224,22 +244,17 @@ class Bucket:
                     ok[ok] = rng.random(int(ok.sum())) < 1 - d / sitting[to[ok]]
                     chosen[ask[ok]] = to[ok]
                     ask = ask[~ok]
-                # A new table: the customer's own name, or the next that is free.
+                # New tables: the free places of the pair, one each.
                 ask = np.flatnonzero(is_new)
-                name = g[ask].copy()
-                while True:
-                    taken = sitting[name] > 0
-                    if not taken.any():
-                        break
-                    name[taken] = first[k[ask[taken]]] + (name[taken] - first[k[ask[taken]]] + 1) % size[k[ask[taken]]]
+                free, of = np.flatnonzero(sitting == 0), k[ask]
+                name = free[np.searchsorted(free, first[of]) + np.arange(len(ask)) - np.searchsorted(of, of)]
                 chosen[ask] = name
-                opened = np.unique(name)
-                more = np.bincount(pair[opened], minlength=len(many))
+                more = np.bincount(of, minlength=len(many))
                 t += more
                 own += np.bincount(ctx, more, len(own))
                 np.add.at(sitting, chosen, 1)
                 table[g] = chosen
-        self.t[many] = t
+        self.t[many], self.seating = t, (table - first[pair]).astype(np.uint32)
         self.alone = np.ones(len(self.c), np.int64)  # tables of one customer
         self.alone[many] = np.bincount(pair, sitting == 1, len(many)).astype(np.int64)
         if seen:
@@ -290,7 +305,8 @@ def _parent(parts: int, base_size: float, strength: float, sweeps: int, seed: in
         b.c = served[has].astype(np.int64)
         n1, n2 = np.count_nonzero(b.c == 1), np.count_nonzero(b.c == 2)
         b.discount = min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2)))
-        b.t = np.ones(len(has), np.int64)
+        b.many = np.flatnonzero(b.c > 1)
+        b.go_on(np.zeros(int(b.c[b.many].sum()), np.uint32))
         # One restaurant for all words; the tables of the other parts are about as many as this part's.
         b.words, b.context, b.dish = np.arange(1), np.zeros(len(has), np.int64), np.zeros(len(has), np.int64)
         all_tables, all_customers = np.array([len(has) * parts]), np.array([b.c.sum() * parts])
@@ -330,13 +346,22 @@ def _from_parent(b: Bucket, back: pa.Table, base_size: float, strength: float) -
     return p, out[2], out[3], lone
 
 
+def _go_on(b: Bucket, back: pa.Table) -> pa.Table:
+    """What the parent sent; the bucket goes on from its last seating, if that is among it."""
+    own = pc.equal(back.column("part"), SEATING)
+    for x in back.filter(own).column("data"):
+        b.go_on(unplanes(expand(x.as_py()), "<u4"))
+    return back.filter(pc.invert(own))
+
+
 def _again(parts: int, base_size: float, strength: float, sweeps: int, seed: int):
     def work(key, rows: pa.Table, back: pa.Table) -> pa.Table:
         b = Bucket(rows)
         bucket = int(rows.column("bucket")[0].as_py())
-        *given, lone = _from_parent(b, back, base_size, strength)
+        *given, lone = _from_parent(b, _go_on(b, back), base_size, strength)
         b.gibbs(*given, strength, sweeps, sweeps, np.random.Generator(np.random.PCG64(seed + bucket)), lone)
-        return _stats(b, bucket, parts)
+        seating = pa.table({"part": pa.array([SEATING], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(b.seating)], pa.int32()), "data": pa.array([squeeze(planes(b.seating))], pa.binary())})
+        return pa.concat_tables([_stats(b, bucket, parts), seating])
 
     return work
 
@@ -347,7 +372,7 @@ def _score(base_size: float, strength: float, sweeps: int, burn: int, seed: int)
         bucket = int(rows.column("bucket")[0].as_py())
         names, kinds, data = [], [], []
         if len(b.c):
-            *given, lone = _from_parent(b, back, base_size, strength)
+            *given, lone = _from_parent(b, _go_on(b, back), base_size, strength)
             p = b.gibbs(*given, strength, sweeps, burn, np.random.Generator(np.random.PCG64(seed + bucket)), lone)
             log_p = np.log(np.maximum(p, 1e-300))[b.pair]
             at = 0
@@ -393,9 +418,13 @@ def perplexity(docs: DataFrame, strength: float = 1.0, sweeps: int = 4, burn: in
     dealt = rows.mapInArrow(_deal(buckets), _SENT)
     stats = dealt.groupBy("bucket").applyInArrow(_counts(parts), _STATS)
     parent = _parent(parts, base_size, strength, sweeps, seed)
-    for i in range(refreshes):
-        back = stats.groupBy("part").applyInArrow(parent, _BACK)
-        stats = dealt.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_again(parts, base_size, strength, sweeps, seed + 1000 * (i + 1)), _STATS)
-    back = stats.groupBy("part").applyInArrow(parent, _BACK)
+    seats = None
+    for i in range(refreshes + 1):
+        back = stats.where(F.col("part") != SEATING).groupBy("part").applyInArrow(parent, _BACK)
+        if seats is not None:
+            back = back.unionByName(seats)
+        if i < refreshes:
+            stats = store(dealt.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_again(parts, base_size, strength, sweeps, seed + 1000 * (i + 1)), _STATS), "seating")
+            seats = stats.where(F.col("part") == SEATING).select("bucket", "part", F.lit(0).cast("long").alias("customers"), F.lit(0).cast("long").alias("tables"), "data")
     scored = dealt.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_score(base_size, strength, sweeps, burn, seed), "pass long, kind int, data binary")
     return scored.groupBy("pass").applyInArrow(_sum, OUT)
