@@ -235,7 +235,7 @@ def test_each_text_is_embedded_and_each_pair_judged_once(spark, tmp_path):
 
     docs = io.documents_from_dicts(spark, [{"id": str(i), "text": "x" * (i + 1)} for i in range(9)])
     known = judge.SanityChecker("strict", (("abc", "xyz", True),))
-    got = C.cluster(docs, CallableEmbedding(embed, 2), judge.CallableJudge(say, 2), C.ClusterConfig(similarity_threshold=0.5), checker=known).collect()
+    got = C.cluster(docs, CallableEmbedding(embed, 2), judge.CallableJudge(say, 2), C.ClusterConfig(similarity_threshold=0.3), checker=known).collect()
     assert len({r.cluster_id for r in got}) == 3
     pairs = 9 * 8 // 2
     assert total("embed") == 9 + 2 and total("judge") == pairs + -(-pairs // 10)
