@@ -66,3 +66,59 @@ def test_hostile_pages(spark):
     assert by[1].content is None and by[2].content == "" and by[3].content == "no tags at all" and by[5].content == "deep"
     assert by[7].content == "" and by[None].content == "" and by[8].chars > 900_000
     assert X.extract_pages(df.limit(0)).count() == 0
+
+
+def brute_choice(page):
+    """The subtrees that the definition chooses, node by node."""
+    names, parents, content = X.parse(page)
+    body = names.index("body") if "body" in names else 0
+    density, sums = X.densities(names, parents, content, body)
+    inside = lambda i: [k for k in range(len(names)) if up(parents, k, i)]
+    best = lambda i: max(inside(i), key=lambda k: (sums[k], -k))
+    top = best(body)
+    path = [i for i in range(len(names)) if up(parents, top, i) and up(parents, i, body)]
+    threshold = min(density[i] for i in path)
+    chosen = []
+
+    def walk(i):
+        if any(up(parents, i, c) for c in chosen) or density[i] < threshold - 1e-9 or not density[i]:
+            return
+        b = best(i)
+        if b != top and sums[b] < threshold:
+            return
+        if not any(up(parents, b, c) for c in chosen):
+            chosen.append(b)
+        for x in content[i]:
+            if not isinstance(x, str):
+                walk(x)
+
+    walk(body)
+    chosen = [c for c in chosen if not any(c != o and up(parents, c, o) for o in chosen)]
+    texts = lambda i: [w for x in content[i] for w in (x.split() if isinstance(x, str) else texts(x))]
+    return [w for c in sorted(chosen) for w in texts(c)]
+
+
+def test_the_choice_of_subtrees_is_that_of_brute_force():
+    import random
+
+    rng = random.Random(8)
+
+    def node(depth):
+        if depth == 0 or rng.random() < 0.3:
+            words = " ".join(f"w{rng.randrange(99)}" for _ in range(rng.choice([1, 3, 12, 40])))
+            return f"<a href='x'>{words} </a>" if rng.random() < 0.25 else f"<p>{words} </p>"
+        return "<div>" + "".join(node(depth - 1) for _ in range(rng.randint(1, 4))) + "</div>"
+
+    for _ in range(150):
+        page = f"<body>{node(4)}{node(3)}</body>"
+        assert X.extract(page)[0].split() == brute_choice(page)
+
+
+def test_ties_go_to_the_first_node():
+    part = "<div><p>one two three four five six</p><p>seven eight nine ten eleven</p></div>"
+    names, parents, content = X.parse(f"<body>{part}{part}</body>")
+    _, sums = X.densities(names, parents, content, names.index("body"))
+    first, second = (i for i, n in enumerate(names) if n == "div")
+    assert sums[first] == sums[second]
+    assert X.extract(f"<body>{part}{part}</body>") == X.extract(f"<body>{part}{part}</body>")
+    assert X.extract(f"<body>{part}{part}</body>")[0].split() == brute_choice(f"<body>{part}{part}</body>")

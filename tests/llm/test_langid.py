@@ -91,3 +91,20 @@ def test_mostly_unknown_words_are_rejected():
         assert abs(known - words / (words + (70 if words == 30 else 30))) < 0.15
         accepted = X.decide(model, pa.array([text]), inspect.signature(X.keep).parameters["least_known"].default)[4]
         assert bool(accepted[0]) == (words == 100)
+
+
+def test_ties_take_the_first_label():
+    model = X.train(texts(20, 1), rounds=2, sequences=50)
+    model.weights[:] = 0
+    model.lex[:] = 0
+    model.transitions[:], model.first[:] = 1, 1
+    _, _, top, share, accepted = X.decide(model, pa.array(["alpha beta gamma"]), 0.5)
+    assert model.labels[top[0]] == "de" and accepted[0] and abs(share[0] - 1 / len(model.labels)) < 1e-6
+
+
+def test_words_that_touch_symbols_are_in_no_language():
+    model = X.train(texts(40, 1), sequences=400)
+    words = WORDS["en"] * 4
+    plain, junk, some = " ".join(words), " ".join(w + "###" for w in words), " ".join(w + "%%%" * (i % 4 == 0) for i, w in enumerate(words))
+    assert X.symbol_runs(pa.array([plain, junk, some, None, "#", "##", "a##", "##b"])).tolist() == [0, len(words), len(words) // 4, 0, 0, 1, 1, 1]
+    assert X.decide(model, pa.array([plain, junk, some]), 0.5)[4].tolist() == [True, False, True]

@@ -16,7 +16,8 @@ are skipped; scripts, styles and comments aren't text.
 
 Defined results: a null page gives null text, an empty one or one without text an empty text; a page
 without a body is its own body; ties of the density sum go to the first node in document order; rows
-repeat as they are given. Columns other than id, url and html are not read.
+repeat as they are given; a null id or url is kept; a very long or deeply nested page is parsed whole, in memory in
+proportion to itself; an empty table gives an empty result. Columns other than id, url and html are not read.
 """
 
 from __future__ import annotations

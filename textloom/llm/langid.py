@@ -248,15 +248,13 @@ def fit(docs: DataFrame, train_docs: int = 200, train_bytes: int = 1 << 16) -> M
 def symbol_runs(texts: pa.Array) -> np.ndarray:
     """Runs of two or more symbols in each text."""
     buf, offsets = K.buffer(texts)
-    if len(buf) < 2:
+    if not len(buf):
         return np.zeros(len(texts), np.int64)
     is_symbol = SYMBOLS[buf]
-    two = is_symbol[1:] & is_symbol[:-1]
-    two[1:] &= ~is_symbol[:-2]
-    inside = offsets[1:-1]
-    inside = inside[(inside > 0) & (inside < len(buf))]
-    two[inside - 1] = False  # a run doesn't go on into the next text
-    return np.diff(np.searchsorted(np.flatnonzero(two), offsets))
+    before, after = np.r_[False, is_symbol[:-1]], np.r_[is_symbol[1:], False]
+    edge = offsets[(offsets > 0) & (offsets < len(buf))]  # a run doesn't go on into the next text
+    before[edge], after[edge - 1] = False, False
+    return np.diff(np.searchsorted(np.flatnonzero(is_symbol & after & ~before), offsets))
 
 
 def label(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

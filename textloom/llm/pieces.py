@@ -17,7 +17,8 @@ law). A character without a piece is spelled in byte pieces.
 Encoding puts one space in front, as these vocabularies expect, and decoding takes it away; spaces are
 written U+2581, and a U+2581 of the text itself is spelled in bytes, so decode(encode(x)) == x for every
 text. Defined results: null gives null, empty text no pieces; rows that repeat an id and text get the same
-pieces; a null id counts as id 0. Columns other than id and text are not read.
+pieces; a null id counts as id 0; segmentations that tie are drawn between; a very long text is a pass of its own, in
+memory in proportion to itself; an empty table gives an empty result. Columns other than id and text are not read.
 """
 
 from __future__ import annotations

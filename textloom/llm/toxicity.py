@@ -270,7 +270,7 @@ def judge(m: Model, texts: pa.Array, most_evalue: float) -> tuple[np.ndarray, np
     return toxic, evalue, best, size, segments
 
 
-def score(docs: DataFrame, model: Model, most_evalue: float = 0.01) -> DataFrame:
+def score(docs: DataFrame, model: Model, most_evalue: float = 0.003) -> DataFrame:
     """One row a document: OUT. Toxic if the E-value is at most `most_evalue`; only segments that are as significant by themselves, or in a toxic text score over zero, are listed."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -281,7 +281,7 @@ def score(docs: DataFrame, model: Model, most_evalue: float = 0.01) -> DataFrame
     return map_passes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, OUT)
 
 
-def keep(docs: DataFrame, model: Model, most_evalue: float = 0.01) -> DataFrame:
+def keep(docs: DataFrame, model: Model, most_evalue: float = 0.003) -> DataFrame:
     """The documents that aren't toxic, all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return keep_rows(docs, lambda batch: ~judge(shared.value, batch.column("text"), most_evalue)[0])
