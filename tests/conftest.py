@@ -20,6 +20,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from textloom.sources import shared
+
+    shared.clear(session)
     session.stop()
 
 
