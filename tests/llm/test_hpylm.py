@@ -226,3 +226,18 @@ def test_probabilities_are_those_of_the_whole_hierarchy():
                 theirs += [math.log(want[at])] * int(b.c[i])
         assert abs(np.mean(ours) - np.mean(theirs)) < 0.01
         assert np.mean(np.abs(np.array(ours) - np.array(theirs))) < 0.03
+
+
+def test_a_seating_comes_back_by_way_of_the_parent():
+    b = bucket()
+    given = X._from_parent(b, X._parent(1, 1000.0, 1.0, 4, 0)(X._stats(b, 0, 1)), 1000.0, 1.0)
+    b.gibbs(*given[:3], 1.0, 3, 3, np.random.Generator(np.random.PCG64(1)), given[3])
+    names = [(1, 1)]
+    rows = pa.table({"bucket": pa.array([0], pa.int32()), "pass": pa.array([n for n, _ in names], pa.int64()), "kind": pa.array([k for _, k in names], pa.int32()), "data": pa.array([b""], pa.binary())})
+    X.Bucket(rows)  # a bucket without tokens has none to seat
+    own = pa.table({"part": pa.array([0], pa.int32()), "bucket": pa.array([-1], pa.int32()), "n": pa.array([len(b.seating)], pa.int32()), "data": pa.array([X.squeeze(X.planes(b.seating))], pa.binary())})
+    back = X._parent(1, 1000.0, 1.0, 4, 1)(pa.concat_tables([X._stats(b, 0, 1), own]))
+    assert sorted(back.column("part").to_pylist()) == [X.SEATING, 0] and set(back.column("bucket").to_pylist()) == {0}
+    again = bucket()
+    rest = X._go_on(again, back)
+    assert rest.num_rows == 1 and np.array_equal(again.seating, b.seating) and np.array_equal(again.t, b.t) and b.t.sum() > len(b.t)

@@ -46,7 +46,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .frames import store
 
 PASS = 6 << 20
 BUCKET_BYTES = 9 << 20  # of text, about 1.5 million tokens
@@ -287,10 +286,12 @@ def _stats(b: Bucket, bucket: int, parts: int) -> pa.Table:
 
 
 def _parent(parts: int, base_size: float, strength: float, sweeps: int, seed: int):
-    """Adds up the counts of a part's words and seats the parent's customers; back to each bucket go its own words."""
+    """Adds up the counts of a part's words and seats the parent's customers; back to each bucket go its own words, and its seating if it sent one."""
 
     def work(rows: pa.Table) -> pa.Table:
         part = int(rows.column("part")[0].as_py())
+        passed = rows.filter(pc.less(rows.column("bucket"), 0))
+        rows = rows.filter(pc.greater_equal(rows.column("bucket"), 0))
         buckets, ns = rows.column("bucket").to_numpy(), rows.column("n").to_numpy()
         order = np.argsort(buckets, kind="stable")
         buckets, ns = buckets[order], ns[order]
@@ -318,8 +319,17 @@ def _parent(parts: int, base_size: float, strength: float, sweeps: int, seed: in
             # In the order that the bucket sent: seating of the words it serves, restaurants of its contexts.
             dish, context = at[lo:hi][numbers[0, lo:hi] > 0], at[lo:hi][numbers[1, lo:hi] > 0]
             data.append(np.array([b.discount], np.float32).tobytes() + squeeze(planes(np.concatenate([seated[0, dish], seated[1, dish], seated[2, dish], customers[context], tables[context]]).astype(np.uint64))))
-        n = len(buckets)
-        return pa.table({"bucket": pa.array(buckets, pa.int32()), "part": pa.array([part] * n, pa.int32()), "customers": pa.array([int(b.c.sum())] * n, pa.int64()), "tables": pa.array([int(b.t.sum())] * n, pa.int64()), "data": pa.array(data, pa.binary())})
+        n, m = len(buckets), passed.num_rows
+        own = [-1 - x for x in passed.column("bucket").to_pylist()]
+        return pa.table(
+            {
+                "bucket": pa.array([*buckets.tolist(), *own], pa.int32()),
+                "part": pa.array([part] * n + [SEATING] * m, pa.int32()),
+                "customers": pa.array([int(b.c.sum())] * n + [0] * m, pa.int64()),
+                "tables": pa.array([int(b.t.sum())] * n + [0] * m, pa.int64()),
+                "data": pa.array(data + passed.column("data").to_pylist(), pa.binary()),
+            }
+        )
 
     return work
 
@@ -360,7 +370,8 @@ def _again(parts: int, base_size: float, strength: float, sweeps: int, seed: int
         bucket = int(rows.column("bucket")[0].as_py())
         *given, lone = _from_parent(b, _go_on(b, back), base_size, strength)
         b.gibbs(*given, strength, sweeps, sweeps, np.random.Generator(np.random.PCG64(seed + bucket)), lone)
-        seating = pa.table({"part": pa.array([SEATING], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(b.seating)], pa.int32()), "data": pa.array([squeeze(planes(b.seating))], pa.binary())})
+        # Sent by way of a part, so that nothing is read twice: its bucket is written as a negative number.
+        seating = pa.table({"part": pa.array([bucket % parts], pa.int32()), "bucket": pa.array([-1 - bucket], pa.int32()), "n": pa.array([len(b.seating)], pa.int32()), "data": pa.array([squeeze(planes(b.seating))], pa.binary())})
         return pa.concat_tables([_stats(b, bucket, parts), seating])
 
     return work
@@ -418,13 +429,9 @@ def perplexity(docs: DataFrame, strength: float = 1.0, sweeps: int = 4, burn: in
     dealt = rows.mapInArrow(_deal(buckets), _SENT)
     stats = dealt.groupBy("bucket").applyInArrow(_counts(parts), _STATS)
     parent = _parent(parts, base_size, strength, sweeps, seed)
-    seats = None
-    for i in range(refreshes + 1):
-        back = stats.where(F.col("part") != SEATING).groupBy("part").applyInArrow(parent, _BACK)
-        if seats is not None:
-            back = back.unionByName(seats)
-        if i < refreshes:
-            stats = store(dealt.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_again(parts, base_size, strength, sweeps, seed + 1000 * (i + 1)), _STATS), "seating")
-            seats = stats.where(F.col("part") == SEATING).select("bucket", "part", F.lit(0).cast("long").alias("customers"), F.lit(0).cast("long").alias("tables"), "data")
+    for i in range(refreshes):
+        back = stats.groupBy("part").applyInArrow(parent, _BACK)
+        stats = dealt.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_again(parts, base_size, strength, sweeps, seed + 1000 * (i + 1)), _STATS)
+    back = stats.groupBy("part").applyInArrow(parent, _BACK)
     scored = dealt.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(_score(base_size, strength, sweeps, burn, seed), "pass long, kind int, data binary")
     return scored.groupBy("pass").applyInArrow(_sum, OUT)
