@@ -101,6 +101,16 @@ def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return K.mix(K.mix(u) ^ w)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place of each, and the number of each element's value; the sort needn't be stable."""
+    order = np.argsort(x)
+    new = x[order[1:]] != x[order[:-1]]
+    lead = order[np.flatnonzero(np.r_[True, new][: len(x)])]
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(np.r_[False, new][: len(x)])
+    return x[lead], lead, at
+
+
 def _deal(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), count()
@@ -154,9 +164,10 @@ class Bucket:
         self.seat(np.concatenate([none, *us]), np.concatenate([none, *ws]))
 
     def seat(self, u: np.ndarray, w: np.ndarray) -> None:
-        _, lead, self.pair, self.c = np.unique(pair_hash(u, w), return_index=True, return_inverse=True, return_counts=True)
+        _, lead, self.pair = distinct(pair_hash(u, w))
+        self.c = np.bincount(self.pair, minlength=len(lead))
         pu, pw = u[lead], w[lead]
-        self.words, at = np.unique(np.concatenate([pu, pw]), return_inverse=True)
+        self.words, _, at = distinct(np.concatenate([pu, pw]))
         self.context, self.dish = at[: len(pu)], at[len(pu) :]
         self.many = np.flatnonzero(self.c > 1)
         self.go_on(np.zeros(int(self.c[self.many].sum()), np.uint32))  # to begin with, one table for each pair
@@ -201,7 +212,11 @@ class Bucket:
         place = np.arange(n) - first[pair]
         mass, seen = np.zeros(len(many)), 0
         # Places whose number within the pair is congruent are taken out together.
-        groups = [np.flatnonzero(place % GROUPS == g) for g in range(GROUPS)]
+        place %= GROUPS
+        groups = [np.flatnonzero(place == g) for g in range(GROUPS)]
+        left = [size[pair[g]] - np.bincount(pair[g], minlength=len(many))[pair[g]] for g in groups]  # customers still seated in the pair
+        del place
+        mark = np.zeros(n, np.int32)
         for sweep in range(sweeps):
             kept = sweep >= burn
             if kept:
@@ -209,48 +224,55 @@ class Bucket:
                 base = strength + d * (elsewhere + own)[self.context]
                 single = self.c == 1
                 total[single] += ((base[single] - d) * p_lone[single]) / np.maximum(rest[single], 1e-12)
-            for g in groups:
+            for g, stay in zip(groups, left, strict=True):
                 if not len(g):
                     continue
                 k = pair[g]
+                at = ctx[k]
                 old = table[g]
                 np.subtract.at(sitting, old, 1)
                 closed = sitting[old] == 0
-                gone = np.unique(old[closed])
-                lost = np.bincount(pair[gone], minlength=len(many))
-                alone_out = size[k] - 1 - d * (t[k] - closed)  # old tables' mass for a customer, if it were the only one out
-                t = t - lost
+                gone = old[closed]
+                mark[gone] = np.arange(len(gone), dtype=np.int32)
+                gone = pair[gone[mark[gone] == np.arange(len(gone), dtype=np.int32)]]  # the pair of each table, once
+                if kept:
+                    alone_out = size[k] - 1 - d * (t[k] - closed)  # old tables' mass for a customer, if it were the only one out
                 # To each customer the others' tables of its context are there, though they are out as well.
-                there = (strength + d * (elsewhere + own)[ctx])[k] - d * closed
-                own -= np.bincount(ctx, lost, len(own))
-                out = np.bincount(k, minlength=len(many))
+                there = strength + d * (elsewhere[at] + own[at]) - d * closed
+                np.subtract.at(t, gone, 1)
+                np.subtract.at(own, ctx[gone], 1.0)
                 table[g] = -1
-                old_mass = (size - out - d * t)[k]
+                old_mass = stay - d * t[k]
                 # Whose table is gone takes it out of the parent.
                 new_mass = there * np.where(closed, lone_p[k], word_p[k])
                 if kept:
                     # The other customers taken out with it still count for its probability.
                     mass += np.bincount(k, np.maximum(alone_out, 0) + new_mass, len(many))
                 is_new = rng.random(len(g)) * (np.maximum(old_mass, 0) + new_mass) < new_mass
-                is_new |= (size - out)[k] == 0
+                is_new |= stay == 0
                 # An old table: that of another customer, accepted in proportion to size less discount.
                 chosen = np.full(len(g), -1, np.int64)
                 ask = np.flatnonzero(~is_new)
+                begin, many_of = first[k[ask]], size[k[ask]]
                 while len(ask):
-                    other = first[k[ask]] + (rng.random(len(ask)) * size[k[ask]]).astype(np.int64)
-                    to = table[other]
-                    ok = to >= 0
-                    ok[ok] = rng.random(int(ok.sum())) < 1 - d / sitting[to[ok]]
-                    chosen[ask[ok]] = to[ok]
-                    ask = ask[~ok]
+                    to = table[begin + (rng.random(len(ask)) * many_of).astype(np.int64)]
+                    done = np.flatnonzero(to >= 0)
+                    done = done[np.flatnonzero(rng.random(len(done)) < 1 - d / sitting[to[done]])]
+                    rejected = np.ones(len(ask), bool)
+                    rejected[done] = False
+                    again = np.flatnonzero(rejected)
+                    chosen[ask[done]] = to[done]
+                    ask, begin, many_of = ask[again], begin[again], many_of[again]
                 # New tables: the free places of the pair, one each.
                 ask = np.flatnonzero(is_new)
-                free, of = np.flatnonzero(sitting == 0), k[ask]
-                name = free[np.searchsorted(free, first[of]) + np.arange(len(ask)) - np.searchsorted(of, of)]
-                chosen[ask] = name
-                more = np.bincount(of, minlength=len(many))
-                t += more
-                own += np.bincount(ctx, more, len(own))
+                of = k[ask]
+                empty = sitting == 0
+                free, before = np.flatnonzero(empty), np.cumsum(empty, dtype=np.int32)
+                begin = first[of]
+                head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
+                chosen[ask] = free[before[begin] - empty[begin] + np.arange(len(of)) - np.repeat(head, np.diff(np.r_[head, len(of)]))]
+                np.add.at(t, of, 1)
+                np.add.at(own, ctx[of], 1.0)
                 np.add.at(sitting, chosen, 1)
                 table[g] = chosen
         self.t[many], self.seating = t, (table - first[pair]).astype(np.uint32)
