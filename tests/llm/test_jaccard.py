@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from textloom.llm import jaccard as X
 
@@ -156,3 +158,61 @@ def test_recall_of_deep_splits(spark, how):
     got = expanded(docs, **how)
     assert len(want) > 60 and all(got[k] == want[k] for k in got.keys() & want.keys())
     assert len(got.keys() & want.keys()) >= 0.99 * len(want)
+
+
+def near_copies(m, noise, seed=5):
+    """Sketches of m sets that are near copies of one."""
+    rng = np.random.default_rng(seed)
+    sketch = np.repeat(rng.integers(0, 256, (1, X.WIDTH), dtype=np.uint8), m, 0)
+    other = rng.random(sketch.shape) < noise
+    sketch[other] = rng.integers(0, 256, int(other.sum()))
+    return sketch
+
+
+@pytest.mark.parametrize("brute", [1500, 5000])
+def test_a_bucket_of_near_copies_sends_no_pairs(brute):
+    m, alone = 3000, 40
+    sketch = np.concatenate([near_copies(m, 0.1), np.random.default_rng(1).integers(0, 256, (alone, X.WIDTH), dtype=np.uint8)])
+    n = len(sketch)
+    rows = pa.table({"key": np.full(n, 7), "rep": np.arange(n), "size": np.full(n, 100), "sketch": [bytes(x) for x in sketch], "level": np.zeros(n, np.int32)})
+    got = list(X._candidates(0.5, brute)(rows))
+    assert sum(x.num_rows for x in got) <= 3 * n and max(x.num_rows for x in got) <= n
+    cores = pa.Table.from_batches(got).filter(pc.field("core").is_valid())
+    assert set(range(m)) <= set(cores.column("a").to_pylist())
+
+
+def test_pairs_of_a_bucket_without_a_core_come_in_parts():
+    # 40 kinds of 50 near copies: no set has enough pairs to be in a core.
+    sketch = np.concatenate([near_copies(50, 0.1, seed) for seed in range(40)])
+    size, cores = np.full(len(sketch), 100), []
+    parts = list(X.bucket_parts(sketch, size, 0.5, 0.35, 5000, 1, cores=cores))
+    whole = {(min(x, y), max(x, y)) for a, b in parts for x, y in zip(a.tolist(), b.tolist())}
+    assert not cores and whole == set(zip(*(x.tolist() for x in X.bucket_pairs(sketch, size, 0.5, 0.35, 5000, 1)))) and len(whole) >= 40 * 50 * 49 / 2
+    many = near_copies(1200, 0.1)
+    assert max(len(a) for a, _ in X._hits(many, np.full(1200, 100), np.arange(1200), np.arange(1200), 0.5, 0.35, True)) < X.PART_PAIRS + 1200
+
+
+@pytest.mark.parametrize("how", ["one cell", "cells", "overlapping clusters"])
+def test_clusters_of_near_copies_lose_no_link(spark, monkeypatch, how):
+    """Two kinds of 150 texts that nearly all resemble each other, copies of some, and others that resemble a few of them."""
+    docs, rows = copies(spark, groups=2, size=150, seed=8)
+    rows += [(1000 + i, rows[7 * i][1]) for i in range(12)]
+    rows += [(2000 + i, " ".join(rows[3 * i][1].split()[:46] + [f"n{i}x{j}" for j in range(30)])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if how != "one cell":
+        monkeypatch.setattr(X, "CELL_TOKENS", 3000)
+    merged = X._clusters
+    seen = []
+
+    def clusters(cores):
+        out = merged(cores) if how != "overlapping clusters" else cores.select("rep", X.F.col("core").alias("cluster"), "size").distinct()
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(X, "_clusters", clusters)
+    want = brute(rows, 0.5)
+    ids = [i for i, _ in rows]
+    got = {r.doc_id: (r.class_id, r.links) for r in X.join(docs).collect()}
+    assert seen[0] >= 250 and got == rows_of(want, ids)
+    assert expanded(docs) == want
+    assert {r.doc_id for r in X.keep_one(docs).collect()} == {c for c, _ in rows_of(want, ids).values()}
