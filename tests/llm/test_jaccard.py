@@ -216,3 +216,16 @@ def test_clusters_of_near_copies_lose_no_link(spark, monkeypatch, how):
     assert seen[0] >= 250 and got == rows_of(want, ids)
     assert expanded(docs) == want
     assert {r.doc_id for r in X.keep_one(docs).collect()} == {c for c, _ in rows_of(want, ids).values()}
+
+
+def test_join_takes_sums_of_links_from_a_cluster():
+    rng = np.random.default_rng(2)
+    m, base = 300, rng.integers(0, 2**63, 80, dtype=np.uint64)
+    held = [np.sort(np.where(rng.random(80) < 0.2, rng.integers(0, 2**63, 80, dtype=np.uint64), base)) for _ in range(m)]
+    copies = rng.integers(1, 4, m)
+    cell = pa.table({"key": np.full(m, 1), "rep": np.arange(m), "slot": np.zeros(m, np.int64), "copies": copies, "one_slot": np.ones(m, bool), "before": pa.array([[]] * m, pa.list_(pa.int64())), "grams": [x.tobytes() for x in held]})
+    linked = np.array([[len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.5 for y in held] for x in held]) & ~np.eye(m, dtype=bool)
+    got = pa.Table.from_batches(list(X._verify_cluster(0.5, "links")(cell))).to_pylist()
+    assert len(got) < 2 * m < linked.sum() / 2
+    assert {r["a"]: r["far"] for r in got if r["b"] is None} == dict(enumerate((linked @ copies).tolist()))
+    assert all(linked[r["a"], r["b"]] for r in got if r["b"] is not None)
