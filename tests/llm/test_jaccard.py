@@ -89,6 +89,46 @@ def test_verification_in_cells(spark, monkeypatch):
     assert got == {k: v for k, v in brute(rows, 0.5).items() if k in got} and len(got) > 30
 
 
+def test_pairs_of_a_bucket_are_verified_in_cells_of_bounded_pairs(spark, monkeypatch):
+    docs, _ = copies(spark, groups=4, size=40)
+    names = sorted(r.rep for r in X.set_pairs(docs)[0].select("rep").distinct().collect())
+    found = spark.createDataFrame([(7, a, b, 80, 80) for i, a in enumerate(names) for b in names[i + 1 :]], "key long, a long, b long, size_a long, size_b long")
+    verified = lambda: {tuple(r) for r in X._verified(found, docs, 3, 0.5).collect()}
+    whole = verified()
+    keyed, most = X.map_keyed, []
+
+    def seen(df, key, *rest, **how):
+        most.append(max(r["count"] for r in df.where("b is not null").groupBy(key).count().collect()))
+        return keyed(df, key, *rest, **how)
+
+    monkeypatch.setattr(X, "map_keyed", seen)
+    monkeypatch.setattr(X, "PART_PAIRS", 200)
+    assert verified() == whole and len(whole) > 500
+    assert len(most) == 1 and most[0] <= 4 * X.PART_PAIRS
+
+
+def test_rows_of_a_group_are_held_once_while_they_are_worked_on():
+    class Rows:
+        sparkSession = type("S", (), {"conf": {"spark.sql.shuffle.partitions": "1"}})
+        repartition = sortWithinPartitions = lambda self, *by: self
+        mapInArrow = lambda self, run, schema: run
+
+    def batches():
+        for key in (1, 2, 2, 2, 3):
+            yield pa.RecordBatch.from_arrays([pa.array([key] * 1000), pa.concat_arrays([pa.array([b"x" * 800] * 500)] * 2)], ["key", "grams"])
+
+    before, held, got = pa.total_allocated_bytes(), [], []
+
+    def work(rows):
+        held.append((pa.total_allocated_bytes() - before) / 800_000)
+        got.extend(pc.unique(rows.column("key")).to_pylist())
+        yield from ()
+
+    assert list(X.map_keyed(Rows(), "key", work, "")(batches())) == []
+    # In batches: at most the three of a group and the one after it, and what the generator gave last.
+    assert got == [1, 2, 3] and max(held) < 6.5
+
+
 def test_bitmap_of_names(spark):
     names = spark.createDataFrame([(0,), (-1,), (5,), (2**62 + 11,)], "rep long")
     bits = X._present(names).value

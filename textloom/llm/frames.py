@@ -53,6 +53,7 @@ def map_keyed(df: DataFrame, key: str, work: Callable[[pa.Table], Iterator[pa.Re
             if held[0].column(key)[0].as_py() == last:
                 continue
             whole = pa.Table.from_batches(held).combine_chunks()
+            held, batch, rest = [], None, None  # else their rows are held twice while work runs
             keys = whole.column(key).combine_chunks()
             keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys
             cut = rows - 1
@@ -67,10 +68,12 @@ def map_keyed(df: DataFrame, key: str, work: Callable[[pa.Table], Iterator[pa.Re
             cut = low + 1
             if cut > 0:
                 yield from work(whole.slice(0, cut))
-                rest = whole.slice(cut)
-                held, rows = [x for x in rest.to_batches() if x.num_rows], rest.num_rows
+            rest = whole.slice(max(cut, 0))
+            held, rows = [x for x in rest.to_batches() if x.num_rows], rest.num_rows
         if rows:
-            yield from work(pa.Table.from_batches(held).combine_chunks())
+            whole = pa.Table.from_batches(held).combine_chunks()
+            held, batch, rest = [], None, None
+            yield from work(whole)
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -566,7 +566,7 @@ def _verified(found: DataFrame, kept: DataFrame, n: int, threshold: float) -> Da
     """
     sides = F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("size_a").alias("size")), F.struct(F.col("b").alias("rep"), F.col("size_b").alias("size")))).alias("x")
     needed = found.select("key", sides).select("key", "x.*").groupBy("key", "rep").agg(F.max("size").alias("size"), F.count("*").alias("n"))
-    slots = needed.groupBy("key").agg(F.greatest(F.ceil(F.sum("size") / CELL_TOKENS), F.ceil(F.sqrt(F.sum("n") / (8 * PART_PAIRS)))).alias("slots")).where("slots > 1")
+    slots = needed.groupBy("key").agg(F.greatest(F.ceil(F.sum("size") / CELL_TOKENS), F.ceil(F.sqrt(F.sum("n") / (2 * PART_PAIRS)))).alias("slots")).where("slots > 1")
     slot = lambda c: F.pmod(F.xxhash64(c, F.lit(13)), F.coalesce("slots", F.lit(1)))
     placed = found.join(slots, "key", "left").select("a", "b", F.when(F.col("slots").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(slot("a"), slot("b")), F.greatest(slot("a"), slot("b")))).alias("key"))
     placed = store(placed, "placed-candidates")
