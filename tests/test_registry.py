@@ -66,3 +66,17 @@ def test_the_taxonomy_reads_every_document(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(registry.taxonomy, "build", lambda units, *a, **k: seen.append(units) or made(units))
     got = registry.queries()["taxonomy_from_texts"](spark, sf_dir)
     assert got.count() == registry._units(spark, sf_dir).count() > 1000
+
+
+def against_sql(spark, tmp_path, name, table, rows_, schema):
+    """A query over a small table of its own gives what its SQL does."""
+    spark.createDataFrame(rows_, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    got = registry.queries()[name](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(con.sql(registry.oracle_sql()[name]).df())
+
+
+def test_a_blank_text_is_cleaned_to_an_empty_one(spark, tmp_path):
+    texts = ["", " ", "\n \n", "\ta\nb ", " \r\n", None, "a"]
+    against_sql(spark, tmp_path, "cleaned_texts", "documents", list(enumerate(texts)), "doc_id long, text string")
