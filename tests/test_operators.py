@@ -406,3 +406,59 @@ def test_command_line(spark, tmp_path):
     assert main(["cluster"]).count("(2)") >= 2
     with pytest.raises(ValueError):
         main(["taxonomy", str(tmp_path / "nowhere")])
+
+
+def test_equal_vectors_are_compared_once(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    kinds = [[1, 1, 0, 0], [1, 1, 0, 0.0], [1, 0.9, 0, 0], [0, 0, 1, 1], [0, 0, 0, 0], [2, 2, 0, 0], [1, 0, 1, 0], [0, 1, 0, 1]]
+    x = np.array([kinds[i] for i in rng.integers(0, len(kinds), 120)], float)
+    names = [str(n) for n in rng.permutation(120)]  # ordered as texts
+    index = knn.build_index(spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x)], "id string, embedding array<double>"))
+    dealt, compared = [], knn._compared
+    monkeypatch.setattr(knn, "_compared", lambda q, i, *a: dealt.append((q.count(), i.count())) or compared(q, i, *a))
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(norm > 0, norm, 1)
+    s = np.round(u @ u.T, 9)
+    for asked, threshold, own in ((index, 0.5, True), (index, None, True), (index, 0.9, False), (index.where("id % 5 = 0"), 0.3, True)):
+        got = sorted((r.id, r["rank"], r.neighbor, r.score) for r in knn.top_k(asked, index, 4, threshold, own).collect())
+        ids = {r.id for r in asked.collect()}
+        want = []
+        for i, n in enumerate(names):
+            best = sorted(((-s[i, j], m) for j, m in enumerate(names) if not (own and i == j) and s[i, j] >= (-2 if threshold is None else threshold)))[:4]
+            want += [(n, r + 1, m, -d) for r, (d, m) in enumerate(best)] if n in ids else []
+        assert got == sorted(want) and len(want) > 20
+    assert all(q <= len(kinds) and i <= len(kinds) for q, i in dealt) and len(dealt) == 4
+
+
+def test_a_comparison_holds_few_scores_at_once():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(20_000, 16))
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    x = y[:2500]
+    y32 = y.astype(np.float32)
+    tracemalloc.start()
+    try:
+        for floor in (0.6, -2.0):
+            row, col, s = knn._nearest(x, y, y32, 5, floor)
+            for i in (0, 1100, 2499):
+                exact = np.round(y @ x[i], 9)
+                assert col[row == i].tolist() == np.lexsort((np.arange(len(y)), -exact))[:5].tolist() and np.allclose(s[row == i], np.sort(exact)[::-1][:5])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20  # 2,048 rows of scores alone would be 328 MB
+
+
+def test_dense_batches_are_slices_of_one_order(spark):
+    # Of 100,000 rows and more there is more than one range.
+    pairs = spark.range(0, 230_007).select(F.when(F.col("id") < 230_005, (F.col("id") * 7919 % 230_005) * 3 - 1000).alias("pair_id"), F.lit("x").alias("_mark"))
+    got = judge.dense_batches(pairs).withColumn("n", F.when(F.col("pair_id").isNull(), 230_005).otherwise((F.col("pair_id") + 1000) / 3))
+    assert got.count() == 230_007 and got.columns[:3] == ["pair_id", "_mark", "batch_id"]
+    assert got.where("pair_id is not null and batch_id <> floor(n / 10)").count() == 0
+    assert [r.batch_id for r in got.where("pair_id is null").collect()] == [23_000, 23_000]

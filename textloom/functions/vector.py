@@ -22,8 +22,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """A zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(_double(v), lambda x: x / n)).otherwise(_double(v))
+    # As a variable, the norm is computed once, and not for every element.
+    return F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(_double(v), lambda x: x / n)).otherwise(_double(v)))[0]
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
