@@ -462,3 +462,19 @@ def test_dense_batches_are_slices_of_one_order(spark):
     assert got.count() == 230_007 and got.columns[:3] == ["pair_id", "_mark", "batch_id"]
     assert got.where("pair_id is not null and batch_id <> floor(n / 10)").count() == 0
     assert [r.batch_id for r in got.where("pair_id is null").collect()] == [23_000, 23_000]
+
+
+def test_pairs_are_combed_once_and_together(monkeypatch):
+    import random
+
+    from textloom.functions import lexical
+
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    pairs = [(text(rng.randint(30, 40)), text(rng.randint(41, 50))) for _ in range(150)]
+    alone = [lexical.partial_ratio(*p) for p in pairs]
+    combed, comb = [], lexical.semilocal_ends
+    monkeypatch.setattr(lexical, "semilocal_ends", lambda own: combed.append(len(own)) or comb(own))
+    found = lexical._partial(pd.Series([a for a, _ in pairs] * 20 + [None]), pd.Series([b for _, b in pairs] * 20 + ["a"]))
+    assert found[:150].tolist() == [x / 100 for x in alone] and found[150:3000].tolist() == found[:150].tolist() * 19 and math.isnan(found[3000])
+    assert sum(combed) <= 150 and len(combed) < 10

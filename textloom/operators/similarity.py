@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from textloom.functions.lexical import syntactic_similarity
 from textloom.functions.vector import MIDPOINT, STEEPNESS, calibrate_score, cosine_similarity, jaccard
 from textloom.providers import Embedding, embed_distinct
+from textloom.sources.io import dealt
 from textloom.sources.shared import store
 
 
@@ -110,7 +111,7 @@ def score_pairs(pairs: DataFrame, provider: Embedding, term_topic: DataFrame | N
         known = known.join(found, "text")
     known = store(known, "scored-texts")
     side = lambda x: known.select(*[F.col(c).alias(f"{'text' if c == 'text' else c}_{x}") for c in known.columns])
-    joined = pairs.join(side("a"), "text_a", "left").join(side("b"), "text_b", "left")
+    joined = dealt(pairs.join(side("a"), "text_a", "left").join(side("b"), "text_b", "left"))
     topic = topic_similarity(F.col("topics_a"), F.col("topics_b")) if term_topic is not None else None
     score = blend(cosine_similarity(F.col("embedding_a"), F.col("embedding_b")), syntactic_similarity(F.col("text_a"), F.col("text_b"), config.method), topic, config)
     return joined.select(*pairs.columns, F.when(F.col("text_a").isNotNull() & F.col("text_b").isNotNull(), score).alias("score"))

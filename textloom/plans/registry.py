@@ -17,7 +17,7 @@ from textloom.operators.graph import connected_components
 from textloom.operators.judge import RecordedJudge, RuleJudge, SanityChecker, accepted, assign_batches, dense_batches, validate_entities
 from textloom.operators.similarity import BlendConfig, blend, extract_topics, score_pairs
 from textloom.providers import HashingEmbedding, embed_missing
-from textloom.sources.io import clusters_for_display, corpus_units, documents_from_dicts, from_texts, load_clusters, load_taxonomy, read_text_files, save_clusters, save_taxonomy, spread
+from textloom.sources.io import clusters_for_display, corpus_units, dealt, documents_from_dicts, from_texts, load_clusters, load_taxonomy, read_text_files, save_clusters, save_taxonomy, spread
 from textloom.sources.shared import scratch, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,7 +246,7 @@ best AS (SELECT a, b, max(2 * list_max(line) / (length(s) + length(win))) m FROM
 def lexical_partial_ratio(spark, d):
     p = _t(spark, d, "part").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("text_a"), (F.col("p_partkey") + 1).alias("b"))
     q = _t(spark, d, "part").select(F.col("p_partkey").alias("b"), F.col("p_name").alias("text_b"))
-    return p.join(q, "b").select("a", "b", F.round(syntactic_similarity(F.col("text_a"), F.col("text_b")), 6).alias("score"))
+    return dealt(p.join(q, "b")).select("a", "b", F.round(syntactic_similarity(F.col("text_a"), F.col("text_b")), 6).alias("score"))
 
 
 _TOPIC_SQL = "tt(term, topic_id) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in TOPICS) + "), dt AS (SELECT doc_id, coalesce(list_sort(list_distinct(list(topic_id) FILTER (topic_id IS NOT NULL))), []) topics FROM documents LEFT JOIN tt ON instr(lower(text), lower(term)) > 0 GROUP BY doc_id)"

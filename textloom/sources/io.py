@@ -103,3 +103,9 @@ def spread(df: DataFrame) -> DataFrame:
     """The rows over as many partitions as there are cores, if a file of one row group has come in fewer; else as it is, without a shuffle. The rows are the same."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows over all cores, for work that is long for the bytes it reads: by bytes alone they might be one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
