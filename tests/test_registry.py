@@ -80,3 +80,11 @@ def against_sql(spark, tmp_path, name, table, rows_, schema):
 def test_a_blank_text_is_cleaned_to_an_empty_one(spark, tmp_path):
     texts = ["", " ", "\n \n", "\ta\nb ", " \r\n", None, "a"]
     against_sql(spark, tmp_path, "cleaned_texts", "documents", list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("name", ["topic_extract_terms", "contexts_of_term", "term_contexts"])
+def test_terms_are_extracted_once(spark, sf_dir, monkeypatch, name):
+    """They are looked at more than once, and each look would count all n-grams again."""
+    written, store = [], registry.store
+    monkeypatch.setattr(registry, "store", lambda df, name: written.append(name) or store(df, name))
+    assert registry.queries()[name](spark, sf_dir).count() and written == ["extracted-terms"]

@@ -147,7 +147,7 @@ hits AS (SELECT term, doc_id, unit_no, sentence, row_number() OVER (PARTITION BY
 SELECT term, nth, sentence, 'doc' || doc_id || ':line' || (unit_no + 1) AS source, instr(sentence, term) - 1 AS char_start, instr(sentence, term) - 1 + length(term) AS char_end FROM hits WHERE nth <= 5""")
 def term_contexts(spark, d):
     units = _units(spark, d)
-    return tfidf.term_contexts(units, tfidf.extract_terms(units, tfidf.TermConfig(top_n=50)))
+    return tfidf.term_contexts(units, store(tfidf.extract_terms(units, tfidf.TermConfig(top_n=50)), "extracted-terms"))
 
 
 _E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) v, label FROM embeddings)"
@@ -682,7 +682,7 @@ def cluster_contexts(spark, d):
 SELECT doc_id, coalesce(array_to_string(topics, ','), '') AS topics FROM documents LEFT JOIN f USING (doc_id)""")
 def topic_extract_terms(spark, d):
     """The topics of a corpus' own terms, one each, in all documents."""
-    terms = tfidf.extract_terms(_units(spark, d), tfidf.TermConfig(top_n=300)).select("term", F.col("term").alias("topic_id"))
+    terms = store(tfidf.extract_terms(_units(spark, d), tfidf.TermConfig(top_n=300)), "extracted-terms").select("term", F.col("term").alias("topic_id"))
     return extract_topics(_t(spark, d, "documents"), terms, "doc_id").select("doc_id", F.array_join("topics", ",").alias("topics"))
 
 
@@ -693,7 +693,7 @@ hits AS (SELECT term, sentence, row_number() OVER (ORDER BY doc_id, unit_no, lin
 SELECT term, nth, sentence FROM hits WHERE nth <= 2""")
 def contexts_of_term(spark, d):
     units = _units(spark, d)
-    best = tfidf.extract_terms(units, tfidf.TermConfig(top_n=1))
+    best = store(tfidf.extract_terms(units, tfidf.TermConfig(top_n=1)), "extracted-terms")
     contexts = tfidf.term_contexts(units, best)
     return contexts.join(best.select("term"), "term", "left_semi").where("nth <= 2").select("term", "nth", "sentence")
 
